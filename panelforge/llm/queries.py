@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, sharding
+from . import decontaminate, mixing, neardup, sharding
 from .common import table
 
 
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sampled_splitters": _docs(sharding.op1_sampled_splitters),
         "op5_suffix_automaton": op5,
+        "op6_divide_skip": _docs(neardup.op6_divide_skip),
         "op10_mix_sources": _docs(mixing.op10_mix_sources),
     }
 
@@ -29,5 +30,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_suffix_automaton": decontaminate.ORACLE,
+        "op6_divide_skip": neardup.ORACLE,
         "op10_mix_sources": mixing.ORACLE,
     }
