@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, neardup, sharding
+from . import decontaminate, mixing, neardup, sharding, toxicity, transport
 from .common import table
 
 
@@ -18,11 +18,17 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.op5_suffix_automaton(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op9_weak_supervision(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sampled_splitters": _docs(sharding.op1_sampled_splitters),
+        "op3_transport_stream": _docs(transport.op3_transport_stream),
         "op5_suffix_automaton": op5,
         "op6_divide_skip": _docs(neardup.op6_divide_skip),
+        "op9_weak_supervision": op9,
         "op10_mix_sources": _docs(mixing.op10_mix_sources),
     }
 
