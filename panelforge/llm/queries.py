@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, neardup, sharding, toxicity, transport
+from . import decontaminate, mixing, neardup, pii, sharding, toxicity, transport
 from .common import table
 
 
@@ -25,6 +25,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sampled_splitters": _docs(sharding.op1_sampled_splitters),
+        "op2_weak_labels": _docs(pii.op2_weak_labels),
         "op3_transport_stream": _docs(transport.op3_transport_stream),
         "op5_suffix_automaton": op5,
         "op6_divide_skip": _docs(neardup.op6_divide_skip),
