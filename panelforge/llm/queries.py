@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, neardup, pii, sharding, toxicity, transport
+from . import decontaminate, licenses, linedups, mixing, neardup, pii, secrets, sharding, toxicity, transport
 from .common import table
 
 
@@ -27,8 +27,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sampled_splitters": _docs(sharding.op1_sampled_splitters),
         "op2_weak_labels": _docs(pii.op2_weak_labels),
         "op3_transport_stream": _docs(transport.op3_transport_stream),
+        "op4_license_dice": _docs(licenses.op4_license_dice),
         "op5_suffix_automaton": op5,
         "op6_divide_skip": _docs(neardup.op6_divide_skip),
+        "op7_repeated_lines": _docs(linedups.op7_repeated_lines),
+        "op8_secret_forest": _docs(secrets.op8_secret_forest),
         "op9_weak_supervision": op9,
         "op10_mix_sources": _docs(mixing.op10_mix_sources),
     }
@@ -38,5 +41,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op5_suffix_automaton": decontaminate.ORACLE,
         "op6_divide_skip": neardup.ORACLE,
+        "op7_repeated_lines": linedups.ORACLE,
         "op10_mix_sources": mixing.ORACLE,
     }
