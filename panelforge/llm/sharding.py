@@ -110,7 +110,7 @@ def splitters(keyed: DataFrame, shards: int, *, rows_a_range: int = 50_000, min_
 
 
 def _pack(bounds: list[tuple[int, int]], counts: dict[int, tuple[int, int]], shards: int) -> tuple[list[int], list[int]]:
-    """Cut the ranges into shards nearest to equal bytes, within half a percent not inside a key."""
+    """Cut the ranges into shards nearest to equal bytes, within one percent not inside a key."""
     ends, filled = [0], 0
     for i in range(len(bounds)):
         filled += counts.get(i, (0, 0))[1]
@@ -118,7 +118,7 @@ def _pack(bounds: list[tuple[int, int]], counts: dict[int, tuple[int, int]], sha
     cuts = []
     for j in range(1, shards):
         ideal = filled * j / shards
-        slack = filled / shards * 0.005
+        slack = filled / shards * 0.01
         best = min(range(len(ends)), key=lambda i: (abs(ends[i] - ideal), i))
         whole = [i for i in range(len(bounds)) if bounds[i][1] == LOW and abs(ends[i] - ideal) <= max(slack, abs(ends[best] - ideal))]
         cuts.append(min(whole, key=lambda i: (abs(ends[i] - ideal), i)) if whole else best)
