@@ -156,7 +156,7 @@ def fama_macbeth(rows: DataFrame, features: tuple[str, ...], target: str, lags:
         x, y = pdf[names].to_numpy(), pdf[target].to_numpy()
         live = [j for j in range(len(names)) if len(x) and x[:, j].std() > 1e-12]
         if len(x) <= len(live):
-            return pd.DataFrame({"date": [], "factor": [], "beta": []})
+            return pdf.iloc[:0][["date"]].assign(factor=pd.Series(dtype=str), beta=pd.Series(dtype=float))
         design = np.column_stack([np.ones(len(x)), x[:, live]])
         beta = np.linalg.lstsq(design, y, rcond=None)[0]
         return pd.DataFrame({"date": pdf["date"].iloc[0], "factor": ["const", *[names[j] for j in live]], "beta": beta})

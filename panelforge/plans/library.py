@@ -254,3 +254,29 @@ sql_query("ewma_fold", lambda d: f"""WITH a AS (SELECT user_id, {'transform(arra
 SELECT user_id, {rounded('aggregate(v, CAST(0 AS DOUBLE), (s, z) -> 0.3 * abs(z) + 0.7 * s)' if d.spark else 'list_reduce(list_prepend(0::DOUBLE, v), lambda s, z: 0.3 * abs(z) + 0.7 * s)')} AS vp FROM a""")
 sql_query("tpch_pricing_summary", lambda d: """SELECT l_returnflag, l_linestatus, CAST(sum(l_quantity) AS BIGINT) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base, round(avg(l_discount), 6) AS avg_disc, count(*) AS n
 FROM {lineitem} WHERE l_shipdate <= DATE '1998-09-02' GROUP BY l_returnflag, l_linestatus""")
+
+# ---------------------------------------------------------------- standardising, stages and reports
+
+sql_query("standardize_diagnostics", lambda d: f"""WITH q AS (SELECT date, {quantile(d, 'logret', 0.01)} AS lo, {quantile(d, 'logret', 0.99)} AS hi FROM {{month}} WHERE logret IS NOT NULL GROUP BY date),
+w AS (SELECT m.date, logret, CASE WHEN logret IS NOT NULL THEN least(greatest(logret, lo), hi) END AS x FROM {{month}} m LEFT JOIN q ON q.date = m.date),
+z AS (SELECT date, logret, x, (x - avg(x) OVER (PARTITION BY date)) / nullif(stddev_samp(x) OVER (PARTITION BY date), 0) AS z FROM w),
+c AS (SELECT date, count(z) AS n, count(*) AS t, count(CASE WHEN x <> logret THEN 1 END) AS wins, count(CASE WHEN abs(z) > 3 THEN 1 END) AS clips FROM z GROUP BY date)
+SELECT {rounded('avg(n / CAST(t AS DOUBLE))')} AS coverage, {rounded('avg(CAST(n AS DOUBLE))')} AS avg_names, {rounded('avg(wins / CAST(nullif(n, 0) AS DOUBLE))')} AS winsor_rate, {rounded('avg(clips / CAST(nullif(n, 0) AS DOUBLE))')} AS clip_rate FROM c""")
+sql_query("adaptive_significance", lambda d: f"""WITH {_ic(d)}, {_newey_west(5)},
+c AS (SELECT factor, count(*) AS n, avg(ic) AS mean, stddev_samp(ic) AS sd, {', '.join(f'sum(u * u{k}) / nullif(sum(u * u), 0) AS r{k}' for k in range(1, 6))} FROM lagged GROUP BY factor)
+SELECT c.factor, c.n, {rounded('c.mean')} AS mean, greatest({', '.join(f'abs(r{k})' for k in range(1, 6))}) > 1.96 / sqrt(c.n) AS robust,
+       {rounded('CASE WHEN greatest(' + ', '.join(f'abs(r{k})' for k in range(1, 6)) + ') > 1.96 / sqrt(c.n) THEN c.mean / nullif(nw.se, 0) ELSE c.mean / nullif(c.sd / sqrt(c.n), 0) END')} AS t
+FROM c JOIN nw ON nw.factor = c.factor""")
+sql_query("latest_picks", lambda d: f"""WITH last AS (SELECT max(date) AS date FROM {{signals}} WHERE s4 IS NOT NULL),
+r AS (SELECT s.date, ticker, s4, row_number() OVER (ORDER BY round(s4, 9) DESC, ticker) AS r FROM {{signals}} s JOIN last ON last.date = s.date WHERE s4 IS NOT NULL)
+SELECT date, ticker, {rounded('s4')} AS score, r FROM r WHERE r <= 10""")
+sql_query("benchmark_excess", lambda d: f"""WITH p AS (SELECT date, avg(CASE WHEN sector = 1 THEN logret END) AS r, avg(logret) AS b FROM {{month}} WHERE logret IS NOT NULL GROUP BY date)
+SELECT date, {rounded('r - b')} AS excess, {rounded('exp(sum(coalesce(r, 0)) OVER (ORDER BY date)) - exp(sum(b) OVER (ORDER BY date))')} AS cumulative_excess FROM p""")
+sql_query("stage_windows_buffer", lambda d: """WITH c AS (SELECT date, row_number() OVER (ORDER BY date) AS i, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM {month})),
+s AS (SELECT i AS stage, date AS stage_from, least(i + 11, n) AS last_i, least(i + 14, n) AS buffer_i FROM c WHERE i % 12 = 1)
+SELECT stage, stage_from, a.date AS stage_to, b.date AS liquidate_to FROM s JOIN c a ON a.i = last_i JOIN c b ON b.i = buffer_i""")
+sql_query("book_fractions", lambda d: f"""WITH {_market}, b AS (SELECT date, (row_number() OVER (ORDER BY date) - 1) % 5 AS book, 1 / nullif(abs(r) + 0.01, 0) AS w FROM nav)
+SELECT book, {rounded('sum(w) / sum(sum(w)) OVER ()')} AS fraction, count(*) AS n FROM b GROUP BY book""")
+sql_query("split_factor_daily", lambda d: f"""SELECT CAST(o_orderdate AS DATE) AS date, count(*) AS n, {rounded('exp(sum(ln(1 + o_totalprice / 1e7)))')} AS factor, extract(year FROM o_orderdate) AS year
+FROM {{orders}} WHERE o_totalprice > 0 GROUP BY 1, extract(year FROM o_orderdate) HAVING count(*) > 1""")
+sql_query("pivot_report", lambda d: "SELECT extract(year FROM date) AS year, " + ", ".join(f"{rounded(f'avg(CASE WHEN sector = {k} THEN logret END)')} AS sector_{k}" for k in range(5)) + " FROM {month} GROUP BY 1")

@@ -12,6 +12,7 @@ from ..operators.engines import DualLeg, Lots, SingleLeg, simulate
 from ..operators.models import EgarchSpec, egarch_forecast, fama_macbeth, hmm_probabilities, lasso_search
 from ..operators.panel import MONTH, NATION_WEEK, load_panel
 from ..operators.search import SearchSpec, evolve
+from ..operators.walkforward import ScreenSpec, neutralize, screen, signal_bank, slices
 from ..streaming.bars import daily_bars, read_events, run_available
 from .catalog import register
 from .library import GRAM, KEPT, SIGNALS
@@ -86,3 +87,31 @@ register("engine_single_leg", engine_single_leg)
 register("engine_dual_leg", engine_dual_leg)
 register("engine_lots", engine_lots)
 register("stream_daily_bars", stream_daily_bars, STREAM_ORACLE)
+
+
+def walk_forward_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = signals(spark, sf_dir).select("date", "ticker", *FACTORS, "y5").persist()
+    return screen(rows, FACTORS, "y5")
+
+
+def signal_bank_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = signals(spark, sf_dir).select("date", "ticker", *FACTORS, "y5").persist()
+    return signal_bank(rows.drop("y5"), screen(rows, FACTORS, "y5", ScreenSpec(least_abs_mean=0.0)), slices(rows, ScreenSpec()))
+
+
+def barra_neutral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = signals(spark, sf_dir).withColumn("ln_cap", F.log(F.when(F.col("mcap") > 0, F.col("mcap"))))
+    return neutralize(rows, "s4", ("ln_cap", "s5"), "sector")
+
+
+def blotter_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = simulate(_orders(spark, sf_dir), [SingleLeg(f"hold{h}", hold=h) for h in (1, 4)] + [Lots()])
+    return days.groupBy("scenario", F.year("date").alias("year")).agg(
+        F.sum("n_bought").alias("bought"), F.sum("n_sold").alias("sold"), F.sum("n_failed").alias("failed"), F.max_by("nav", "date").alias("nav"), F.avg(1 - F.col("cash") / F.col("nav")).alias("used")
+    )
+
+
+register("walk_forward_screen", walk_forward_screen)
+register("signal_bank", signal_bank_query)
+register("barra_neutral", barra_neutral)
+register("blotter_daily", blotter_daily)

@@ -13,6 +13,7 @@ from panelforge.operators.models import (
     egarch_filter, egarch_forecast, fama_macbeth, fit_hmm, fold_grams, greedy_prune, hmm_probabilities, lasso_path, normal_sf, partial_correlations, t_cdf,
 )
 from panelforge.operators.search import SearchSpec, Tree, evolve
+from panelforge.operators.walkforward import ScreenSpec, neutralize, screen, signal_bank, slices
 from panelforge.sources.tables import append, read_aggregates, read_bars, split_by_clock, upsert
 from panelforge.streaming.bars import daily_bars, read_events, run_available
 
@@ -168,3 +169,30 @@ def test_stream_equals_batch(spark, duck):
 
     mine, theirs = same_rows(run_available(daily_bars(read_events(spark, SMALL)), "test_bars"), duck.sql(STREAM_ORACLE))
     assert mine == theirs and mine
+
+
+def test_neutral_on_regressors_and_groups(spark):
+    df, pdf = frame(spark, days=4)
+    pdf["g"] = (pdf["ticker"] % 3).astype(float)
+    pdf.loc[pdf["date"] == pdf["date"].max(), "a"] = np.nan
+    out = neutralize(spark.createDataFrame(pdf), "y", ("a", "b"), "g", ridge=0.0).toPandas()
+    assert len(out) == 36
+    whole = out.merge(pdf, on=["date", "ticker"])
+    for _, g in whole.groupby("date"):
+        design = np.column_stack([np.ones(len(g)), g[["a", "b"]], *[(g["g"] == k).astype(float) for k in (1.0, 2.0)]])
+        np.testing.assert_allclose(g["residual"], g["y"] - design @ np.linalg.lstsq(design, g["y"], rcond=None)[0], atol=1e-6)
+
+
+def test_screening_keeps_the_factor_and_not_its_copy(spark):
+    from pyspark.sql import functions as F
+
+    df, _ = frame(spark, days=80)
+    df = df.withColumn("copy", F.col("a") * 2 + 0.001 * F.col("b")).persist()
+    spec = ScreenSpec(train=50, least_train=40, every=15, holdout=10, least_days=30, least_oos=5)
+    found = screen(df, ("a", "b", "copy"), "y", spec)
+    rows = found.collect()
+    assert rows and all((r.passed and sum(x.kept for x in rows if x.slice == r.slice and x.factor in ("a", "copy")) == 1) for r in rows if r.factor == "a")
+    bank = signal_bank(df.drop("y"), found, slices(df, spec)).toPandas()
+    assert len(bank) and abs(bank.groupby(["slice", "date"])["z"].mean()).max() < 1e-9
+    plan = slices(df, spec).collect()
+    assert all(p.train_to <= p.hold_from - spec.purge for p in plan)
