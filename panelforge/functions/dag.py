@@ -89,9 +89,6 @@ class Dialect:
     def struct(self, *columns: str) -> str:
         return f"{'struct' if self.spark else 'row'}({', '.join(columns)})"
 
-    def order_by_bytes(self, x: str) -> str:
-        return x
-
 
 SPARK, DUCK = Dialect(True), Dialect(False)
 
@@ -122,7 +119,7 @@ class Emitter:
             case "/":
                 return f"({a[0]} / nullif({a[1]}, 0))"
             case "div_eps":
-                return f"({a[0]} / ({a[1]} + 1e-12D))" if self.d.spark else f"({a[0]} / ({a[1]} + 1e-12::DOUBLE))"
+                return f"({a[0]} / ({a[1]} + {literal(1e-12)}))"
             case "neg":
                 return f"(-{a[0]})"
             case "abs" | "exp" | "tanh" | "floor":
@@ -213,7 +210,7 @@ class Emitter:
             case "rank":
                 by = f"PARTITION BY {self.date} ORDER BY {rounded} NULLS LAST"
                 ties = f"count(*) OVER ({by} RANGE BETWEEN CURRENT ROW AND CURRENT ROW)"
-                return f"(CASE WHEN {x} IS NOT NULL THEN (rank() OVER ({by}) + ({ties} - 1) / 2.0D) / count({x}) OVER {day} END)".replace("2.0D", "2.0D" if d.spark else "2.0::DOUBLE")
+                return f"(CASE WHEN {x} IS NOT NULL THEN (rank() OVER ({by}) + ({ties} - 1) / {literal(2.0)}) / count({x}) OVER {day} END)"
             case "rank_ordinal":
                 by = f"PARTITION BY {self.date} ORDER BY {rounded} NULLS LAST, {self.ticker}"
                 return f"(CASE WHEN {x} IS NOT NULL THEN CAST(row_number() OVER ({by}) AS DOUBLE) / count({x}) OVER {day} - {literal(0.5)} END)"

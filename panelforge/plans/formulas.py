@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from ..functions.dag import Node
 from ..functions.ops import (
-    absolute, coalesce, col, correlation, covariance, decay_linear, delay, delta, flag, indneutralize, known, ln, lt, maxn, minn, null, nullif0,
+    absolute, coalesce, col, correlation, covariance, decay_linear, delay, delta, flag, indneutralize, ln, lt, maxn, minn, null, nullif0,
     parity, product, rank, scale, sign, signedpower, stddev, ts_argmax, ts_argmin, ts_max, ts_mean, ts_min, ts_rank, ts_sum, where,
 )
 
@@ -161,5 +161,3 @@ def masked(n: int, sample: Node | None = None) -> Node:
     f = FORMULAS[n]
     return f if sample is None else where(sample, f, null())
 
-
-__all__ = ["FORMULAS", "PAPER", "SINGLE_LEG", "masked", "known"]
