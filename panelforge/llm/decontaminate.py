@@ -7,7 +7,6 @@ match that ends at a word tells which windows of an item occur there.
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -232,10 +231,6 @@ def match_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, blo
     )
 
 
-def _is_word(c: int) -> bool:
-    return WORD_TABLE[c] != 0x20
-
-
 def cut_words(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     """The text without the words of ``spans``; what stands between two cut words goes with them."""
     flags = np.frombuffer(raw.translate(WORD_TABLE), np.uint8) != 0x20

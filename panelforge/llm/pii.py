@@ -101,7 +101,10 @@ def _votes(c: Column) -> list[Column]:
     """-1, 0 or 1 of each labeler for a span."""
     digits = F.regexp_replace(c.m, "[^0-9]", "")
     yes = lambda x: F.when(x, 1).otherwise(-1)
-    by_kind = lambda cases, other=0: F.expr("0") if not cases else reduce(lambda w, kv: w.when(c.kind == kv[0], kv[1]), cases.items(), F.when(F.lit(False), 0)).otherwise(other)
+
+    def by_kind(cases: dict[str, Column], other: int = 0) -> Column:
+        return reduce(lambda w, kv: w.when(c.kind == kv[0], kv[1]), cases.items(), F.when(F.lit(False), 0)).otherwise(other)
+
     format_ = by_kind({
         "email": yes(c.m.rlike(r"^[A-Za-z0-9][A-Za-z0-9._%+-]*@[^@]+\.[A-Za-z]{2,24}$")),
         "ip": yes(~c.m.rlike(r"(^|\.)0[0-9]")),
