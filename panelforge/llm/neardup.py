@@ -325,19 +325,19 @@ def _mixed_lists(survivors: DataFrame, labels: DataFrame, best_only: bool, parti
     dealt = chosen.withColumn("own", own).withColumn("at", F.explode(place)).select(
         F.xxhash64("token", "at").alias("gid"), "key", "comp", (F.col("at") == F.col("own")).alias("resident"), (F.col("comp") != F.col("home")).alias("query")
     )
-    facts = survivors.select("key", "n", "bits")
-    dealt = dealt.join(facts, "key").select("gid", "key", "comp", "n", "bits", "resident", "query")
+    facts = survivors.select("key", "n", F.size("tokens").alias("s"), "bits")
+    dealt = dealt.join(facts, "key").select("gid", "key", "comp", "n", "bits", "resident", "query", "s")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = [[] for _ in range(7)]
+        columns = [[] for _ in range(8)]
         for batch in batches:
-            for i in range(7):
+            for i in range(8):
                 columns[i] += batch.column(i).to_pylist()
         found: set[tuple[int, int]] = set()
         if columns[0]:
             gid, key, comp, n = (np.array(c, np.int64) for c in columns[:4])
             bits = np.frombuffer(b"".join(columns[4]), np.uint64).reshape(len(gid), -1)
-            resident, query = np.array(columns[5], bool), np.array(columns[6], bool)
+            resident, query, shared = np.array(columns[5], bool), np.array(columns[6], bool), np.array(columns[7], np.int64)
             order = np.argsort(gid, kind="stable")
             starts = np.append(_runs(gid[order]), len(gid))
             for a, b in zip(starts[:-1], starts[1:], strict=True):
@@ -349,7 +349,8 @@ def _mixed_lists(survivors: DataFrame, labels: DataFrame, best_only: bool, parti
                     if not len(near):
                         continue
                     apart = np.bitwise_count(bits[near] ^ bits[q]).sum(axis=1, dtype=np.int64)
-                    ok = 7 * (n[near] + n[q] - apart) >= 6 * (n[near] + n[q])
+                    # the overlap is at most (shared[x] + shared[y] - apart) / 2
+                    ok = 7 * (shared[near] + shared[q] - apart) >= 6 * (n[near] + n[q])
                     near, apart = near[ok], apart[ok]
                     if best_only:
                         by = np.lexsort((apart, comp[near]))
@@ -358,7 +359,7 @@ def _mixed_lists(survivors: DataFrame, labels: DataFrame, best_only: bool, parti
         pairs = list(found)
         yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    return _partition_of(dealt, "gid", partitions).mapInArrow(search, "a bigint, b bigint").distinct()
+    return _partition_of(dealt, "gid", partitions).mapInArrow(search, "a bigint, b bigint")
 
 
 def _verified(pairs: DataFrame, survivors: DataFrame) -> DataFrame:
@@ -391,7 +392,7 @@ def class_components(docs: DataFrame) -> DataFrame:
     members = heads.join(heads.groupBy("mh").count().where("count > 1").select("mh"), "mh").select("mh", "key").join(survivors.select("key", "n", "tokens"), "key")
     labels = refine(labels, saved(_group_links(members.select("mh", "key", "n", "tokens"), buckets)))
     for best_only in (True, False):
-        pairs = saved(_mixed_lists(survivors, labels, best_only, buckets))
+        pairs = saved(_mixed_lists(survivors, labels, best_only, buckets).distinct())
         if not pairs.isEmpty():
             labels = refine(labels, saved(_verified(pairs, survivors)))
     return labels
