@@ -122,7 +122,7 @@ sql_query("ic_spearman", lambda d: f"WITH {_ic(d, True)} SELECT factor, date, n,
 sql_query("ic_flagship", lambda d: f"WITH {_ic(d)} SELECT date, n, {rounded('ic')} AS ic FROM ic WHERE factor = 's1'")
 sql_query("ic_summary", lambda d: f"""WITH {_ic(d, True)}
 SELECT factor, count(ic) AS n, {rounded('avg(ic)')} AS mean, {rounded('stddev_samp(ic)')} AS sd, {rounded('avg(ic) / nullif(stddev_samp(ic), 0)')} AS ir,
-       {rounded('avg(CASE WHEN ic > 0 THEN CAST(1 AS DOUBLE) WHEN ic IS NOT NULL THEN CAST(0 AS DOUBLE) END)')} AS positive, {rounded('avg(ic) / nullif(stddev_samp(ic) / sqrt(count(ic)), 0)')} AS t_classic
+       {rounded('avg(CASE WHEN round(ic, 9) > 0 THEN CAST(1 AS DOUBLE) WHEN ic IS NOT NULL THEN CAST(0 AS DOUBLE) END)')} AS positive, {rounded('avg(ic) / nullif(stddev_samp(ic) / sqrt(count(ic)), 0)')} AS t_classic
 FROM ic GROUP BY factor""")
 
 
