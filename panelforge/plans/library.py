@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..functions.dag import DUCK, SPARK, Dialect, Node, compute, duck_sql
 from ..functions.features import FEATURES
 from ..functions.ops import (
-    clip, coalesce, col, correlation, covariance, cs_mean, cum_count, decay_linear, delay, delta, ffill, flag, fwd_sum, indneutralize, known, null, product, rank,
+    absolute, clip, coalesce, col, correlation, covariance, cs_mean, cum_count, decay_linear, delay, delta, ffill, flag, fwd_sum, indneutralize, known, null, product, rank,
     rank_ordinal, rolling_beta, scale, sign, signedpower, stddev, ts_argmax, ts_argmin, ts_max, ts_mean, ts_mean_frac, ts_min, ts_rank, ts_std_frac, ts_sum, where, zscore,
 )
 from ..operators.panel import COLUMNS, MONTH, NATION_WEEK, WEEK, PanelSpec, load_panel, panel_ctes
@@ -25,8 +25,10 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 # ---------------------------------------------------------------- panels and windows of a ticker
 
-panel_query("panel_month", MONTH, {c: col(c) for c in COLUMNS})
-panel_query("panel_week_dense", WEEK, {c: col(c) for c in COLUMNS})
+#: Capitalisations are reported in millions, within the digits that a float's sixth decimal needs.
+BARS = {c: col(c) for c in COLUMNS if c != "mcap"} | {"mcap_millions": col("mcap") / 1e6}
+panel_query("panel_month", MONTH, BARS)
+panel_query("panel_week_dense", WEEK, BARS)
 panel_query("adv_ladder", NATION_WEEK, {f"adv{n}": delay(ts_mean(V, n), 1) for n in (5, 10, 15, 20, 30, 40, 50, 60, 81, 120, 150, 180)})
 for _name, _node in {
     "ts_delay": delay(C, 3), "ts_delta": delta(C, 3), "ts_sum": ts_sum(V, 10), "ts_mean": ts_mean(C, 10), "ts_min": ts_min(L, 10), "ts_max": ts_max(H, 10),
@@ -42,7 +44,7 @@ for _name, _node in {
 
 for _name, _node in {
     "cs_rank": rank(C), "cs_rank_ordinal": rank_ordinal(V), "cs_rank_centered": rank(V) - 0.5, "cs_scale": scale(C - cs_mean(C)), "cs_indneutralize": indneutralize(C, col("industry")),
-    "cs_zscore": zscore(C), "cs_zscore_population": zscore(C, 2, False), "cs_zscore_gated": zscore(C, 99), "cs_z_clip": clip(zscore(R), -3.0, 3.0), "signedpower_pow": signedpower(R, 0.5) + rank(C) ** R,
+    "cs_zscore": zscore(C), "cs_zscore_population": zscore(C, 2, False), "cs_zscore_gated": zscore(C, 99), "cs_z_clip": clip(zscore(R), -3.0, 3.0), "signedpower_pow": signedpower(R, 0.5) + rank(C) ** absolute(R),
     "mixed_depth": rank(correlation(rank(C), rank(V), 6)),
 }.items():
     panel_query(_name, MONTH, {"value": _node})
