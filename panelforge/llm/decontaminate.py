@@ -19,7 +19,9 @@ from .common import WORD_TABLE, small_batches
 
 WINDOW = 10
 #: Bytes of item text whose automaton one task may hold; more items are searched block by block.
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 2_000_000
+#: Bytes of documents that a task searches for one block after the other, where there are several.
+ROUND_BYTES = 32_000_000
 
 
 def word_list(text: bytes) -> list[bytes]:
@@ -185,6 +187,18 @@ def _automaton(block: list[tuple[str, bytes]], window: int) -> SuffixAutomaton:
     return _BUILT[mark]
 
 
+def _rounds(batches: Iterator[pa.RecordBatch], blocks: int) -> Iterator[pa.RecordBatch]:
+    """The batches; with several blocks joined to ``ROUND_BYTES``, so that automata are rebuilt seldom."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if blocks < 2 or sum(b.nbytes for b in held) >= ROUND_BYTES:
+            yield pa.concat_batches(held) if len(held) > 1 else held[0]
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
@@ -206,19 +220,22 @@ def match_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, blo
     shared = [sc.broadcast(block) for block in item_blocks(benchmark, block_bytes)]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [word_list(t) if t is not None else [] for t in batch.column(1).to_pylist()]
-            spans: list[list[tuple[int, int]]] = [[] for _ in texts]
-            items: list[set[str]] = [set() for _ in texts]
+        for batch in _rounds(batches, len(shared)):
+            raws = batch.column(1).to_pylist()
+            counts = [0] * len(raws)
+            spans: list[list[tuple[int, int]]] = [[] for _ in raws]
+            items: list[set[str]] = [set() for _ in raws]
             for block in shared:
                 automaton = _automaton(block.value, window)
-                for i, words in enumerate(texts):
+                for i, raw in enumerate(raws):
+                    words = word_list(raw or b"")
                     got, names = automaton.hits(words)
+                    counts[i] = len(words)
                     spans[i] += got
                     items[i] |= names
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), pa.array([len(w) for w in texts], pa.int64()),
+                    batch.column(0), pa.array(counts, pa.int64()),
                     pa.array([[{"start": a, "end": b} for a, b in _merged(s)] for s in spans], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                     pa.array([sorted(i) for i in items], pa.list_(pa.string())),
                 ],
@@ -243,7 +260,7 @@ def cut_words(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, raw[at:]])
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, max_coverage: float = 0.8) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, max_coverage: float = 0.8, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` without benchmark passages: hit words are cut from the text.
 
     A document of which more than ``max_coverage`` of the words are hit goes altogether.  Others
@@ -252,26 +269,28 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
     """
     small_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
-    shared = [sc.broadcast(block) for block in item_blocks(benchmark)]
+    shared = [sc.broadcast(block) for block in item_blocks(benchmark, block_bytes)]
     at = docs.columns.index("text")
     counted = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _rounds(batches, len(shared)):
             texts = batch.column(at).to_pylist()
             sizes = batch.column(counted).to_pylist() if counted is not None else []
             keep = np.ones(len(texts), bool)
-            for i, text in enumerate(texts):
-                if not text:
-                    continue
-                raw = text.encode()
-                words = word_list(raw)
-                spans = _merged([s for block in shared for s in _automaton(block.value, window).hits(words)[0]])
-                if spans:
-                    keep[i] = sum(b - a for a, b in spans) <= max_coverage * len(words)
-                    texts[i] = cut_words(raw, spans).decode()
-                    if sizes:
-                        sizes[i] = len(texts[i])
+            hit: dict[int, list[tuple[int, int]]] = {}
+            for block in shared:
+                automaton = _automaton(block.value, window)
+                for i, text in enumerate(texts):
+                    if text and (found := automaton.hits(word_list(text.encode()))[0]):
+                        hit.setdefault(i, []).extend(found)
+            for i, found in hit.items():
+                raw = texts[i].encode()
+                spans = _merged(found)
+                keep[i] = sum(b - a for a, b in spans) <= max_coverage * len(word_list(raw))
+                texts[i] = cut_words(raw, spans).decode()
+                if sizes:
+                    sizes[i] = len(texts[i])
             columns = list(batch.columns)
             columns[at] = pa.array(texts, batch.schema.field(at).type)
             if counted is not None:

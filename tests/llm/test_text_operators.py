@@ -104,7 +104,7 @@ def brute_hits(text, items, window=10):
     return len(w), len(hit), sorted(found)
 
 
-def test_hits_equal_brute_force(spark, docs):
+def test_hits_equal_brute_force(spark, docs, monkeypatch):
     draw = random.Random(5)
     some = lambda lo, hi: " ".join(draw.choice("abcd") for _ in range(draw.randint(lo, hi)))
     items = [(i, some(1, 14)) for i in range(12)] + [(50, None), (51, "?!"), (None, "a b c"), (52, "Shared words"), (53, "shared WORDS")]
@@ -116,6 +116,11 @@ def test_hits_equal_brute_force(spark, docs):
         assert (r.n_words, sum(s.end - s.start for s in r.spans), list(r["items"])) == brute_hits(texts[r.doc_id], known)
     blocks = decontaminate.match_spans(docs(texts), bench, block_bytes=20).collect()
     assert sorted(map(str, blocks)) == sorted(map(str, rows))
+    whole = decontaminate.decontaminate(docs(texts), bench).collect()
+    for rounds in (1, 10**6):
+        monkeypatch.setattr(decontaminate, "ROUND_BYTES", rounds)
+        parts = decontaminate.decontaminate(docs(texts), bench, block_bytes=20).collect()
+        assert sorted(map(str, parts)) == sorted(map(str, whole))
 
 
 def test_spans_are_cut(spark, docs):
