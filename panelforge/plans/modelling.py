@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dag import compute
 from ..functions.ops import col, fwd_sum
+from ..operators import ledger
 from ..operators.engines import DualLeg, Lots, SingleLeg, simulate
 from ..operators.models import EgarchSpec, egarch_forecast, fama_macbeth, hmm_probabilities, lasso_search
 from ..operators.panel import MONTH, NATION_WEEK, load_panel
@@ -115,3 +116,19 @@ register("walk_forward_screen", walk_forward_screen)
 register("signal_bank", signal_bank_query)
 register("barra_neutral", barra_neutral)
 register("blotter_daily", blotter_daily)
+
+
+def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lots of ``_orders`` in yearly stages, each with ``hold`` more dates to sell in."""
+    rows = _orders(spark, sf_dir).withColumn("eligible", F.col("price").isNotNull())
+    year = F.trunc("date", "year")
+    stages = rows.groupBy(year.alias("stage")).agg(F.min("date").alias("first"), F.max("date").alias("last"))
+    scenario = Lots()
+    return ledger.lot_ledger(ledger.stage_rows(rows, stages, scenario.hold), [scenario])
+
+
+for _name, _report in {
+    "lot_orders": ledger.orders, "lot_trades": ledger.trades, "lot_sell_failures": ledger.sell_failures, "lot_table": ledger.lots,
+    "lot_round_trips": ledger.round_trips, "lot_execution_daily": ledger.execution_daily,
+}.items():
+    register(_name, lambda spark, sf_dir, report=_report: report(_ledger(spark, sf_dir)))
