@@ -1,7 +1,8 @@
 """Search for formulas by genetic programming over the expression planner.
 
 A population is compiled to expressions, so shared sub-trees are computed once, and scored in one
-job a generation: a row for each formula and date, then one for each formula.
+job a generation: a row for each formula and date, then one for each formula.  The same job gives the
+ICs of the training dates, which breed, and of the later validation dates, which choose.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.dag import Node, compute
 from ..functions.ops import absolute, col, tanh, sign, ts_mean_frac, ts_std_frac, zscore
@@ -97,6 +99,16 @@ class SearchSpec:
     penalty: float = 0.022
     least_names: int = 10
     least_days: int = 40
+    least_validation_days: int = 20
+    train_share: float = 0.8
+    purge: int = 5
+    validated: int = 16
+    gap_penalty: float = 0.15
+    flip_penalty: float = 1.0
+    least_gain: float = 1e-3
+    patience: int = 25
+    pool: int = 300
+    kept: int = 10
     seed: int = 7
 
     def __post_init__(self) -> None:
@@ -141,9 +153,59 @@ def mutate(rng: random.Random, t: Tree, terminals: tuple[str, ...], spec: Search
     return new if new.depth() <= spec.depth else t
 
 
-def fitness(panel: DataFrame, trees: list[Tree], target: Node, spec: SearchSpec, lags: int = 10) -> dict[str, tuple[float, float, int]]:
-    """Formula -> (Newey-West t of the daily IC, mean IC, days) of those with days enough."""
-    unique = {t.key(): t for t in trees if t.rolling() or any(not t.get(p).kids and t.get(p).op != "const" for p in t.paths())}
+@dataclass(frozen=True)
+class Score:
+    """Newey-West t and mean of the daily ICs of some dates."""
+
+    t: float
+    mean_ic: float
+    days: int
+
+
+@dataclass(frozen=True)
+class Candidate:
+    """A formula met in the search, with its scores on training and validation dates (None: too few)."""
+
+    tree: Tree
+    train: Score | None
+    validation: Score | None
+
+    def objective(self, spec: SearchSpec) -> float:
+        return self.train.t - spec.penalty * self.tree.complexity() if self.train else float("-inf")
+
+    def adjusted(self, spec: SearchSpec) -> float:
+        """The validation objective less penalties for falling behind training and for a change of sign."""
+        if not self.train or not self.validation:
+            return float("-inf")
+        t, v = self.train.t, self.validation.t
+        return v - spec.penalty * self.tree.complexity() - spec.gap_penalty * max(0.0, t - v) - spec.flip_penalty * (t * v < 0)
+
+
+def newey_west(series: list[float], least: int, lags: int = 10) -> Score | None:
+    n = len(series)
+    if n < max(least, 3):
+        return None
+    mean = sum(series) / n
+    u = [x - mean for x in series]
+    most = min(lags, n - 2)
+    var = sum(x * x for x in u) / n + sum(2 * (1 - k / (most + 1)) * sum(a * b for a, b in zip(u[k:], u, strict=False)) / n for k in range(1, most + 1))
+    return Score(mean / (max(var, 1e-18) / n) ** 0.5, mean, n)
+
+
+def purged_split(panel: DataFrame, spec: SearchSpec) -> tuple:
+    """The last training and the first validation date: ``purge`` dates on either side of the cut are in neither."""
+    at = Window.orderBy("date")
+    found = panel.select("date").distinct().withColumn("i", F.row_number().over(at) - 1).withColumn("n", F.count("*").over(Window.partitionBy()))
+    cut = F.floor(F.col("n") * spec.train_share)
+    ends = found.agg(F.max(F.when(F.col("i") < cut - spec.purge, F.col("date"))), F.min(F.when(F.col("i") >= cut + spec.purge, F.col("date")))).first()
+    return ends[0], ends[1]
+
+
+def fitness(panel: DataFrame, trees: list[Tree], target: Node, spec: SearchSpec, ends: tuple) -> dict[str, Candidate]:
+    """Formula -> candidate, of the formulas that hold a column; scored in one job."""
+    unique = {t.key(): t for t in trees if any(not t.get(p).kids and t.get(p).op != "const" for p in t.paths())}
+    if not unique:
+        return {}
     names = {f"g{i}": k for i, k in enumerate(unique)}
     outputs = {g: zscore(unique[k].node(), spec.least_names) for g, k in names.items()} | {"target": target}
     wide = compute(panel, outputs)
@@ -151,48 +213,85 @@ def fitness(panel: DataFrame, trees: list[Tree], target: Node, spec: SearchSpec,
     sd = F.stddev_samp("x") * F.stddev_samp("target")
     ic = long.where("x IS NOT NULL").groupBy("g", "date").agg(F.count("*").alias("n"), F.when(sd > 1e-12, F.covar_samp("x", "target") / F.nullif(sd, F.lit(0.0))).alias("ic"))
     ic = ic.where((F.col("n") >= spec.least_names) & F.col("ic").isNotNull())
-    series = F.transform(F.array_sort(F.collect_list(F.struct("date", "ic"))), lambda s: s.ic)
+    series = F.array_sort(F.collect_list(F.struct("date", "ic")))
+    last, first = ends
     out = {}
     for r in ic.groupBy("g").agg(series.alias("s")).collect():
-        s = r["s"]
-        n = len(s)
-        if n < spec.least_days:
-            continue
-        mean = sum(s) / n
-        u = [x - mean for x in s]
-        most = min(lags, n - 2)
-        var = sum(x * x for x in u) / n + sum(2 * (1 - k / (most + 1)) * sum(a * b for a, b in zip(u[k:], u, strict=False)) / n for k in range(1, most + 1))
-        out[names[r["g"]]] = (mean / (max(var, 1e-18) / n) ** 0.5, mean, n)
+        key = names[r["g"]]
+        train = newey_west([x["ic"] for x in r["s"] if last is not None and x["date"] <= last], spec.least_days)
+        validation = newey_west([x["ic"] for x in r["s"] if first is not None and x["date"] >= first], spec.least_validation_days)
+        out[key] = Candidate(unique[key], train, validation)
     return out
 
 
-def evolve(panel: DataFrame, terminals: tuple[str, ...], target: Node, spec: SearchSpec = SearchSpec()) -> list[tuple[str, float, float, float, int]]:
-    """The best formulas found: (formula, objective, t, mean IC, complexity), best first.
-
-    The same seed gives the same search.  The driver holds one series of daily ICs for each formula.
+@dataclass(frozen=True)
+class Found:
+    formula: str
+    adjusted: float
+    objective: float
+    t: float
+    validation_t: float | None
+    mean_ic: float
+    complexity: int
+    generations: int
+
+
+def evolve(panel: DataFrame, terminals: tuple[str, ...], target: Node, spec: SearchSpec = SearchSpec()) -> list[Found]:
+    """The best formulas found, best first.
+
+    Training ICs breed the generations.  The best of each generation are looked at on the validation
+    dates; the search ends early after ``patience`` generations without a better one.  The result is
+    drawn from a pool that favours formulas that stayed over generations; the best one validated leads
+    it into the table.  The same seed gives the same search.  The driver holds one series of daily ICs
+    for each formula.
     """
     rng = random.Random(spec.seed)
     people = [grow(rng, terminals, spec, rng.randint(1, spec.depth)) for _ in range(spec.population)]
-    seen: dict[str, tuple[float, float, float, int]] = {}
-    for generation in range(spec.generations):
+    ends = purged_split(panel, spec)
+    seen: dict[str, Candidate] = {}
+    stayed: dict[str, int] = {}
+    best, best_key, idle = float("-inf"), None, 0
+
+    def rank(t: Tree) -> tuple[float, str]:
+        return -seen[t.key()].objective(spec), t.key()
+
+    for _ in range(spec.generations):
         fresh = {t.key(): t for t in people if t.key() not in seen}
-        scores = fitness(panel, list(fresh.values()), target, spec) if fresh else {}
-        for k, t in fresh.items():
-            v = scores.get(k)
-            seen[k] = (v[0] - spec.penalty * t.complexity(), v[0], v[1], t.complexity()) if v else (float("-inf"), 0.0, 0.0, t.complexity())
-        if generation == spec.generations - 1:
+        scores = fitness(panel, list(fresh.values()), target, spec, ends) if fresh else {}
+        seen |= {k: scores.get(k, Candidate(t, None, None)) for k, t in fresh.items()}
+        distinct = list({t.key(): t for t in sorted(people, key=rank)}.values())
+        for t in distinct:
+            stayed[t.key()] = stayed.get(t.key(), 0) + 1
+        top = max(distinct[: spec.validated], key=lambda t: (seen[t.key()].adjusted(spec), t.key()))
+        if seen[top.key()].adjusted(spec) > best + spec.least_gain:
+            best, best_key, idle = seen[top.key()].adjusted(spec), top.key(), 0
+        else:
+            idle += 1
+        if idle >= spec.patience:
             break
-        ranked = sorted(people, key=lambda t: (-seen[t.key()][0], t.key()))
-        best = list({t.key(): t for t in ranked}.values())[: max(1, int(spec.elites * spec.population))]
-
         parents = people
 
         def pick() -> Tree:
-            return min((rng.choice(parents) for _ in range(spec.tournament)), key=lambda t: (-seen[t.key()][0], t.key()))
+            return min((rng.choice(parents) for _ in range(spec.tournament)), key=rank)
 
-        people = list(best)
+        people = distinct[: max(1, int(spec.elites * spec.population))]
         while len(people) < spec.population:
             u = rng.random()
             people.append(cross(rng, pick(), pick(), spec) if u < spec.cross else mutate(rng, pick(), terminals, spec) if u < spec.cross + spec.mutate else pick())
-    good = sorted(((k, *v) for k, v in seen.items() if v[0] > float("-inf")), key=lambda x: (-x[1], x[0]))
-    return good[:10]
+    return _table(seen, stayed, best_key, spec)
+
+
+def _table(seen: dict[str, Candidate], stayed: dict[str, int], best_key: str | None, spec: SearchSpec) -> list[Found]:
+    good = [(k, c) for k, c in seen.items() if c.train]
+    pool = sorted(good, key=lambda x: (-(x[1].objective(spec) + 0.05 * stayed[x[0]]), x[0]))[: spec.pool]
+
+    def order(x: tuple[str, Candidate]) -> tuple:
+        k, c = x
+        return -c.adjusted(spec), -stayed[k], -(c.validation.t if c.validation else float("-inf")), -c.objective(spec), c.tree.complexity(), k
+
+    chosen = sorted(pool, key=order)[: spec.kept]
+    if best_key is not None and best_key not in dict(chosen):
+        chosen = [(best_key, seen[best_key]), *chosen][: spec.kept]
+    return [
+        Found(k, c.adjusted(spec), c.objective(spec), c.train.t, c.validation.t if c.validation else None, c.train.mean_ic, c.tree.complexity(), stayed[k]) for k, c in sorted(chosen, key=order)
+    ]

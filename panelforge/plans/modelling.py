@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import astuple
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,7 +49,8 @@ def hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def formula_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel = compute(load_panel(spark, sf_dir, NATION_WEEK), SIGNALS, keep=("logret",)).cache()
     found = evolve(panel, FACTORS, fwd_sum(col("logret"), 5), SearchSpec())
-    return spark.createDataFrame(found, "formula string, objective double, t double, mean_ic double, complexity int")
+    rows = [astuple(f) for f in found]
+    return spark.createDataFrame(rows, "formula string, adjusted double, objective double, t double, validation_t double, mean_ic double, complexity int, generations int")
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:

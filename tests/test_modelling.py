@@ -12,7 +12,7 @@ from panelforge.operators.engines import NAV_SCHEMA, DualLeg, Lots, SingleLeg, d
 from panelforge.operators.models import (
     egarch_filter, egarch_forecast, fama_macbeth, fit_hmm, fold_grams, greedy_prune, hmm_probabilities, lasso_path, normal_sf, partial_correlations, t_cdf,
 )
-from panelforge.operators.search import SearchSpec, Tree, evolve
+from panelforge.operators.search import Candidate, Score, SearchSpec, Tree, evolve, purged_split
 from panelforge.operators.walkforward import ScreenSpec, neutralize, screen, signal_bank, slices
 from panelforge.sources.tables import append, read_aggregates, read_bars, split_by_clock, upsert
 from panelforge.streaming.bars import daily_bars, read_events, run_available
@@ -133,10 +133,33 @@ def test_trees():
 
 def test_search_is_repeatable_and_finds_the_factor(spark):
     df, _ = frame(spark, days=50, names=15)
-    spec = SearchSpec(population=8, generations=2, least_names=5, least_days=20)
+    spec = SearchSpec(population=8, generations=2, least_names=5, least_days=20, least_validation_days=3, purge=2)
     df = df.withColumn("z", col_lead("a")).cache()
     one, two = (evolve(df, ("a", "b"), fwd_sum(col("z"), 1), spec) for _ in range(2))
     assert one == two and one
+    assert one[0].t > 5 and one[0].validation_t > 2 and "a" in one[0].formula
+    assert [f.adjusted for f in one] == sorted((f.adjusted for f in one), reverse=True)
+
+
+def test_validation_dates_follow_a_purged_gap(spark):
+    df, _ = frame(spark, days=50, names=2)
+    last, first = purged_split(df, SearchSpec(train_share=0.8, purge=3))
+    assert (last, first) == (DAY + dt.timedelta(36), DAY + dt.timedelta(43))
+    assert purged_split(df.limit(0), SearchSpec()) == (None, None)
+
+
+def test_penalties_of_validation():
+    spec = SearchSpec(penalty=0.0)
+    of = lambda t, v: Candidate(Tree("a"), Score(t, 0.1, 50), Score(v, 0.1, 20)).adjusted(spec)
+    assert of(2.0, 3.0) == 3.0 and of(4.0, 2.0) == pytest.approx(1.7) and of(2.0, -1.0) == pytest.approx(-1 - 0.45 - 1)
+    assert Candidate(Tree("a"), Score(2.0, 0.1, 50), None).adjusted(spec) == float("-inf")
+
+
+def test_search_stops_without_gain(spark):
+    df, _ = frame(spark, days=50, names=6)
+    spec = SearchSpec(population=4, generations=50, depth=1, constants=0.0, patience=2, least_names=5, least_days=20, least_validation_days=3, purge=2)
+    found = evolve(df.cache(), ("a",), fwd_sum(col("y"), 1), spec)
+    assert [f.formula for f in found] == ["a"] and found[0].generations == 3
 
 
 def col_lead(name):
