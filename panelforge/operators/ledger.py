@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .engines import Lot, Lots, lot_days
 
 LEDGER_SCHEMA = (
-    "scenario string, stage date, date date, kind string, ticker string, book int, lot long, status string, weight double, budget double, wanted long, shares long, "
+    "scenario string, stage date, date date, kind string, ticker string, book int, lot long, status string, weight double, budget double, wanted double, shares double, "
     "price double, each double, entry_date date, entry_price double, entry_each double, due_date date, cash double, nav_open double, nav double, n_held long"
 )
 COLUMNS = [c.split()[0] for c in LEDGER_SCHEMA.split(", ")]
@@ -66,7 +66,9 @@ def _events(pdf: pd.DataFrame, p: Lots, fractions: dict) -> pd.DataFrame:
             found += [of_lot("fail", t, lot, None) for lot in day.fails]
             out += [{"scenario": p.name, "stage": stage, "date": dates[t], **e} for e in found]
         cash = days[-1].nav
-    return pd.DataFrame(out, columns=COLUMNS).astype({c: "Int64" for c in ("book", "lot", "wanted", "shares", "n_held")})
+    # shares are whole, but a run that compounds over many stages can pass 64 bits
+    kinds = {c: "Int64" for c in ("book", "lot", "n_held")} | {c: float for c in ("wanted", "shares")}
+    return pd.DataFrame(out, columns=COLUMNS).astype(kinds)
 
 
 def lot_ledger(rows: DataFrame, scenarios: list[Lots], fractions: dict[str, list[float]] | None = None) -> DataFrame:
