@@ -1,10 +1,15 @@
 """Line-level dedup: repeated runs of lines by a suffix array over line IDs.
 
-Every line has a 64-bit ID.  Prefix doubling names the runs of 1, 2, 4 ... lines that begin at each
+Every line has a 64-bit ID.  In ``repeated_runs`` prefix doubling names the runs of 1, 2, 4 ... lines that begin at each
 line by pairs of names of half the length; a name is a fingerprint of its pair, so that all
 documents agree on it without a global sort in each round, and positions of one document are looked
 up in its own array.  Equal names of the wanted length are the intervals of the suffix array whose
 longest common prefix reaches it: in each, all runs but the first are later copies.
+
+``repeated_passages`` takes runs of any number of lines that have at least three lines or over 50
+words.  No suffix order is needed for that: a line is in such a run that begins earlier if and only
+if it is in a window of three lines, or in the shortest run with over 50 words that begins or ends
+at some line, and that window begins earlier.  Equal runs have equal shortest windows.
 """
 
 from __future__ import annotations
@@ -13,13 +18,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import free_name, small_batches
 from .shingles import mixed
 
 RUN = 3
+WORDS = 50
 _LEFT, _RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -69,15 +75,78 @@ def repeated_runs(docs: DataFrame, run: int = RUN) -> DataFrame:
     return starts.select("doc_id", covered.alias("removed"))
 
 
-def dedup_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """``docs`` with later copies of repeated line runs deleted from text, and ``removed`` (their line numbers).
+def spans(words: np.ndarray, run: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """First lines and lengths, without repeats, of the windows of ``run`` lines and of the shortest
+    ones with over ``limit`` words that begin or end at each line."""
+    total = np.concatenate([[0], np.cumsum(words)])
+    n = len(words)
+    at = np.arange(n)
+    ends = np.searchsorted(total, total[:-1] + limit, "right")  # the least end whose run from ``at`` has over ``limit``
+    starts = np.searchsorted(total, total[1:] - limit, "left") - 1  # the last start whose run to ``at`` has over ``limit``
+    fixed, ahead, back = at[: max(n - run + 1, 0)], at[ends <= n], at[starts >= 0]
+    both = np.concatenate([np.stack([fixed, fixed + run], 1), np.stack([ahead, ends[ahead]], 1), np.stack([starts[back], back + 1], 1)])
+    both = np.unique(both, axis=0)
+    return both[:, 0], both[:, 1] - both[:, 0]
+
+
+def span_names(ids: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The names of runs of any length: doubled names of 1, 2, 4 ... lines, joined by the bits of the length."""
+    names, at, rest = mixed(length.astype(np.uint64) * _RIGHT), first.copy(), ids
+    for bit in range(int(length.max(initial=0)).bit_length()):
+        has = (length >> bit) & 1 == 1
+        names[has] = mixed(mixed(names[has] * _LEFT + np.uint64(1)) + rest[at[has]] * _RIGHT)
+        at[has] += 1 << bit
+        step = 1 << bit
+        rest = mixed(mixed(rest[: max(len(rest) - step, 0)] * _LEFT + np.uint64(step)) + rest[step:] * _RIGHT)
+    return names
+
+
+def repeated_passages(docs: DataFrame, run: int = RUN, limit: int = WORDS) -> DataFrame:
+    """doc_id and removed (lines, ascending from 0, that later copies cover) of the rows that have any.
+
+    A line goes if it is in a run of at least ``run`` lines or over ``limit`` words that also begins
+    earlier.  Words are parted by ASCII white space.
+    """
+    small_batches(docs.sparkSession)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, first, length, names = [], [], [], []
+            for row, text in enumerate(batch.column(1).to_pylist()):
+                ids = line_ids(text or b"")
+                if len(ids):
+                    f, n = spans(np.array([len(x.split()) for x in text.split(b"\n")]), run, limit)
+                    rows.append(np.full(len(f), row))
+                    first.append(f)
+                    length.append(n)
+                    names.append(span_names(ids, f, n))
+            flat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, first, length, names)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(flat[0])), pa.array(flat[1], pa.int32()), pa.array(flat[2], pa.int32()), pa.array(flat[3].view(np.int64), pa.int64())],
+                ["doc_id", "line", "length", "name"],
+            )
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    runs = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(scan, f"doc_id {kind}, line int, length int, name bigint")
+    first = runs.groupBy("name").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")).where("n > 1").select("name", "first")
+    later = runs.join(first, "name").where(~F.struct("doc_id", "line").eqNullSafe(F.col("first")))
+    ends = later.groupBy("doc_id", "line").agg(F.max(F.col("line") + F.col("length")).alias("end"))
+    before = Window.partitionBy("doc_id").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ends.withColumn("line", F.greatest("line", F.coalesce(F.max("end").over(before), "line"))).where("line < end")
+    removed = F.array_sort(F.flatten(F.collect_list(F.sequence("line", F.col("end") - 1))))
+    return parts.groupBy("doc_id").agg(removed.alias("removed"))
+
+
+def dedup_lines(docs: DataFrame, run: int = RUN, limit: int | None = None) -> DataFrame:
+    """``docs`` with later copies of repeated line runs (also of fewer lines, if over ``limit`` words) deleted from text, and ``removed`` (their line numbers).
 
     A null text stays null, a text all of whose lines go becomes empty; no row goes.  Rows are told
     apart by doc_id: repeated rows lose the lines that repeat within or before them alike.  A row
     without doc_id stays as it is.  A column named removed already gives the new one an underscore.
     """
     name = free_name(docs.columns, "removed")
-    found = repeated_runs(docs.where(F.col("doc_id").isNotNull()), run).withColumnRenamed("doc_id", "_id").withColumnRenamed("removed", "_removed")
+    known = docs.where(F.col("doc_id").isNotNull())
+    found = (repeated_runs(known, run) if limit is None else repeated_passages(known, run, limit)).withColumnRenamed("doc_id", "_id").withColumnRenamed("removed", "_removed")
     joined = docs.join(found, docs["doc_id"] == F.col("_id"), "left")
     lines = F.split("text", "\n", -1)
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_removed")), lambda i: F.get(lines, i))
@@ -85,14 +154,23 @@ def dedup_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
     return joined.select(*columns, F.coalesce("_removed", F.array().cast("array<int>")).alias(name))
 
 
-def op7_repeated_lines(docs: DataFrame) -> DataFrame:
-    """Lines removed, and the cleaned text, of each document."""
-    cleaned = dedup_lines(docs.select("doc_id", "text"))
+def _cleaned(docs: DataFrame, limit: int | None) -> DataFrame:
+    cleaned = dedup_lines(docs.select("doc_id", "text"), limit=limit)
     return cleaned.select(
         "doc_id", F.size("removed").cast("long").alias("n_removed"), F.array_join(F.transform("removed", lambda i: i.cast("string")), ",").alias("removed_lines"), F.col("text").alias("clean_text")
     )
 
 
+def op7_repeated_lines(docs: DataFrame) -> DataFrame:
+    """Lines removed, and the cleaned text, of each document; only runs of three lines, as in ORACLE."""
+    return _cleaned(docs, None)
+
+
+def op7_repeated_passages(docs: DataFrame) -> DataFrame:
+    """As op7_repeated_lines, also with runs of one or two lines of over 50 words."""
+    return _cleaned(docs, WORDS)
+
+
 ORACLE = f"""
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
 w AS (

@@ -31,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_suffix_automaton": op5,
         "op6_divide_skip": _docs(neardup.op6_divide_skip),
         "op7_repeated_lines": _docs(linedups.op7_repeated_lines),
+        "op7_repeated_passages": _docs(linedups.op7_repeated_passages),
         "op8_secret_forest": _docs(secrets.op8_secret_forest),
         "op9_weak_supervision": op9,
         "op10_mix_sources": _docs(mixing.op10_mix_sources),

@@ -185,6 +185,34 @@ def test_repeated_runs(docs):
     assert clash.columns[-2:] == ["removed", "_removed"] and linedups.dedup_lines(docs([])).count() == 0
 
 
+def later_lines(texts, run=3, limit=50):
+    """Lines in a run of any length that begins earlier and has ``run`` lines or over ``limit`` words, by all pairs of lines."""
+    lines = [x.split("\n") if x else [] for x in texts]
+    gone = [set() for _ in texts]
+    places = [(d, i) for d, x in enumerate(lines) for i in range(len(x))]
+    for d, i in places:
+        for e, j in places:
+            if (e, j) >= (d, i):
+                break
+            n = next((k for k, (a, b) in enumerate(zip(lines[d][i:], lines[e][j:])) if a != b), min(len(lines[d]) - i, len(lines[e]) - j))
+            if n >= run or sum(len(x.split()) for x in lines[d][i : i + n]) > limit:
+                gone[d].update(range(i, i + n))
+    return [",".join(map(str, sorted(x))) for x in gone]
+
+
+def test_repeated_passages_equal_brute_force(docs):
+    draw = random.Random(7)
+    long = [" ".join(f"w{k}x{j}" for j in range(n)) for k, n in enumerate((50, 51, 137, 30, 26, 25, 1))]
+    texts = [long[2], long[2], "x\n" + long[1], long[1] + "\ny", long[0], long[0], f"a\n{long[3]}\n{long[4]}\nb", f"c\n{long[3]}\n{long[4]}\nd", f"{long[2]}\nshort\nq", f"z\n{long[2]}\nshort\nr", *ODD]
+    pool = [*long, "", "a", "b c"]
+    texts += ["\n".join(draw.choice(pool) for _ in range(draw.randint(1, 9))) for _ in range(60)]
+    out = {r.doc_id: (r.removed_lines, r.clean_text) for r in linedups.op7_repeated_passages(docs(texts)).collect()}
+    want = later_lines(texts)
+    assert [out[i][0] for i in range(len(texts))] == want
+    assert want[1] == "0" and want[3] == "0" and want[5] == "" and want[7] == "1,2" and want[9] == "1,2"
+    assert out[1][1] == "" and out[3][1] == "y" and linedups.op7_repeated_passages(docs([])).count() == 0
+
+
 def test_secret_forest_on_findings_held_out():
     forest = secrets.train_forest(secrets.sample_findings())
     held = secrets.sample_findings(1500, seed=1234)
