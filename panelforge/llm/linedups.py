@@ -1,10 +1,8 @@
-"""Line-level dedup: repeated runs of lines by a suffix array over line IDs.
+"""Line-level dedup: repeated runs of lines by fingerprints of windows of line IDs; there is no suffix array.
 
-Every line has a 64-bit ID.  In ``repeated_runs`` prefix doubling names the runs of 1, 2, 4 ... lines that begin at each
-line by pairs of names of half the length; a name is a fingerprint of its pair, so that all
-documents agree on it without a global sort in each round, and positions of one document are looked
-up in its own array.  Equal names of the wanted length are the intervals of the suffix array whose
-longest common prefix reaches it: in each, all runs but the first are later copies.
+Every line has a 64-bit ID.  ``repeated_runs`` names the runs of a fixed number of lines that begin
+at each line by combining names of shorter runs; a name is a fingerprint, so that all documents
+agree on it without a global sort.  Among equal names, all runs but the first are later copies.
 
 ``repeated_passages`` takes runs of any number of lines that have at least three lines or over 50
 words.  No suffix order is needed for that: a line is in such a run that begins earlier if and only
