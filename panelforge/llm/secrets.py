@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-#: Runs that could be secrets: assigned values, known prefixes and long tokens.
-CANDIDATE = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]*|(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,512}={0,2}(?![A-Za-z0-9+/_=-])")
+#: Runs that could be secrets: known prefixes and long tokens.
+CANDIDATE = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]*|(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])")
 
 # Words that stand beside secrets, beside harmless tokens, and in place of secrets.
 KEYS = "key secret token password passwd pwd apikey api_key auth credential bearer private access".split()
@@ -34,6 +34,10 @@ DICTIONARY = frozenset(
     "mean before move right boy old too same tell does set three want air well also play small end put home read hand port large spell add even land here must big high such follow act why ask men change "
     "went light kind off need house picture try again animal point mother world near build self earth father string config default value path user admin server client data file".split()
 )
+#: A value assigned to a key word: what ends before the separator, the separator, and the value on its line.
+KEYED = re.compile(rf"(?:{'|'.join(sorted(KEYS, key=len, reverse=True))})[\w-]*[\"'`\])]*[ \t]*$", re.IGNORECASE)
+SEPARATOR = re.compile("[:=]")
+VALUE = re.compile(r"[:=>]*[ \t]*[\"'`]?([^\s\"'`,;]+)")
 #: Bytes that stand in candidates; others become spaces.
 TOKEN_TABLE = bytes(b if chr(b) in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=." else 0x20 for b in range(256))
 LEAST = 15
@@ -46,11 +50,28 @@ def _class(c: str) -> int:
     return 0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if "0" <= c <= "9" else 3
 
 
-def candidates(text: str) -> Iterator[re.Match]:
-    """Matches of CANDIDATE; a text without a run long enough has none."""
-    if max(map(len, text.encode().translate(TOKEN_TABLE).split()), default=0) < LEAST:
-        return iter(())
-    return CANDIDATE.finditer(text)
+def assigned_values(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of the values of any length, up to white space or a quote, that are assigned to a key word."""
+    at = 0
+    while m := SEPARATOR.search(text, at):
+        at = m.end()
+        if KEYED.search(text[max(0, m.start() - CONTEXT) : m.start()]) and (value := VALUE.match(text, at)):
+            yield value.span(1)
+            at = value.end()
+
+
+def candidates(text: str) -> list[tuple[int, int]]:
+    """Spans of the matches of CANDIDATE and, where none of them lies, of assigned values."""
+    found = []
+    if max(map(len, text.encode().translate(TOKEN_TABLE).split()), default=0) >= LEAST:  # else CANDIDATE has none
+        found = [m.span() for m in CANDIDATE.finditer(text)]
+    more, at = [], 0
+    for a, b in assigned_values(text):
+        while at < len(found) and found[at][1] <= a:
+            at += 1
+        if at == len(found) or found[at][0] >= b:
+            more.append((a, b))
+    return sorted(found + more)
 
 
 def covered_share(candidate: str) -> float:
@@ -191,9 +212,9 @@ def scan_secrets(docs: DataFrame, forest: Forest, threshold: float = 0.5) -> Dat
         for batch in batches:
             spans, rows = [], []
             for i, (text, path) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                for m in candidates(text or ""):
-                    spans.append((i, m.start(), m.end()))
-                    rows.append(features(m[0], text[max(0, m.start() - CONTEXT) : m.start()], text[m.end() : m.end() + CONTEXT], path or ""))
+                for a, b in candidates(text or ""):
+                    spans.append((i, a, b))
+                    rows.append(features(text[a:b], text[max(0, a - CONTEXT) : a], text[b : b + CONTEXT], path or ""))
             scores = forest.predict(np.array(rows)) if rows else []
             counts = [0] * batch.num_rows
             found: list[list[dict]] = [[] for _ in counts]

@@ -228,6 +228,15 @@ def test_secrets_in_texts(docs):
     assert secrets.op8_secret_forest(docs([])).count() == 0
 
 
+def test_long_and_short_secrets(docs):
+    draw = random.Random(3)
+    long = "".join(draw.choice("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/") for _ in range(1600))
+    texts = [f'private_key = "{long}"', long[:513], long[:512], 'password = "s3cr3tP4ss"', "https://h/x?token=Xy9!kLm2", "password: changeme", "colour = s3cr3tP4ss", "key=key=key=" * 20_000, "keykey" * 20_000 + ":", f"{long}===", *ODD]
+    out = {r.doc_id: (r.n_candidates, r.secrets) for r in secrets.op8_secret_forest(docs(texts)).collect()}
+    assert [out[i][1] for i in range(5)] == ["15:1615", "0:513", "0:512", "12:22", "18:26"]
+    assert out[5] == (1, "") and out[6] == (0, "") and out[7][0] == 1 and out[9] == (0, "")
+
+
 def test_toxicity_held_out(spark):
     """Labels outside the held-out fold train; in it, clean texts stay and marked ones with known words go."""
     d = "/root/testdata/sf0.1"
