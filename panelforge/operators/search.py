@@ -10,17 +10,20 @@ from __future__ import annotations
 import random
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.dag import Node, compute
 from ..functions.ops import absolute, col, tanh, sign, ts_mean_frac, ts_std_frac, zscore
+from .walkforward import residuals
 
 BINARY = ("+", "-", "*", "/")
 UNARY = ("neg", "abs", "tanh", "sign")
 ROLLING = ("ts_mean", "ts_std")
-WINDOWS = (5, 10, 20)
+WINDOWS = (5, 10, 20, 60)
 
 
 @dataclass(frozen=True)
@@ -110,6 +113,8 @@ class SearchSpec:
     pool: int = 300
     kept: int = 10
     seed: int = 7
+    regressors: tuple[str, ...] = ()
+    group: str | None = None
 
     def __post_init__(self) -> None:
         if not 0 <= self.cross + self.mutate <= 1:
@@ -201,6 +206,32 @@ def purged_split(panel: DataFrame, spec: SearchSpec) -> tuple:
     return ends[0], ends[1]
 
 
+def neutral_ics(wide: DataFrame, names: list[str], spec: SearchSpec) -> DataFrame:
+    """g, date, n and ic of each formula's residual on ``spec.regressors`` and dummies of ``spec.group``, date by date."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows, risks = [], pdf[list(spec.regressors)].notna().all(axis=1).to_numpy()
+        for g in names:
+            x, y = pdf[g].to_numpy(float), pdf["target"].to_numpy(float)
+            good = risks & np.isfinite(x)
+            if good.sum() < spec.least_names or x[good].std() <= 1e-12:
+                continue
+            x = residuals((x[good] - x[good].mean()) / x[good].std(), pdf[good], spec.regressors, spec.group)
+            both = np.isfinite(y[good])
+            x, y = x[both], y[good][both]
+            if len(x) >= spec.least_names and x.std() > 1e-9 and y.std() > 1e-12:
+                rows.append((g, pdf["date"].iloc[0], len(x), float(np.corrcoef(x, y)[0, 1])))
+        return pd.DataFrame(rows, columns=["g", "date", "n", "ic"])
+
+    return wide.groupBy("date").applyInPandas(one, "g string, date date, n long, ic double")
+
+
+def _plain_ics(wide: DataFrame, names: dict[str, str]) -> DataFrame:
+    long = wide.where("target IS NOT NULL").select("date", "target", F.explode(F.array(*[F.struct(F.lit(g).alias("g"), F.col(g).alias("x")) for g in names])).alias("e")).select("date", "target", "e.*")
+    sd = F.stddev_samp("x") * F.stddev_samp("target")
+    return long.where("x IS NOT NULL").groupBy("g", "date").agg(F.count("*").alias("n"), F.when(sd > 1e-12, F.covar_samp("x", "target") / F.nullif(sd, F.lit(0.0))).alias("ic"))
+
+
 def fitness(panel: DataFrame, trees: list[Tree], target: Node, spec: SearchSpec, ends: tuple) -> dict[str, Candidate]:
     """Formula -> candidate, of the formulas that hold a column; scored in one job."""
     unique = {t.key(): t for t in trees if any(not t.get(p).kids and t.get(p).op != "const" for p in t.paths())}
@@ -208,10 +239,11 @@ def fitness(panel: DataFrame, trees: list[Tree], target: Node, spec: SearchSpec,
         return {}
     names = {f"g{i}": k for i, k in enumerate(unique)}
     outputs = {g: zscore(unique[k].node(), spec.least_names) for g, k in names.items()} | {"target": target}
-    wide = compute(panel, outputs)
-    long = wide.where("target IS NOT NULL").select("date", "target", F.explode(F.array(*[F.struct(F.lit(g).alias("g"), F.col(g).alias("x")) for g in names])).alias("e")).select("date", "target", "e.*")
-    sd = F.stddev_samp("x") * F.stddev_samp("target")
-    ic = long.where("x IS NOT NULL").groupBy("g", "date").agg(F.count("*").alias("n"), F.when(sd > 1e-12, F.covar_samp("x", "target") / F.nullif(sd, F.lit(0.0))).alias("ic"))
+    if spec.group:
+        keep = (*spec.regressors, spec.group)
+        ic = neutral_ics(compute(panel, {g: unique[k].node() for g, k in names.items()} | {"target": target}, keep=keep), list(names), spec)
+    else:
+        ic = _plain_ics(compute(panel, outputs), names)
     ic = ic.where((F.col("n") >= spec.least_names) & F.col("ic").isNotNull())
     series = F.array_sort(F.collect_list(F.struct("date", "ic")))
     last, first = ends

@@ -78,6 +78,17 @@ def screen(signals: DataFrame, factors: tuple[str, ...], target: str, spec: Scre
     return scored.join(F.broadcast(chosen), ["slice", "factor"], "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
 
 
+def residuals(y: np.ndarray, good: pd.DataFrame, regressors: tuple[str, ...], group: str, ridge: float = 1e-4, most_groups: int = 40) -> np.ndarray:
+    """``y`` of the rows of one date less its ridge fit on a constant, regressors and dummies of the largest groups but the first."""
+    sizes = good[group].dropna().value_counts()
+    top = sorted(sorted(sizes.index, key=lambda g: (-sizes[g], g))[:most_groups])[1:]
+    x = np.column_stack([np.ones(len(good)), *[good[r].to_numpy(float) for r in regressors], *[(good[group] == g).to_numpy(float) for g in top]])
+    penalty = ridge * np.eye(x.shape[1])
+    penalty[0, 0] = 0
+    beta = np.linalg.solve(x.T @ x + penalty + 1e-10 * np.eye(x.shape[1]), x.T @ y)
+    return y - x @ beta
+
+
 def neutralize(rows: DataFrame, value: str, regressors: tuple[str, ...], group: str, ridge: float = 1e-4, most_groups: int = 40, least: int = 10) -> DataFrame:
     """date, ticker and the residual of ``value`` on a constant, regressors and group dummies, date by date.
 
@@ -89,14 +100,7 @@ def neutralize(rows: DataFrame, value: str, regressors: tuple[str, ...], group:
         good = pdf.dropna(subset=[value, *regressors])
         if len(good) < least:
             return pdf.iloc[:0][["date", "ticker"]].assign(residual=pd.Series(dtype=float))
-        sizes = good[group].dropna().value_counts()
-        top = sorted(sorted(sizes.index, key=lambda g: (-sizes[g], g))[:most_groups])[1:]
-        x = np.column_stack([np.ones(len(good)), *[good[r].to_numpy(float) for r in regressors], *[(good[group] == g).to_numpy(float) for g in top]])
-        y = good[value].to_numpy(float)
-        penalty = ridge * np.eye(x.shape[1])
-        penalty[0, 0] = 0
-        beta = np.linalg.solve(x.T @ x + penalty + 1e-10 * np.eye(x.shape[1]), x.T @ y)
-        return pd.DataFrame({"date": good["date"], "ticker": good["ticker"], "residual": y - x @ beta})
+        return pd.DataFrame({"date": good["date"], "ticker": good["ticker"], "residual": residuals(good[value].to_numpy(float), good, regressors, group, ridge, most_groups)})
 
     return rows.select("date", "ticker", value, *regressors, group).groupBy("date").applyInPandas(fit, "date date, ticker long, residual double")
 

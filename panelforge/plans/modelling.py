@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dag import compute
-from ..functions.ops import col, fwd_sum
+from ..functions.ops import col, cs_mean, delay, fwd_sum, rolling_beta
 from ..operators import ledger
 from ..operators.engines import DualLeg, Lots, SingleLeg, simulate
 from ..operators.models import EgarchSpec, egarch_forecast, fama_macbeth, hmm_probabilities, lasso_search
@@ -21,6 +21,9 @@ from .catalog import register
 from .library import GRAM, KEPT, SIGNALS
 
 FACTORS = GRAM[:-1]
+#: The whole search of the reference; only its 50 names a date are more than the panel of nations has.
+SEARCH = SearchSpec(population=384, generations=180, least_days=60, regressors=("beta", "ln_cap"), group="sector")
+BETA = rolling_beta(delay(col("logret"), 1), delay(cs_mean(col("logret")), 1), 20)
 
 
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,8 +50,9 @@ def hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def formula_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel = compute(load_panel(spark, sf_dir, NATION_WEEK), SIGNALS, keep=("logret",)).cache()
-    found = evolve(panel, FACTORS, fwd_sum(col("logret"), 5), SearchSpec())
+    rows = load_panel(spark, sf_dir, NATION_WEEK)
+    panel = compute(rows, SIGNALS | {"beta": BETA}, keep=("logret", "mcap", "sector")).withColumn("ln_cap", F.log(F.when(F.col("mcap") > 0, F.col("mcap")))).cache()
+    found = evolve(panel, FACTORS, fwd_sum(col("logret"), 5), SEARCH)
     rows = [astuple(f) for f in found]
     return spark.createDataFrame(rows, "formula string, adjusted double, objective double, t double, validation_t double, mean_ic double, complexity int, generations int")
 

@@ -1,5 +1,6 @@
 """Models, simulators, searches, sources and streams against plain definitions."""
 
+import dataclasses
 import datetime as dt
 import math
 
@@ -141,6 +142,24 @@ def test_search_is_repeatable_and_finds_the_factor(spark):
     assert [f.adjusted for f in one] == sorted((f.adjusted for f in one), reverse=True)
 
 
+def test_whole_search_and_neutral_fitness(spark):
+    from panelforge.operators.search import WINDOWS, fitness
+    from panelforge.plans.modelling import SEARCH
+
+    assert (SEARCH.population, SEARCH.generations, SEARCH.pool, WINDOWS) == (384, 180, 300, (5, 10, 20, 60)) and SEARCH.regressors and SEARCH.group
+    rng = np.random.default_rng(5)
+    rows = [(DAY + dt.timedelta(d), t, float(t % 3), float(b), float(b + e), float(b), float(e)) for d in range(40) for t in range(20) for b, e in [rng.normal(size=2)]]
+    df = spark.createDataFrame(rows, "date date, ticker long, sector double, risk double, a double, y double, own double").cache()
+    spec = SearchSpec(least_days=10, least_validation_days=3, purge=1)
+    ends = purged_split(df, spec)
+    of = lambda target, **more: fitness(df, [Tree("a")], fwd_sum(col(target), 1), dataclasses.replace(spec, **more), ends)["a"]
+    shifted = df.withColumn("y", col_lead("y")).withColumn("own", col_lead("own")).cache()
+    df = shifted
+    neutral = {"regressors": ("risk",), "group": "sector"}
+    assert of("y").train.mean_ic > 0.5 and abs(of("y", **neutral).train.mean_ic) < 0.15
+    assert of("own", **neutral).train.mean_ic > 0.9
+
+
 def test_validation_dates_follow_a_purged_gap(spark):
     df, _ = frame(spark, days=50, names=2)
     last, first = purged_split(df, SearchSpec(train_share=0.8, purge=3))
