@@ -243,6 +243,10 @@ sql_query("asof_classification", lambda d: f"""WITH changes AS (SELECT o_custkey
 cal AS (SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) AS date FROM {{orders}}), keys AS (SELECT DISTINCT k FROM changes),
 merged AS (SELECT k, date, code, 0 AS asked FROM changes UNION ALL SELECT k, date, CAST(NULL AS VARCHAR(20)), 1 FROM keys CROSS JOIN cal)
 SELECT k, date, coalesce(code, 'UNK') AS code FROM (SELECT k, date, asked, {d.last('code', '(PARTITION BY k ORDER BY date, asked ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)')} AS code FROM merged) WHERE asked = 1""")
+sql_query("asof_classification_all", lambda d: f"""WITH changes AS (SELECT o_custkey AS k, CAST(o_orderdate AS DATE) AS date, max(o_orderpriority) AS code FROM {{orders}} GROUP BY 1, 2),
+cal AS (SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) AS date FROM {{orders}}), keys AS (SELECT DISTINCT k FROM changes),
+merged AS (SELECT k, date, code, 0 AS asked FROM changes UNION ALL SELECT k, date, CAST(NULL AS VARCHAR(20)), 1 FROM keys CROSS JOIN cal)
+SELECT k, date, coalesce(code, 'UNK') AS code FROM (SELECT k, date, asked, {d.last('code', '(PARTITION BY k ORDER BY date, asked ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)')} AS code FROM merged) WHERE asked = 1""")
 sql_query("exchange_prefix", lambda d: """WITH s AS (SELECT s_suppkey, lpad(CAST(600000 + s_suppkey * 977 % 400000 AS VARCHAR(6)), 6, '0') AS code FROM {supplier})
 SELECT s_suppkey, code, CASE WHEN substring(code, 1, 3) IN ('600', '601', '603', '605', '688', '689') THEN concat('sh', code) WHEN substring(code, 1, 3) IN ('000', '001', '002', '003', '300', '301', '900') THEN concat('sz', code) END AS symbol,
        CASE WHEN substring(code, 1, 3) IN ('688', '689', '300', '301') THEN 0.2 ELSE 0.1 END AS price_limit FROM s""")

@@ -19,5 +19,19 @@ def test_query_equals_oracle(spark, duck, name):
     assert mine == theirs and mine
 
 
+def test_asof_covers_all_customers(spark, duck):
+    found = catalog.queries()["asof_classification_all"](spark, SMALL)
+    mine, theirs = same_rows(found, duck.sql(catalog.oracle_sql()["asof_classification_all"]))
+    assert mine == theirs and mine
+    assert found.select("k").distinct().count() == duck.sql("SELECT count(DISTINCT o_custkey) FROM orders").fetchall()[0][0]
+    orders = duck.sql("SELECT o_custkey, CAST(o_orderdate AS DATE), o_orderpriority FROM orders").fetchall()
+    own = {}
+    for k, day, code in orders:
+        own.setdefault(k, {})[day] = max(code, own.get(k, {}).get(day, code))
+    for r in found.limit(2000).collect():
+        past = [d for d in own[r.k] if d <= r.date]
+        assert r.code == (own[r.k][max(past)] if past else "UNK")
+
+
 def test_names_match():
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
