@@ -21,6 +21,7 @@ from .catalog import register
 from .library import GRAM, KEPT, SIGNALS
 
 FACTORS = GRAM[:-1]
+ALPHAS = np.logspace(-7, -2, 80)
 #: The whole search of the reference; only its 50 names a date are more than the panel of nations has.
 SEARCH = SearchSpec(population=384, generations=180, least_days=60, regressors=("beta", "ln_cap"), group="sector")
 BETA = rolling_beta(delay(col("logret"), 1), delay(cs_mean(col("logret")), 1), 20)
@@ -32,7 +33,7 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lasso_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = signals(spark, sf_dir).select("date", "ticker", *FACTORS, "y5").dropna().persist()
-    found = lasso_search(rows, FACTORS, "y5", np.logspace(-7, -2, 12))
+    found = lasso_search(rows, FACTORS, "y5", ALPHAS)
     return found.select("alpha", F.round("rank_ic", 8).alias("rank_ic"), F.round("ir", 8).alias("ir"), "coefficients")
 
 

@@ -71,6 +71,13 @@ def test_pruning():
     assert greedy_prune(["x", "y", "z"], {("x", "y"): 0.9, ("z", "x"): 0.1}) == ["x", "z"]
 
 
+def test_lasso_query_searches_the_whole_grid(spark):
+    from panelforge.plans import catalog
+
+    found = sorted(r.alpha for r in catalog.queries()["lasso_path"](spark, "/root/testdata/sf0.001").select("alpha").collect())
+    np.testing.assert_allclose(found, np.logspace(-7, -2, 80))
+
+
 def test_volatility_and_regimes(spark):
     rng = np.random.default_rng(2)
     rows = [(t, DAY + dt.timedelta(d), float(rng.normal(scale=0.01 * (t + 1)))) for t in range(2) for d in range(150)] + [(7, DAY, 0.01), (8, DAY, None)]
