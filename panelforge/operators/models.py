@@ -199,7 +199,7 @@ def partial_correlations(rho: list[float]) -> list[float]:
 @dataclass(frozen=True)
 class EgarchSpec:
     horizon: int = 5
-    paths: int = 1000
+    paths: int = 4000
     least: int = 60
     cap: float = 2.0
     floor: float = 1e-4
@@ -326,21 +326,24 @@ def fit_hmm(x: np.ndarray, states: int = 3, rounds: int = 60) -> tuple[np.ndarra
     return mean[order], (post @ move)[order]
 
 
-def hmm_probabilities(series: DataFrame, window: int = 60, states: int = 3) -> DataFrame:
+def hmm_probabilities(series: DataFrame, window: int = 60, states: int = 3, partial: bool = False) -> DataFrame:
     """date and the probabilities (low, mid, high mean) of the next state, from the ``window`` rows before each date.
 
+    ``partial`` also gives the dates before the first full window, from the rows there are; equal
+    probabilities where they are fewer than the states.
+
     Windows are independent, so dates are dealt to all executors with their own window as an array.
     """
     w = Window.orderBy("date").rowsBetween(-window, -1)
-    windows = series.withColumn("past", F.collect_list("value").over(w)).where(F.size("past") == window)
+    windows = series.withColumn("past", F.collect_list("value").over(w)).where(F.lit(partial) | (F.size("past") == window))
 
     def fit(batches):
         for pdf in batches:
             rows = []
             for d, past in zip(pdf["date"], pdf["past"], strict=True):
                 try:
-                    p = fit_hmm(np.asarray(past, float), states)[1]
-                    p = p if np.isfinite(p).all() else np.full(states, 1 / states)
+                    p = fit_hmm(np.asarray(past, float), states)[1] if len(past) >= states else np.full(states, 1 / states)
+                    p = p if np.isfinite(p).all() and abs(p.sum() - 1) < 1e-6 else np.full(states, 1 / states)
                 except (FloatingPointError, np.linalg.LinAlgError):
                     p = np.full(states, 1 / states)
                 rows.append((d, *p))

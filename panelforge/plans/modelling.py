@@ -47,7 +47,7 @@ def egarch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     market = load_panel(spark, sf_dir, MONTH).where("logret IS NOT NULL").groupBy("date").agg(F.stddev_samp("logret").alias("value")).where("value IS NOT NULL")
-    return hmm_probabilities(market, 48)
+    return hmm_probabilities(market, 48, partial=True)
 
 
 def formula_search(spark: SparkSession, sf_dir: str) -> DataFrame:

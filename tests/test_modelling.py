@@ -94,6 +94,16 @@ def test_volatility_and_regimes(spark):
     assert len(found) == 10 and np.allclose(found[["p0", "p1", "p2"]].sum(axis=1), 1)
 
 
+def test_regimes_have_every_date(spark):
+    from panelforge.operators.models import EgarchSpec
+
+    series = spark.createDataFrame([(DAY + dt.timedelta(i), float(v)) for i, v in enumerate(np.random.default_rng(4).normal(size=40))], "date date, value double")
+    full, all_dates = (hmm_probabilities(series, 30, partial=p).toPandas().set_index("date").sort_index() for p in (False, True))
+    assert len(all_dates) == 40 and np.allclose(all_dates.sum(axis=1), 1) and np.allclose(all_dates.iloc[:3], 1 / 3)
+    assert not np.allclose(all_dates.iloc[3:30], 1 / 3) and np.allclose(all_dates.loc[full.index], full)
+    assert EgarchSpec().paths == 4000
+
+
 def orders(seed=3, days=25, names=4, gaps=True):
     rng = np.random.default_rng(seed)
     price = np.exp(np.cumsum(rng.normal(0, 0.02, (days, names)), axis=0)) * 50
