@@ -230,6 +230,10 @@ sql_query("upsert_latest", lambda d: """WITH target AS (SELECT o_orderkey AS k,
 source AS (SELECT o_orderkey AS k, o_orderdate AS d, o_totalprice * 2 AS v, 1 AS fresh FROM {orders} WHERE o_orderkey % 2 = 0),
 latest AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY d DESC, v DESC) AS r FROM source)
 SELECT k, v, fresh FROM latest WHERE r = 1 UNION ALL SELECT t.k, t.v, t.fresh FROM target t LEFT ANTI JOIN source s ON s.k = t.k""".replace("LEFT ANTI" if not d.spark else "@", "ANTI"))
+sql_query("upsert_latest_all", lambda d: """WITH target AS (SELECT o_orderkey AS k, o_orderdate AS d, o_totalprice AS v, 0 AS fresh FROM {orders}),
+source AS (SELECT o_orderkey AS k, o_orderdate AS d, o_totalprice * 2 AS v, 1 AS fresh FROM {orders} WHERE o_orderkey % 2 = 0),
+latest AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY d DESC, v DESC) AS r FROM source)
+SELECT k, v, fresh FROM latest WHERE r = 1 UNION ALL SELECT t.k, t.v, t.fresh FROM target t LEFT ANTI JOIN source s ON s.k = t.k""".replace("LEFT ANTI" if not d.spark else "@", "ANTI"))
 sql_query("chunk_by_ts_drop", lambda d: """WITH o AS (SELECT event_id, user_id % 7 AS part, ts FROM {events}), s AS (SELECT *, row_number() OVER (ORDER BY part, ts, event_id) AS i FROM o),
 j AS (SELECT i, ts, CASE WHEN ts < lag(ts) OVER (ORDER BY i) THEN 1 ELSE 0 END AS jump FROM s), c AS (SELECT i, ts, sum(jump) OVER (ORDER BY i) AS chunk FROM j)
 SELECT CAST(chunk AS BIGINT) AS chunk, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM c GROUP BY chunk""")

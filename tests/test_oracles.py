@@ -33,5 +33,13 @@ def test_asof_covers_all_customers(spark, duck):
         assert r.code == (own[r.k][max(past)] if past else "UNK")
 
 
+def test_upsert_keeps_all_orders(spark, duck):
+    found = catalog.queries()["upsert_latest_all"](spark, SMALL)
+    mine, theirs = same_rows(found, duck.sql(catalog.oracle_sql()["upsert_latest_all"]))
+    assert mine == theirs
+    want = {k: (2 * v, 1) if k % 2 == 0 else (v, 0) for k, v in duck.sql("SELECT o_orderkey, o_totalprice FROM orders").fetchall()}
+    assert {r.k: (r.v, r.fresh) for r in found.collect()} == want and len(mine) == len(want)
+
+
 def test_names_match():
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
