@@ -3,7 +3,8 @@
 1. Every text becomes its set of shingle fingerprints.  Texts with equal sets are one class.
 2. Fingerprints are dealt to buckets, which hold the inverted lists.  Entries of lists with at
    least two classes go back to their classes.  A class that shares fewer than three quarters of
-   its shingles with others can't have a link and is done.
+   its shingles with others can't have a link and is done.  The few lists that outweigh a bucket
+   are known before and never brought together: their entries go straight back.
 3. Of the rest, classes with a common min-hash are joined locally by DivideSkip: the short lists
    of a query are merged, its T-1 longest ones only probed, by binary search, for what the merge
    found.  Links found so give components early, so that groups of copies need no pairs.
@@ -15,15 +16,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, shuffle_partitions, small_batches
-from .components import connected, refine
+from .common import saved, small_batches
+from .components import connected, merged
 from .shingles import mixed, set_key, shingle_sets
 
 #: Members of a min-hash group that are joined in one go; larger groups are salted.
@@ -31,6 +33,16 @@ GROUP = 400
 #: Entries of an inverted list that are compared with one another in one go.
 BLOCK = 512
 BITS = 1024
+#: Shingles a bucket holds on average (16 MB of fingerprints), and the least number of buckets.
+BUCKET_SHINGLES, LEAST_BUCKETS = 2_000_000, 8
+#: A shingle is hot if it has over one in so many of all entries, so hot ones are at most so many.
+HOT_SHARE = 100_000
+#: Text that is hashed before its entries are dealt out; a shingle in so many of its sets may be hot.
+FLUSH_BYTES, HOT_SEEN = 8_000_000, 16
+#: Parts into which the classes of a component are dealt when its least doc_id is looked up.
+PARTS = 16
+#: Pairs of 16 bytes whose keys are broadcast.
+BROADCAST_PAIRS = 1_000_000
 SALTS = np.array([0x2545F4914F6CDD1D, 0x9FB21C651E98DF25], np.uint64)
 
 
@@ -47,17 +59,51 @@ def linked(common: int, n: int, m: int) -> bool:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, key (the class; null for a text without words) of each row."""
-    small_batches(docs.sparkSession)
+    """doc_id, n_shingles, key (the class; null for a text without words) of each row, and frequent.
+
+    ``frequent`` holds shingles that many sets near this row have, with their number of sets: what
+    hot shingles are found by.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _flushes(batches, 1, FLUSH_BYTES):
             sets = shingle_sets(batch.column(1).to_pylist())
             keys = [set_key(s) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64())], ["doc_id", "n_shingles", "key"])
+            own = list({k: s for k, s in zip(keys, sets, strict=True) if k is not None}.values())
+            frequent: list[list[dict] | None] = [None] * batch.num_rows
+            if own:
+                tokens, seen = np.unique(np.concatenate(own), return_counts=True)
+                often = seen >= HOT_SEEN
+                if often.any():
+                    frequent[0] = [{"token": t, "seen": c} for t, c in zip(tokens[often].view(np.int64).tolist(), seen[often].tolist(), strict=True)]
+            kind = pa.list_(pa.struct([("token", pa.int64()), ("seen", pa.int64())]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), pa.array(frequent, kind)], ["doc_id", "n_shingles", "key", "frequent"]
+            )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(scan, f"doc_id {kind}, n_shingles bigint, key bigint")
+    spec = f"doc_id {kind}, n_shingles bigint, key bigint, frequent array<struct<token: bigint, seen: bigint>>"
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(scan, spec)
+
+
+def _flushes(batches: Iterator[pa.RecordBatch], text: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The batches joined or cut to about ``most`` bytes of the binary column ``text``; a longer text stands alone."""
+    held: list[pa.RecordBatch] = []
+    filled = 0
+    for batch in batches:
+        column = batch.column(text)
+        sizes = np.diff(np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]) if len(column) else np.zeros(0, int)
+        at = 0
+        for i, size in enumerate(sizes.tolist()):
+            if filled and filled + size > most:
+                held.append(batch.slice(at, i - at))
+                yield pa.concat_batches([b for b in held if b.num_rows])
+                held, filled, at = [], 0, i
+            filled += size
+        held.append(batch.slice(at))
+    held = [b for b in held if b.num_rows]
+    if held:
+        yield pa.concat_batches(held)
 
 
 def _runs(*columns: np.ndarray) -> np.ndarray:
@@ -69,11 +115,14 @@ def _runs(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(change)
 
 
-def _entries(docs: DataFrame, buckets: int) -> DataFrame:
-    """Inverted-list entries in packed rows: for each bucket, runs of (class, set size, count) over fingerprints."""
+def _entries(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
+    """Inverted-list entries in packed rows: for each bucket, runs of (class, set size, count) over fingerprints.
+
+    Entries of the sorted ``hot`` shingles are in rows of their own, dealt by class and not by shingle.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _flushes(batches, 0, FLUSH_BYTES):
             seen: dict[int, np.ndarray] = {}
             for s in shingle_sets(batch.column(0).to_pylist()):
                 if len(s):
@@ -83,85 +132,84 @@ def _entries(docs: DataFrame, buckets: int) -> DataFrame:
             keys, sizes = np.array(list(seen), np.int64), np.array([len(s) for s in seen.values()], np.int32)
             hashes = np.concatenate(list(seen.values()))
             owner = np.repeat(np.arange(len(keys), dtype=np.int32), sizes)
-            bucket = ((hashes >> np.uint64(32)) % np.uint64(buckets)).astype(np.uint16 if buckets < 65536 else np.uint32)
-            order = np.argsort(bucket, kind="stable")
-            hashes, owner, bucket = hashes[order], owner[order], bucket[order]
-            starts = _runs(bucket, owner)
-            counts = np.diff(np.append(starts, len(hashes))).astype(np.int32)
+            is_hot = np.isin(hashes, hot) if len(hot) else np.zeros(len(hashes), bool)
             rows = []
-            edges = np.searchsorted(bucket, np.arange(buckets + 1))
-            run_edges = np.searchsorted(starts, edges)
-            low, high = hashes.astype(np.uint32), (hashes >> np.uint64(56)).astype(np.uint8)
-            run_owner = owner[starts]
-            for b in np.flatnonzero(np.diff(edges)).tolist():
-                i, j, r, q = edges[b], edges[b + 1], run_edges[b], run_edges[b + 1]
-                who = run_owner[r:q]
-                rows.append((b, keys[who].tobytes(), sizes[who].tobytes(), counts[r:q].tobytes(), low[i:j].tobytes(), high[i:j].tobytes()))
-            yield _packed(rows, ["bucket", "keys", "sizes", "counts", "low", "high"])
-
-    spec = "bucket int, keys binary, sizes binary, counts binary, low binary, high binary"
+            for apart in (False, True):
+                chosen = is_hot == apart
+                if chosen.any():
+                    token, who = hashes[chosen], owner[chosen]
+                    bucket = _home(keys, buckets)[who] if apart else ((token >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+                    for b, r, i in _dealt(bucket, who, buckets):
+                        rows.append((b, keys[r.who].tobytes(), sizes[r.who].tobytes(), r.counts.tobytes(), token[i].tobytes(), apart))
+            yield _packed(rows, ["bucket", "keys", "sizes", "counts", "tokens", "hot"])
+
+    spec = "bucket int, keys binary, sizes binary, counts binary, tokens binary, hot boolean"
     return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(scan, spec)
 
 
+class _Run(NamedTuple):
+    who: np.ndarray
+    counts: np.ndarray
+
+
+def _home(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (keys.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+
+
+def _dealt(bucket: np.ndarray, owner: np.ndarray, buckets: int) -> Iterator[tuple[int, _Run, np.ndarray]]:
+    """For each bucket that has entries: its owners with their counts, and the places of its entries."""
+    order = np.lexsort((owner, bucket))
+    bucket, owner = bucket[order], owner[order]
+    starts = _runs(bucket, owner)
+    counts = np.diff(np.append(starts, len(order))).astype(np.int32)
+    run_bucket, run_owner = bucket[starts], owner[starts]
+    firsts = np.append(_runs(run_bucket), len(starts))
+    for r, q in zip(firsts[:-1].tolist(), firsts[1:].tolist(), strict=True):
+        yield int(run_bucket[r]), _Run(run_owner[r:q], counts[r:q]), order[starts[r] : starts[r] + counts[r:q].sum()]
+
+
 def _packed(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(columns)], names)
+    kinds = {"bucket": pa.int32(), "hot": pa.bool_()}
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds.get(n, pa.binary())) for c, n in zip(columns, names, strict=True)], names)
 
 
-def _unpacked(batches: Iterator[pa.RecordBatch], kinds: list[type]) -> list[np.ndarray]:
-    """The binary columns after the first of all batches, each as one array."""
-    parts: list[list[bytes]] = [[] for _ in kinds]
-    for batch in batches:
-        for i in range(len(kinds)):
-            parts[i] += batch.column(i + 1).to_pylist()
-    return [np.frombuffer(b"".join(p), k) for p, k in zip(parts, kinds, strict=True)]
+def _unpacked(columns: list[pa.Array], kinds: list[type]) -> list[np.ndarray]:
+    return [np.frombuffer(b"".join(c.to_pylist()), k) for c, k in zip(columns, kinds, strict=True)]
 
 
 def _shared(entries: DataFrame, buckets: int) -> DataFrame:
-    """From the whole lists of each bucket, the entries of lists with two classes or more, packed by class."""
+    """From the whole lists of each bucket, the entries of lists with two classes or more, packed by class.
+
+    Entries of hot shingles come with the largest length of a list.
+    """
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batches = iter(batches)
-        first = next((b for b in batches if b.num_rows), None)
-        if first is None:
-            return
-        bucket = first.column(0)[0].as_py()
-        keys, sizes, counts, low, high = _unpacked(chain([first], batches), [np.int64, np.int32, np.int32, np.uint32, np.uint8])
-        names, which = np.unique(keys, return_inverse=True)
-        size_of = np.zeros(len(names), np.int32)
-        size_of[which] = sizes
-        owner = np.repeat(which.astype(np.uint64), counts)
-        token = low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)
-        order = np.lexsort((owner, token)) if len(names) >= 2**24 else None
-        if order is None:
-            both = np.unique(token << np.uint64(24) | owner)
-            token, owner = both >> np.uint64(24), (both & np.uint64(2**24 - 1)).astype(np.int64)
-        else:
-            token, owner = token[order], owner[order].astype(np.int64)
+        whole = pa.Table.from_batches([b for b in batches if b.num_rows] or [_packed([], ["bucket", "keys", "sizes", "counts", "tokens", "hot"])])
+        for apart in (False, True):
+            part = whole.filter(pc.equal(whole["hot"], apart))
+            if not part.num_rows:
+                continue
+            keys, sizes, counts, token = _unpacked([part[c] for c in ("keys", "sizes", "counts", "tokens")], [np.int64, np.int32, np.int32, np.uint64])
+            names, which = np.unique(keys, return_inverse=True)
+            size_of = np.zeros(len(names), np.int32)
+            size_of[which] = sizes
+            owner = np.repeat(which.astype(np.int32), counts)
+            order = np.lexsort((owner, token))
+            token, owner = token[order], owner[order]
             keep = _runs(token, owner)
             token, owner = token[keep], owner[keep]
-        starts = _runs(token)
-        df = np.diff(np.append(starts, len(token)))
-        df = np.repeat(df, df)
-        keep = df >= 2
-        token, owner, df = token[keep], owner[keep], df[keep].astype(np.int32)
-        if not len(token):
-            return
-        token = (np.uint64(bucket) << np.uint64(40) | token).view(np.int64)
-        home = (names.view(np.uint64) % np.uint64(buckets)).astype(np.int64)[owner]
-        order = np.lexsort((owner, home))
-        token, owner, df, home = token[order], owner[order], df[order], home[order]
-        starts = _runs(owner)
-        counts = np.diff(np.append(starts, len(token))).astype(np.int32)
-        edges = np.searchsorted(home, np.arange(buckets + 1))
-        run_edges = np.searchsorted(starts, edges)
-        run_owner = owner[starts]
-        rows = []
-        for b in np.flatnonzero(np.diff(edges)).tolist():
-            i, j, r, q = edges[b], edges[b + 1], run_edges[b], run_edges[b + 1]
-            who = run_owner[r:q]
-            rows.append((b, names[who].tobytes(), size_of[who].tobytes(), counts[r:q].tobytes(), token[i:j].tobytes(), df[i:j].tobytes()))
-        yield _packed(rows, ["bucket", "keys", "sizes", "counts", "tokens", "dfs"])
+            starts = _runs(token)
+            df = np.diff(np.append(starts, len(token)))
+            df = np.repeat(df, df).astype(np.int32)
+            if apart:
+                df[:] = np.iinfo(np.int32).max
+            keep = df >= 2
+            token, owner, df = token[keep].view(np.int64), owner[keep], df[keep]
+            rows = []
+            for b, r, i in _dealt(_home(names, buckets)[owner], owner, buckets):
+                rows.append((b, names[r.who].tobytes(), size_of[r.who].tobytes(), r.counts.tobytes(), token[i].tobytes(), df[i].tobytes()))
+            yield _packed(rows, ["bucket", "keys", "sizes", "counts", "tokens", "dfs"])
 
     spec = "bucket int, keys binary, sizes binary, counts binary, tokens binary, dfs binary"
     return entries.repartitionById(buckets, "bucket").mapInArrow(merge, spec)
@@ -175,9 +223,10 @@ def _survivors(shared: DataFrame, buckets: int) -> DataFrame:
     """
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, sizes, counts, tokens, dfs = _unpacked(batches, [np.int64, np.int32, np.int32, np.int64, np.int32])
-        if not len(keys):
+        whole = pa.Table.from_batches([b for b in batches if b.num_rows] or [_packed([], ["bucket", "keys", "sizes", "counts", "tokens", "dfs"])])
+        if not whole.num_rows:
             return
+        keys, sizes, counts, tokens, dfs = _unpacked(whole.columns[1:], [np.int64, np.int32, np.int32, np.int64, np.int32])
         names, which = np.unique(keys, return_inverse=True)
         size_of = np.zeros(len(names), np.int64)
         size_of[which] = sizes
@@ -286,11 +335,16 @@ def _partition_of(df: DataFrame, by: str, partitions: int) -> DataFrame:
     return df.repartitionById(partitions, F.pmod(F.xxhash64(by), F.lit(partitions)).cast("int"))
 
 
-def _group_links(members: DataFrame, partitions: int) -> DataFrame:
-    """Links inside the min-hash groups of ``members`` (mh, key, n, tokens); large groups are salted."""
+def _group_links(members: DataFrame, facts: DataFrame, partitions: int) -> DataFrame:
+    """Links (a, b: ids) inside the min-hash groups of ``members`` (mh, key, id); large groups are salted.
+
+    Only the keys of groups of two or more get their n and tokens, from ``facts``.
+    """
     counts = members.groupBy("mh").count().where(F.col("count") > 1)
     salted = members.join(counts, "mh").withColumn("salts", F.ceil(F.col("count") / GROUP).cast("long"))
-    salted = salted.withColumn("gid", F.xxhash64("mh", F.pmod(F.xxhash64("key"), F.col("salts")))).select("gid", "key", "n", "tokens")
+    gid = F.xxhash64("mh", F.pmod(F.xxhash64("key"), F.col("salts")))
+    salted = salted.groupBy("key", "id").agg(F.collect_set(gid).alias("gids"))  # one or two of each class
+    dealt = salted.join(facts.select("key", "n", "tokens"), "key").select(F.explode("gids").alias("gid"), "id", "n", "tokens")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups: dict[int, list[tuple[int, int, np.ndarray]]] = {}
@@ -303,20 +357,28 @@ def _group_links(members: DataFrame, partitions: int) -> DataFrame:
                 links += [(group[i][0], group[j][0]) for i, j in divide_skip(np.array([x[1] for x in group]), [x[2] for x in group])]
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    return _partition_of(salted, "gid", partitions).mapInArrow(join, "a bigint, b bigint")
+    return _partition_of(dealt, "gid", partitions).mapInArrow(join, "a bigint, b bigint")
 
 
 # ---------------------------------------------------------------- lists across the cluster
 
 
-def _mixed_lists(survivors: DataFrame, labels: DataFrame, best_only: bool, partitions: int) -> DataFrame:
-    """Candidate pairs (a, b) from the merged lists, of classes in different components.
+def _lists_of_several(survivors: DataFrame, labels: DataFrame) -> DataFrame:
+    """token, key of the merged lists that have classes of different components."""
+    prefixes = survivors.select("key", F.slice("tokens", F.lit(1), F.col("p")).alias("own"))
+    entries = prefixes.join(labels.withColumnRenamed("node", "key"), "key").select("key", "comp", F.explode("own").alias("token"))
+    several = entries.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token")
+    return entries.join(several, "token").select("token", "key")
+
+
+def _mixed_lists(lists: DataFrame, survivors: DataFrame, labels: DataFrame, best_only: bool, partitions: int) -> DataFrame:
+    """Candidate pairs (a, b, and their components x, y) from ``lists`` (token, key), of classes in different components.
 
     A list is cut into blocks of its entries.  Entries outside the list's largest component are
     also queries to all its blocks, so every pair of different components meets.  With
     ``best_only`` a query gives one candidate for each block and component, else all.
     """
-    entries = survivors.join(labels.withColumnRenamed("node", "key"), "key").select("key", "comp", F.explode(F.slice("tokens", F.lit(1), F.col("p"))).alias("token"))
+    entries = lists.join(labels.withColumnRenamed("node", "key"), "key")
     per = entries.groupBy("token", "comp").agg(F.count("*").alias("c"))
     mixed_ones = per.groupBy("token").agg(F.sum("c").alias("f"), F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("k")).where("k > 1")
     chosen = entries.join(mixed_ones.select("token", "f", F.col("top.comp").alias("home")), "token").withColumn("blocks", F.ceil(F.col("f") / BLOCK).cast("int"))
@@ -333,7 +395,7 @@ def _mixed_lists(survivors: DataFrame, labels: DataFrame, best_only: bool, parti
         for batch in batches:
             for i in range(8):
                 columns[i] += batch.column(i).to_pylist()
-        found: set[tuple[int, int]] = set()
+        found: set[tuple[int, int, int, int]] = set()
         if columns[0]:
             gid, key, comp, n = (np.array(c, np.int64) for c in columns[:4])
             bits = np.frombuffer(b"".join(columns[4]), np.uint64).reshape(len(gid), -1)
@@ -355,46 +417,65 @@ def _mixed_lists(survivors: DataFrame, labels: DataFrame, best_only: bool, parti
                     if best_only:
                         by = np.lexsort((apart, comp[near]))
                         near = near[by[_runs(comp[near][by])]] if len(near) else near
-                    found.update((min(int(key[q]), k), max(int(key[q]), k)) for k in key[near].tolist())
+                    me = (int(key[q]), int(comp[q]))
+                    for other in zip(key[near].tolist(), comp[near].tolist(), strict=True):
+                        (a, x), (b, y) = sorted((me, other))
+                        found.add((a, b, x, y))
         pairs = list(found)
-        yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in range(4)], ["a", "b", "x", "y"])
+
+    return _partition_of(dealt, "gid", partitions).mapInArrow(search, "a bigint, b bigint, x bigint, y bigint")
 
-    return _partition_of(dealt, "gid", partitions).mapInArrow(search, "a bigint, b bigint")
 
+def _verified(pairs: DataFrame, survivors: DataFrame, few: bool = False) -> DataFrame:
+    """Of the candidate pairs (a, b and any others) those with enough common shingles, found by probing one set for the other's.
 
-def _verified(pairs: DataFrame, survivors: DataFrame) -> DataFrame:
-    """Of the candidate pairs those with enough common shingles, found by probing one set for the other's."""
+    ``few`` pairs (at most ``BROADCAST_PAIRS``) first pick their sets from the survivors by broadcast.
+    """
+    if few:
+        keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+        survivors = survivors.join(F.broadcast(keys), "key", "left_semi")
     x = survivors.select(F.col("key").alias("a"), F.col("n").alias("n"), F.col("tokens").alias("s"))
     y = survivors.select(F.col("key").alias("b"), F.col("n").alias("m"), F.col("tokens").alias("t"))
+    k = len(pairs.columns)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, n, m = (batch.column(i).to_numpy() for i in (0, 1, 2, 3))
-            ok = [linked(_probe(np.sort(s), t), int(p), int(q)) for s, t, p, q in zip(_lists(batch.column(4)), _lists(batch.column(5)), n, m, strict=True)]
-            ok = np.array(ok, bool)
-            yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], ["a", "b"])
-
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "n", "m", "s", "t").mapInArrow(probe, "a bigint, b bigint")
-
-
-def class_components(docs: DataFrame) -> DataFrame:
-    """node (class) and comp of the classes that have a link to another class."""
-    spark: SparkSession = docs.sparkSession
-    buckets = shuffle_partitions(spark)
-    small_batches(spark)
-    survivors = saved(_survivors(_shared(_entries(docs, buckets), buckets), buckets))
-    labels = saved(survivors.select(F.col("key").alias("node"), F.col("key").alias("comp")))
-    members = survivors.select(F.explode(F.array("h0", "h1")).alias("mh"), "key", "n", "tokens")
-    labels = refine(labels, saved(_group_links(members, buckets)))
-    # what salting kept apart: one member of each component and min-hash meets the others
-    hashes = survivors.join(labels.withColumnRenamed("node", "key"), "key").select(F.explode(F.array("h0", "h1")).alias("mh"), "comp", "key")
-    heads = hashes.groupBy("mh", "comp").agg(F.min("key").alias("key"))
-    members = heads.join(heads.groupBy("mh").count().where("count > 1").select("mh"), "mh").select("mh", "key").join(survivors.select("key", "n", "tokens"), "key")
-    labels = refine(labels, saved(_group_links(members.select("mh", "key", "n", "tokens"), buckets)))
+            n, m = (batch.column(i).to_numpy() for i in (k, k + 1))
+            ok = [linked(_probe(np.sort(s), t), int(p), int(q)) for s, t, p, q in zip(_lists(batch.column(k + 2)), _lists(batch.column(k + 3)), n, m, strict=True)]
+            yield batch.select(range(k)).filter(pa.array(ok, pa.bool_()))
+
+    return pairs.join(x, "a").join(y, "b").select(*pairs.columns, "n", "m", "s", "t").mapInArrow(probe, pairs.schema)
+
+
+def _buckets(of_class: DataFrame) -> tuple[int, np.ndarray]:
+    """How many buckets the shingles of ``classes`` need, and the hot shingles (sorted, at most ``HOT_SHARE``)."""
+    total = of_class.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    seen = of_class.select(F.explode("frequent").alias("f")).groupBy(F.col("f.token").alias("token")).agg(F.sum("f.seen").alias("seen"))
+    hot = seen.where(F.col("seen") > max(total / HOT_SHARE, BUCKET_SHINGLES / 100)).select("token").collect()
+    return max(LEAST_BUCKETS, -(-total // BUCKET_SHINGLES)), np.sort(np.array([r[0] for r in hot], np.int64).view(np.uint64))
+
+
+def class_components(docs: DataFrame, of_class: DataFrame) -> DataFrame:
+    """node (class) and comp of the classes that may have a link to another class; ``of_class`` is ``classes(docs)``."""
+    small_batches(docs.sparkSession)
+    buckets, hot = _buckets(of_class)
+    survivors = saved(_survivors(_shared(_entries(docs, buckets, hot), buckets), buckets))
+    hashes = survivors.select(F.explode(F.array_distinct(F.array("h0", "h1"))).alias("mh"), "key")
+    labels = merged(survivors.select(F.col("key").alias("node"), F.col("key").alias("comp")), _group_links(hashes.withColumn("id", F.col("key")), survivors, buckets))
+    # what salting kept apart: one member of each component and large group meets the others
+    large = hashes.groupBy("mh").count().where(F.col("count") > GROUP).select("mh")
+    heads = hashes.join(large, "mh").join(labels.withColumnRenamed("node", "key"), "key").groupBy("mh", "comp").agg(F.min("key").alias("key"))
+    heads = saved(heads.select("mh", "key", F.col("comp").alias("id")))
+    if not heads.isEmpty():
+        labels = merged(labels, _group_links(heads, survivors, buckets))
+    lists = saved(_lists_of_several(survivors, labels))
     for best_only in (True, False):
-        pairs = saved(_mixed_lists(survivors, labels, best_only, buckets).distinct())
-        if not pairs.isEmpty():
-            labels = refine(labels, saved(_verified(pairs, survivors)))
+        pairs = saved(_mixed_lists(lists, survivors, labels, best_only, buckets).distinct())
+        n = pairs.count()
+        if n:
+            links = _verified(pairs, survivors, n <= BROADCAST_PAIRS).select(F.col("x").alias("a"), F.col("y").alias("b"))
+            labels = merged(labels, links)
     return labels
 
 
@@ -406,12 +487,14 @@ def components(docs: DataFrame) -> DataFrame:
     with each other.  A row whose doc_id is null counts in links but is no smallest id; a
     component of such rows only has a null id.  Columns besides doc_id and text are not looked at.
     """
+    small_batches(docs.sparkSession)
     of_class = saved(classes(docs))
-    labels = class_components(docs)
+    labels = class_components(docs, of_class)
     least = of_class.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("least"))
     least = least.join(labels.withColumnRenamed("node", "key"), "key", "left").select("key", "least", F.coalesce("comp", "key").alias("comp"))
-    per_comp = least.groupBy("comp").agg(F.min("least").alias("component_id"))
-    named = least.join(per_comp, "comp").select("key", "component_id")
+    per_comp = least.groupBy("comp").agg(F.min("least").alias("component_id"), F.count("*").alias("n")).withColumn("part", F.explode(F.sequence(F.lit(0), F.when(F.col("n") > 1, PARTS - 1).otherwise(0))))
+    part = F.when(F.col("key") == F.col("comp"), 0).otherwise(F.pmod(F.xxhash64("key"), F.lit(PARTS)).cast("int"))
+    named = least.withColumn("part", part).join(per_comp, ["comp", "part"]).select("key", "component_id")
     # most classes have one row; the join is by class, with the rows of large classes split
     joined = of_class.join(named, "key", "left")
     return joined.select("doc_id", "n_shingles", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_TABLE, small_batches
+from .common import WORD_TABLE, saved, small_batches
 
 # Common insults in the languages of the corpus, the seed of the lexicon.
 INSULTS = (
@@ -51,7 +51,7 @@ def bag(raw: bytes) -> list[bytes]:
 
 def entries(words: list[bytes]) -> set[bytes]:
     """What of the words could stand in a lexicon: the words themselves and their stems."""
-    distinct = {w for w in words if len(w) <= 24}
+    distinct = set(words)
     return {b"=" + w for w in distinct} | {b"^" + w[:k] for w in distinct for k in STEMS if len(w) >= k}
 
 
@@ -99,9 +99,10 @@ class ToxicityModel:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> DataFrame:
-    """id, text, toxic of at most about ``limit`` labelled rows outside the held-out fold.
+    """doc_id, text, toxic of at most about ``limit`` labelled documents outside the held-out fold.
 
-    The sample is by a hash of doc_id.  Rows without an id, text or label are left out.
+    The sample is by a hash of doc_id, one row for each: of labels that repeat the highest counts,
+    of texts that share a doc_id the least one.  Rows without an id, text or label are left out.
     """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).where(fold(F.col("doc_id")) != 0)
     usable = usable.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
@@ -109,7 +110,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLE
     share = min(1.0, limit / max(n, 1))
     pick = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(2**32)) < F.lit(int(share * 2**32))
     texts = docs.where(fold(F.col("doc_id")) != 0).where(pick).where(F.col("text").isNotNull())
-    return texts.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(usable.where(pick)), "doc_id").select("doc_id", "text", "toxic")
+    # the labels picked are at most about ``limit`` rows of two numbers
+    chosen = texts.select("doc_id", "text").join(F.broadcast(usable.where(pick)), "doc_id")
+    return chosen.groupBy("doc_id").agg(F.min("text").cast("binary").alias("text"), F.first("toxic").alias("toxic")).select("doc_id", "text", "toxic")
 
 
 def mine_lexicon(sample: DataFrame, most: int = MAX_MINED) -> list[bytes]:
@@ -151,72 +154,103 @@ def mine_lexicon(sample: DataFrame, most: int = MAX_MINED) -> list[bytes]:
     return [bytes(r[0]) for r in varied.orderBy(F.desc("count"), "word").limit(most).select("word").collect()]
 
 
-def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior of each text being toxic, and each voter's weight (log of its rate ratio, shared among correlated voters)."""
-    labels = labels.astype(float)
+class Votes:
+    """Distinct (vote pattern, label) with their number of texts; votes are kept as places, not as a matrix."""
+
+    def __init__(self, patterns: list[list[int]], labels: list[int], counts: list[int], voters: int) -> None:
+        self.rows = np.repeat(np.arange(len(patterns)), [len(p) for p in patterns])
+        self.cols = np.array([c for p in patterns for c in p], np.int64)
+        self.labels, self.counts, self.voters = np.array(labels, float), np.array(counts, float), voters
+
+    def by_voter(self, of_pattern: np.ndarray) -> np.ndarray:
+        return np.bincount(self.cols, weights=of_pattern[self.rows], minlength=self.voters)
+
+    def by_pattern(self, of_voter: np.ndarray) -> np.ndarray:
+        return np.bincount(self.rows, weights=of_voter[self.cols], minlength=len(self.counts))
+
+    def together(self, of_pattern: np.ndarray) -> np.ndarray:
+        """For each two voters the sum of ``of_pattern`` over what both vote for; dense only in blocks of patterns."""
+        out = np.zeros((self.voters, self.voters))
+        for a in range(0, len(self.counts), 1024):
+            lo, hi = np.searchsorted(self.rows, [a, a + 1024])
+            block = np.zeros((min(1024, len(self.counts) - a), self.voters))
+            block[self.rows[lo:hi] - a, self.cols[lo:hi]] = 1
+            out += (block.T * of_pattern[a : a + 1024]) @ block
+        return out
+
+
+def label_model(votes: Votes, rounds: int = 25) -> tuple[np.ndarray, np.ndarray]:
+    """Posterior of each pattern being toxic, and each voter's weight (log of its rate ratio, shared among correlated voters)."""
+    labels, counts = votes.labels, votes.counts
+    n = counts.sum()
+    both = votes.together(counts)
+    cast = votes.by_voter(counts)
     q = np.where(labels > 0, 0.9, 0.02)
-    factor = np.ones(votes.shape[1])
+    factor = np.ones(votes.voters)
     for _ in range(rounds):
-        on = (q @ votes + 0.5) / (q.sum() + 2.0)
-        off = ((1 - q) @ votes + 0.05) / ((1 - q).sum() + 2.0)
-        right = np.clip((q @ labels + LABEL_ACCURACY) / (q.sum() + 1), 0.6, 0.99)
-        wrong = np.clip(((1 - q) @ labels + 1 - LABEL_ACCURACY) / ((1 - q).sum() + 1), 0.005, 0.4)
-        prior = np.clip(q.mean(), 0.005, 0.5)
+        yes, no = q * counts, (1 - q) * counts
+        on = (votes.by_voter(yes) + 0.5) / (yes.sum() + 2.0)
+        off = (votes.by_voter(no) + 0.05) / (no.sum() + 2.0)
+        right = np.clip((yes @ labels + LABEL_ACCURACY) / (yes.sum() + 1), 0.6, 0.99)
+        wrong = np.clip((no @ labels + 1 - LABEL_ACCURACY) / (no.sum() + 1), 0.005, 0.4)
+        prior = np.clip(yes.sum() / n, 0.005, 0.5)
         weight = np.log(on / off) * factor
-        rest = (np.log((1 - on) / (1 - off)) * factor).sum()
         silent = np.log((1 - on) / (1 - off)) * factor
-        z = np.log(prior / (1 - prior)) + votes @ (weight - silent) + rest
+        z = np.log(prior / (1 - prior)) + votes.by_pattern(weight - silent) + silent.sum()
         z = z + np.where(labels > 0, np.log(right / wrong), np.log((1 - right) / (1 - wrong)))
         q = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        # correlations of voters within the classes: what the latent label leaves unexplained
-        left = votes - np.outer(q, on) - np.outer(1 - q, off)
-        scale = np.sqrt((left**2).mean(axis=0)) + 1e-9
-        corr = (left.T @ left) / len(votes) / np.outer(scale, scale)
+        # correlations of voters within the classes: what the latent label leaves unexplained of
+        # votes - q on - (1 - q) off, summed from the pairs of votes and the shares of the classes
+        shares = np.stack([q, 1 - q])
+        rates = np.stack([on, off])
+        toward = np.stack([votes.by_voter(counts * s) for s in shares])
+        crossed = toward.T @ rates
+        left = both - crossed - crossed.T + rates.T @ ((shares * counts) @ shares.T) @ rates
+        spread = cast - 2 * (toward * rates).sum(axis=0) + np.einsum("ij,ik,kj->j", rates, (shares * counts) @ shares.T, rates)
+        scale = np.sqrt(np.maximum(spread, 0) / n) + 1e-9
+        corr = left / n / np.outer(scale, scale)
         np.fill_diagonal(corr, 0)
         factor = 1 / (1 + np.where(corr > 0.2, corr, 0).sum(axis=1))
     return q, weight
 
 
-def logistic(features: np.ndarray, target: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> tuple[np.ndarray, float]:
+def logistic(votes: Votes, target: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic regression on soft labels, by Newton's method."""
-    x = np.hstack([features, np.ones((len(features), 1))])
-    w = np.zeros(x.shape[1])
-    penalty = np.full(x.shape[1], ridge)
-    penalty[-1] = 1e-3
+    w, bias = np.zeros(votes.voters), 0.0
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x.T * (p * (1 - p) + 1e-6)) @ x + np.diag(penalty), x.T @ (p - target) + penalty * w)
-        w = w - step
+        p = 1 / (1 + np.exp(-np.clip(votes.by_pattern(w) + bias, -30, 30)))
+        slope, miss = (p * (1 - p) + 1e-6) * votes.counts, (p - target) * votes.counts
+        edge = votes.by_voter(slope)
+        hessian = np.block([[votes.together(slope) + ridge * np.eye(votes.voters), edge[:, None]], [edge[None, :], np.array([[slope.sum() + 1e-3]])]])
+        step = np.linalg.solve(hessian, np.append(votes.by_voter(miss) + ridge * w, miss.sum() + 1e-3 * bias))
+        w, bias = w - step[:-1], bias - step[-1]
         if np.abs(step).max() < 1e-6:
             break
-    return w[:-1], float(w[-1])
+    return w, float(bias)
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> ToxicityModel:
     """Lexicon, label model and classifier from a bounded sample of labelled rows.
 
-    Without labelled rows the seed lexicon alone scores: any of its words makes a text toxic.
+    Without labelled rows the seed lexicon alone scores: any of its words makes a text toxic.  The
+    driver gets the distinct vote patterns of the sample with their counts.
     """
     small_batches(docs.sparkSession)
-    sample = labelled_sample(docs, labels, limit)
+    sample = saved(labelled_sample(docs, labels, limit))
     lexicon = list(dict.fromkeys([b"=" + w.encode() for w in INSULTS] + mine_lexicon(sample)))
     voters = Voters(lexicon)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([voters.votes(r) for r in batch.column(1).to_pylist()], pa.list_(pa.int32())), batch.column(2), batch.column(0).cast(pa.string())], ["votes", "toxic", "id"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array([voters.votes(r) for r in batch.column(1).to_pylist()], pa.list_(pa.int32())), batch.column(2)], ["votes", "toxic"])
 
-    rows = sample.mapInArrow(vote, "votes array<int>, toxic int, id string").orderBy("id").collect()
+    rows = sample.mapInArrow(vote, "votes array<int>, toxic int").groupBy("votes", "toxic").count().orderBy("votes", "toxic").collect()
     if not rows:
         return ToxicityModel(tuple(lexicon), (6.0,) * len(lexicon) + (0.0,) * len(PATTERNS), -3.0)
-    votes = np.zeros((len(rows), len(voters)))
-    for i, r in enumerate(rows):
-        votes[i, r[0]] = 1
-    posterior, _ = label_model(votes, np.array([r[1] for r in rows]))
+    votes = Votes([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], len(voters))
+    posterior, _ = label_model(votes)
     weights, bias = logistic(votes, posterior)
-    unseen = votes.sum(axis=0) == 0
+    unseen = votes.by_voter(votes.counts) == 0
     seed = np.arange(len(voters)) < len(INSULTS)
     weights = np.where(unseen & seed, 4.0, weights)
     return ToxicityModel(tuple(lexicon), tuple(weights.tolist()), bias)

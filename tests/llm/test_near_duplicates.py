@@ -3,7 +3,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from panelforge.llm import neardup
+from panelforge.llm import components, neardup
 from panelforge.llm.shingles import set_key, shingle_sets
 
 
@@ -68,15 +68,48 @@ def test_large_groups_and_blocks(docs, prose, monkeypatch):
     assert found == brute_force(texts)
 
 
+def test_buckets_hot_shingles_and_rounds_change_nothing(spark, docs, prose, monkeypatch):
+    """Many buckets, hot lists that are never brought together, small flushes, other partitions and components in rounds give the same rows."""
+    phrase = " ".join(f"common{i}" for i in range(40))
+    texts = [f"{t} {phrase}" for t in prose(60, 10, 21)] + corpus(prose)
+    want = brute_force(texts)
+    of_class = neardup.classes(docs(texts))
+    monkeypatch.setattr(neardup, "HOT_SEEN", 2)
+    monkeypatch.setattr(neardup, "BUCKET_SHINGLES", 500)
+    monkeypatch.setattr(neardup, "HOT_SHARE", 500)
+    buckets, hot = neardup._buckets(of_class)
+    assert buckets > 8 and 20 < len(hot) <= 500
+    monkeypatch.setattr(neardup, "FLUSH_BYTES", 4000)
+    monkeypatch.setattr(components, "LOCAL_LINKS", 0)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for partitions in ("4", "64"):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            assert {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.components(docs(texts)).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_components_in_one_task_and_in_rounds(spark):
+    import random
+
+    draw = random.Random(2)
+    pairs = [(draw.randrange(300), draw.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(60)] + [(7, 7)]
+    links = spark.createDataFrame(pairs, "a long, b long")
+    one, many = ({(r.node, r.comp) for r in components.connected(links, local).collect()} for local in (10**6, 0))
+    assert one == many and (1060, 1000) in one
+    assert components.connected(links.where("a < 0")).count() == 0
+
+
 def test_lists_alone_lose_no_link(docs, prose):
     """The merged lists find every link also where no group was joined before."""
     from panelforge.llm.common import saved
 
     texts = [edited(b, [p], f"q{p}") for b in prose(6, 120, 8) for p in (8, 20, 33)]
     d = docs(texts)
-    survivors = saved(neardup._survivors(neardup._shared(neardup._entries(d, 4), 4), 4))
+    survivors = saved(neardup._survivors(neardup._shared(neardup._entries(d, 4, neardup.np.zeros(0, neardup.np.uint64)), 4), 4))
     labels = survivors.select(F.col("key").alias("node"), F.col("key").alias("comp"))
-    pairs = neardup._mixed_lists(survivors, labels, False, 4).distinct()
+    pairs = neardup._mixed_lists(neardup._lists_of_several(survivors, labels), survivors, labels, False, 4).distinct()
     links = {frozenset((r.a, r.b)) for r in neardup._verified(pairs, survivors).collect()}
     keys = [set_key(s) for s in shingle_sets([t.encode() for t in texts])]
     sets = [plain_sets(t) for t in texts]

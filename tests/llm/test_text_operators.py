@@ -246,6 +246,37 @@ def test_toxicity_held_out(spark):
     assert counts[1, 1] / (counts[1, 1] + counts.get((1, 0), 0)) > 0.7
 
 
+def test_labelled_rows_are_bounded(spark, docs, prose):
+    """Rows that share a doc_id, and labels that repeat, count once."""
+    d = spark.createDataFrame([(7, f"text {i % 5}", "s") for i in range(500)] + [(i, t, "s") for i, t in enumerate(prose(200, 5, 11), 100)], "doc_id long, text string, toxic string")
+    labels = spark.createDataFrame([(7, 1, 0), (7, 1, 1)] + [(i, 1, 0) for i in range(100, 300)] + [(None, 1, 1), (101, 1, None)], "doc_id long, quality int, toxic int")
+    rows = toxicity.labelled_sample(d, labels).collect()
+    outside = {i for i in (7, *range(100, 300)) if zlib.crc32(str(i).encode()) % 5}
+    assert {r.doc_id for r in rows} == outside and len(rows) == len(outside)
+    assert {(bytes(r.text), r.toxic) for r in rows if r.doc_id == 7} == ({(b"text 0", 1)} if 7 in outside else set())
+    assert toxicity.labelled_sample(d, labels, 40).count() < 80
+
+
+def test_vote_patterns_are_summed_as_the_rows_would_be():
+    """Counts of patterns give the posteriors and weights of the full matrix of votes."""
+    draw = toxicity.np.random.default_rng(4)
+    x = (draw.random((400, 6)) < [0.05, 0.2, 0.2, 0.5, 0.02, 0.3]).astype(int)
+    x[:, 2] = x[:, 1]
+    y = ((x[:, 1] + x[:, 0] > 0) & (draw.random(400) < 0.9)).astype(int)
+    seen = {}
+    for v, t in zip(x.tolist(), y.tolist(), strict=True):
+        key = (tuple(i for i, b in enumerate(v) if b), t)
+        seen[key] = seen.get(key, 0) + 1
+    one = toxicity.Votes([list(k[0]) for k in seen], [k[1] for k in seen], list(seen.values()), 6)
+    every = toxicity.Votes([[i for i, b in enumerate(v) if b] for v in x.tolist()], y.tolist(), [1] * 400, 6)
+    (q, w), (p, u) = toxicity.label_model(one), toxicity.label_model(every)
+    assert toxicity.np.allclose(w, u) and abs((q * one.counts).sum() - p.sum()) < 1e-6
+    by_rows = (x.T @ x).astype(float)
+    assert toxicity.np.allclose(one.together(one.counts), by_rows)
+    assert toxicity.np.allclose(toxicity.logistic(one, q)[0], toxicity.logistic(every, p)[0])
+    assert w[1] > 0 and w[2] > 0 and abs(w[3]) < w[1]
+
+
 def test_toxicity_without_labels(spark, docs):
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     out = {r.doc_id: r.predicted for r in toxicity.op9_weak_supervision(docs(["you idiot moron", "hello there", *ODD]), empty).collect()}
