@@ -22,15 +22,26 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared checkpoint folder that the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``; executors and driver share it.
 
-    Only where ``spark.checkpoint.dir`` is unset (tests on one machine) a temporary folder is used.
+    Where it is unset, only a session on one machine (a local master, as in tests) gets a temporary
+    folder; on a cluster that is an error, as executors would not find each other's files.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
+    named = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
+    if not named:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="panelforge-")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="panelforge-"))
+        sc.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the shared checkpoint folder that the cluster names."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -7,7 +7,7 @@ match that ends at a word tells which windows of an item occur there.
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -175,12 +175,12 @@ def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[li
     return blocks
 
 
-_BUILT: dict[tuple[int, int], SuffixAutomaton] = {}
+_BUILT: dict[tuple[bytes, int], SuffixAutomaton] = {}
 
 
 def _automaton(block: list[tuple[str, bytes]], window: int) -> SuffixAutomaton:
     """Built once in a Python worker for the block and reused by its later tasks."""
-    mark = (zlib.crc32(b"\0".join(n.encode() + b"\1" + t for n, t in block)), window)
+    mark = (hashlib.sha256(repr(block).encode()).digest(), window)
     if mark not in _BUILT:
         _BUILT.clear()
         _BUILT[mark] = SuffixAutomaton([(n, word_list(t)) for n, t in block], window)

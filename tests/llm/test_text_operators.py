@@ -58,6 +58,19 @@ def test_overfull_ranges_are_subdivided(docs, prose):
     assert sum(counts) == 400 and min(counts) > 60 and {r.shard for r in rows} == {"own"}
 
 
+def test_repeated_rows_are_split_and_not_collected(docs, prose, monkeypatch):
+    """Rows alike in every column, a third of all and more, go to several shards; the sample holds groups, not rows."""
+    same = docs(["the very same row"]).select("doc_id", "text")
+    many = same.crossJoin(same.sparkSession.range(6000).repartition(24)).drop("id").unionByName(docs(prose(3000, 3, 5)).select("doc_id", "text"))
+    drawn = []
+    quantiles = sharding._quantiles
+    monkeypatch.setattr(sharding, "_quantiles", lambda sample, step: drawn.append(len(sample)) or quantiles(sample, step))
+    rows = sharding.op1_sampled_splitters(many).collect()
+    assert len(rows) == 9000 and max(drawn) < 3100
+    check_shards(rows, 8, 0.02)
+    assert len({r.shard for r in rows if r.text_crc32 == zlib.crc32(b"the very same row")}) > 2
+
+
 def test_sharding_nothing(docs):
     assert sharding.op1_sampled_splitters(docs([])).count() == 0
     assert sharding.op1_sampled_splitters(docs([None])).first().shard is not None
