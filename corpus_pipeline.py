@@ -6,14 +6,13 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame over all that its
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge.llm import decontaminate, mixing, neardup, sharding, toxicity
-from panelforge.llm.common import table
+from panelforge.llm.common import shared_folder, table
 
 SHARDS = 8
 
@@ -58,8 +57,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="panelforge-")
-    root = f"{folder.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         path = f"{root}/{i}_{name}"
