@@ -142,7 +142,7 @@ def shard_records(df: DataFrame, shards: int, *, key: Column, tie: Column, size:
     ``key`` and ``tie`` are any columns, hashed to 64 bits; equal keys stay together unless
     they outweigh half a range.  Rows alike in key and tie are one group; a group that outweighs
     half a range (there are at most twice as many as ranges) is written to the checkpoint folder
-    and told apart by where it stands there, in parts of up to 256 rows.  Nulls in key and tie are values like
+    and its rows are told apart by where they stand there.  Nulls in key and tie are values like
     others; a null size counts 0.  Repeated rows each get their own slot.  An empty table gives no
     rows.  If ``df`` has columns named shard or slot already, the new ones get an underscore in front.
     """
@@ -159,7 +159,7 @@ def shard_records(df: DataFrame, shards: int, *, key: Column, tie: Column, size:
     hot = [tuple(r) for r in groups.where((F.col("_rows") > 1) & (F.col("_bytes") > step / 2)).select("_key", "_tie").collect()]
     if hot:
         names = F.broadcast(spark.createDataFrame(hot, "_key long, _tie long"))
-        apart = saved(keyed.join(names, ["_key", "_tie"]).select(*keyed.columns[:-1], F.shiftright(F.monotonically_increasing_id(), 8).alias("_part")))
+        apart = saved(keyed.join(names, ["_key", "_tie"]).select(*keyed.columns[:-1], F.monotonically_increasing_id().alias("_part")))
         groups = saved(groups.join(names, ["_key", "_tie"], "left_anti").unionByName(_groups(apart)))
         keyed = keyed.join(names, ["_key", "_tie"], "left_anti").unionByName(apart)
     plan = splitters(groups, shards, step)
