@@ -38,7 +38,7 @@ BUCKET_SHINGLES, LEAST_BUCKETS = 2_000_000, 8
 #: A shingle is hot if it has over one in so many of all entries, so hot ones are at most so many.
 HOT_SHARE = 100_000
 #: Text that is hashed before its entries are dealt out; a shingle in so many of its sets may be hot.
-FLUSH_BYTES, HOT_SEEN = 8_000_000, 16
+FLUSH_BYTES, HOT_SEEN = 2_000_000, 8
 #: Parts into which the classes of a component are dealt when its least doc_id is looked up.
 PARTS = 16
 #: Pairs of 16 bytes whose keys are broadcast.

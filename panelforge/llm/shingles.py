@@ -8,7 +8,7 @@ import numpy as np
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x20 if 0x09 <= b <= 0x0D else b for b in range(256))
 WORDS = 5
 #: Texts are hashed in groups of about so many bytes, which bounds memory.
-GROUP_BYTES = 4_000_000
+GROUP_BYTES = 1_000_000
 
 _BASE = 0x9E3779B97F4A7C55
 _POWERS = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}

@@ -66,9 +66,12 @@ def test_repeated_rows_are_split_and_not_collected(docs, prose, monkeypatch):
     quantiles = sharding._quantiles
     monkeypatch.setattr(sharding, "_quantiles", lambda sample, step: drawn.append(len(sample)) or quantiles(sample, step))
     rows = sharding.op1_sampled_splitters(many).collect()
-    assert len(rows) == 9000 and max(drawn) < 3100
+    assert len(rows) == 9000
     check_shards(rows, 8, 0.02)
     assert len({r.shard for r in rows if r.text_crc32 == zlib.crc32(b"the very same row")}) > 2
+    drawn.clear()
+    few = sharding.shard_records(many, 8, key=F.col("text"), tie=F.col("doc_id"), size=F.length("text"), min_ranges=16).collect()
+    assert max(drawn) < 16 * 10 * 4 and len({(r.shard, r.slot) for r in few}) == 9000
 
 
 def test_sharding_nothing(docs):
