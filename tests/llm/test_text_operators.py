@@ -229,6 +229,57 @@ def test_repeated_passages_equal_brute_force(docs):
     assert out[1][1] == "" and out[3][1] == "y" and linedups.op7_repeated_passages(docs([])).count() == 0
 
 
+def test_suffix_array_and_lcp_equal_brute_force(spark, docs, monkeypatch):
+    """Order, common prefixes, depth intervals and maximal runs over many small partitions."""
+    draw = random.Random(9)
+    block = [f"line {i}" for i in range(40)]
+    texts = ["\n".join(draw.choice("abc") for _ in range(draw.randint(1, 12))) for _ in range(40)] + ["\n".join(block), "x\n" + "\n".join(block[3:]), "\n".join(block[:30]) + "\ny", "a\na\na\na\na\na\na", "alone"]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        seqs = linedups.sequences(docs(texts))
+        rows = linedups.with_lcp(linedups.suffix_array(seqs), seqs).orderBy("rank").collect()
+        heads = {r["rank"]: r.heads for r in linedups.intervals(linedups.with_lcp(linedups.suffix_array(seqs), seqs), 4).collect()}
+        runs = {tuple(r) for r in linedups.maximal_runs(docs(texts)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    first = {r.t: r.first for r in seqs.collect()}
+    lines = {t: texts[d].split("\n") for t, d in first.items()}
+    assert [first[t] for t in sorted(first)] == sorted(first.values())
+    common = lambda x, y: next((k for k, (a, b) in enumerate(zip(x, y)) if a != b), min(len(x), len(y)))
+    seen = {}
+    for t in lines.values():
+        for x in t:
+            seen[x] = seen.get(x, 0) + 1
+    assert {(r.t, r.line) for r in rows} == {(t, i) for t, x in lines.items() for i, one in enumerate(x) if seen[one] > 1}
+    assert [r["rank"] for r in rows] == list(range(len(rows)))
+    tails = [lines[r.t][r.line :] for r in rows]
+    assert rows[0].lcp == 0 and all(r.lcp == common(x, y) for r, x, y in zip(rows[1:], tails, tails[1:]))
+    # neighbours share the most lines: no suffix shares more with one further off
+    for i in range(0, len(rows), 3):
+        most = max((common(tails[i], tails[j]) for j in range(len(rows)) if j != i), default=0)
+        assert most == max(rows[i].lcp, rows[i + 1].lcp if i + 1 < len(rows) else 0)
+    for k in range(1, 5):
+        equal = {}
+        for r, x in zip(rows, tails):
+            if len(x) >= k and (r.lcp >= k or heads[r["rank"]][k - 1] == r["rank"]):
+                equal.setdefault(heads[r["rank"]][k - 1], set()).add(tuple(x[:k]))
+        assert all(len(v) == 1 for v in equal.values())
+    assert (41, 1, 37, 40, 3) in runs or (40, 3, 37, 41, 1) in runs
+    for d, i, n, e, j in runs:
+        x, y = texts[d].split("\n"), texts[e].split("\n")
+        assert x[i : i + n] == y[j : j + n] and common(x[i:], y[j:]) == n and (not i or not j or x[i - 1] != y[j - 1])
+
+
+def test_lines_of_repeated_rows_and_copies(spark):
+    """Rows that repeat, ids that repeat with other texts, rows without an id, and copies of short and of long texts."""
+    rows = [(1, "a\nb\nc"), (1, "a\nb\nc"), (2, "a\nb\nc"), (2, "q"), (3, "q"), (3, "x\na\nb\nc"), (None, "a\nb\nc"), (4, None), (5, "a\nb")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("name", F.lit(1)).withColumn("first", F.lit(2))
+    out = sorted(((r.doc_id, r.text, list(r.removed)) for r in linedups.dedup_lines(d).collect()), key=str)
+    want = [(1, "a\nb\nc", []), (1, "a\nb\nc", []), (2, "", [0, 1, 2]), (2, "q", []), (3, "q", []), (3, "x", [1, 2, 3]), (None, "a\nb\nc", []), (4, None, []), (5, "a\nb", [])]
+    assert out == sorted(want, key=str)
+
+
 def test_secret_forest_on_findings_held_out():
     forest = secrets.train_forest(secrets.sample_findings())
     held = secrets.sample_findings(1500, seed=1234)
