@@ -193,6 +193,50 @@ def test_licence_scan_equals_brute_force(docs, prose):
     assert licenses.op4_license_dice(docs([])).count() == 0
 
 
+def plain_passages(text, threshold=licenses.THRESHOLD, most=60):
+    """Every run of up to ``most`` lines against every template; of overlapping ones of a template the best, shortest, first."""
+    lines = [x.split() for x in (text or "").encode().translate(licenses._KEEP_LINES).split(b"\n")]
+    out = []
+    for name, t in licenses.TEMPLATES.items():
+        own = licenses.bigrams(t.encode().translate(licenses.WORD_TABLE).split())
+        every = [(-licenses.dice(licenses.bigrams(sum(lines[i : j + 1], [])), own), j - i, i) for i in range(len(lines)) for j in range(i, min(len(lines), i + most)) if lines[i]]
+        taken = []
+        for d, n, i in sorted(e for e in every if -e[0] >= threshold):
+            if all(i + n < a or a + b < i for a, b in taken):
+                taken.append((i, n))
+                out.append((name, i, i + n, round(-d, 9)))
+    return sorted(out, key=lambda m: (m[1], m[0], m[2]))
+
+
+def test_licence_passages_equal_brute_force():
+    """Names, lines and scores, with notices split at any word, doubled and repeated."""
+    draw = random.Random(8)
+    matcher = licenses.Matcher(licenses.TEMPLATES, licenses.THRESHOLD)
+    texts = ["Released\nunder the MIT License.", "Released under the MIT License.\n" * 30, "a b\nc d\n" * 20 + "Licensed under CC BY-NC 4.0."]
+    for _ in range(60):
+        words = []
+        for _ in range(draw.randint(1, 3)):
+            words += licenses.TEMPLATES[draw.choice(sorted(licenses.TEMPLATES))].split()[: draw.randint(3, 60)]
+            words += ["other", "words"][: draw.randint(0, 2)]
+        texts.append("".join(w + draw.choice([" "] * 9 + ["\n", "\n\n"]) for w in words))
+    for t in texts:
+        got = [(n, i, j, round(d, 9)) for n, i, j, d in matcher.scan(t.encode())]
+        want = plain_passages(t)
+        assert [g for g in got if g[2] - g[1] < 60] == want
+    assert plain_passages(texts[0])[0][:3] == ("MIT", 0, 1)
+
+
+def test_licence_scan_is_linear_in_repeated_lines():
+    import time
+
+    matcher = licenses.Matcher(licenses.TEMPLATES, licenses.THRESHOLD)
+    began = time.perf_counter()
+    assert len(matcher.scan(b"Released under the MIT License.\n" * 20_000)) == 20_000
+    matcher.scan(b"under the license\nof the work\nyou may\n" * 7_000)
+    matcher.scan(b"under the terms " * 100_000)
+    assert time.perf_counter() - began < 5
+
+
 def test_repeated_runs(docs):
     texts = ["a\nb\nc\nd", "x\na\nb\nc\ny", None, "", "a\nb", "q\nq\nq\nq\nq", "a\nb\nc\nd"]
     out = {r.doc_id: (r.clean_text, r.removed_lines) for r in linedups.op7_repeated_lines(docs(texts)).collect()}
