@@ -116,17 +116,15 @@ def lasso_search(rows: DataFrame, features: tuple[str, ...], target: str, alphas
     fitted = [lasso_path(g, alphas) for g in grams]
     spark = rows.sparkSession
 
-    def score(k: int, a: int):
+    def lines(k: int) -> list[list[float]]:
+        """For each alpha the constant and the slopes of the features as they stand."""
         coef, mean, sd = fitted[k]
-        return sum(((F.col(f) - float(mean[j])) / float(sd[j]) * float(coef[a, j]) for j, f in enumerate(features)), F.lit(0.0))
-
-    scored = placed
-    for a in range(len(alphas)):
-        by_fold = F.when(F.col("fold") == 0, score(0, a))
-        for k in range(1, folds):
-            by_fold = by_fold.when(F.col("fold") == k, score(k, a))
-        scored = scored.withColumn(f"p{a}", F.round(by_fold, 12))
-    long = scored.select("date", F.col(target).alias("t"), F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.col(f"p{a}").alias("p")) for a in range(len(alphas))])).alias("e")).select("date", "t", "e.*")
+        slopes = coef / sd
+        return [[float(-(mean[: len(features)] * b).sum()), *map(float, b)] for b in slopes]
+
+    by_fold = F.broadcast(spark.createDataFrame([(k, lines(k)) for k in range(folds)], "fold int, lines array<array<double>>"))
+    predicted = F.transform("lines", lambda c: F.round(sum((F.get(c, F.lit(j + 1)) * F.col(f) for j, f in enumerate(features)), F.get(c, F.lit(0))), 12))
+    long = placed.join(by_fold, "fold").select("date", F.col(target).alias("t"), F.posexplode(predicted).alias("a", "p"))
 
     def ranked(c: str):
         w = Window.partitionBy("a", "date").orderBy(c)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .models import greedy_prune
+from .models import greedy_prune, lasso_search
 
 
 @dataclass(frozen=True)
@@ -27,6 +27,11 @@ class ScreenSpec:
     corr_limit: float = 0.85
     most: int = 60
     lags: int = 10
+    #: Rolling mean of ICs over so many dates; a factor fails that stays under the level for so many in a row (0: no such gate).
+    stability_window: int = 0
+    stability_level: float = 0.0005
+    stability_run: int = 252
+    least_pairs: int = 200
 
 
 def slices(dates: DataFrame, spec: ScreenSpec) -> DataFrame:
@@ -43,11 +48,33 @@ def slices(dates: DataFrame, spec: ScreenSpec) -> DataFrame:
     ).where("hold_to > hold_from")
 
 
+def newey_west_t(series: DataFrame, by: list[str], value: str, order: str, lags: int) -> DataFrame:
+    """n, mean and Newey-West t (Bartlett weights, ``lags``) of ``value`` for each group of ``by``; null values are gaps that close up."""
+    own = Window.partitionBy(*by)
+    dev = series.where(F.col(value).isNotNull()).select(*by, order, F.col(value).alias("_x"), (F.col(value) - F.avg(value).over(own)).alias("_u"))
+    lagged = dev.select("*", *[F.lag("_u", k).over(own.orderBy(order)).alias(f"_u{k}") for k in range(1, lags + 1)])
+    spread = F.sum(F.col("_u") * F.col("_u"))
+    for k in range(1, lags + 1):
+        spread = spread + F.lit(2 * (1 - k / (lags + 1))) * F.coalesce(F.sum(F.col("_u") * F.col(f"_u{k}")), F.lit(0.0))
+    per = lagged.groupBy(*by).agg(F.count("*").alias("n"), F.avg("_x").alias("mean"), spread.alias("_s"))
+    return per.select(*by, "n", "mean", (F.col("mean") / F.nullif(F.sqrt(F.greatest("_s", F.lit(0.0))) / F.col("n"), F.lit(0.0))).alias("t"))
+
+
+def longest_low_run(series: DataFrame, by: list[str], value: str, order: str, window: int, level: float) -> DataFrame:
+    """``longest``: the most dates in a row on which the mean of the last ``window`` values lies under ``level``."""
+    w = Window.partitionBy(*by).orderBy(order)
+    roll = w.rowsBetween(1 - window, 0)
+    low = series.select(*by, order, F.when(F.count(value).over(roll) == window, F.abs(F.avg(value).over(roll)) < level).alias("_low"), F.row_number().over(w).alias("_i")).where("_low")
+    return low.withColumn("_island", F.col("_i") - F.row_number().over(w)).groupBy(*by, "_island").count().groupBy(*by).agg(F.max("count").alias("longest"))
+
+
 def screen(signals: DataFrame, factors: tuple[str, ...], target: str, spec: ScreenSpec = ScreenSpec()) -> DataFrame:
     """For each slice and factor: statistics of its training ICs, whether it passes, whether pruning keeps it, and holdout IC.
 
-    All slices are scored in one job by a range join of the daily ICs with the slice table; the
-    driver then prunes on one row for each slice and pair of factors.
+    t and t_oos are Newey-West statistics of the training window and of its last part; the score
+    puts t_oos first, then the size of the mean there, then t.  Null ICs are gaps.  All slices are
+    scored in one job by a range join of the daily ICs with the slice table; the driver then prunes
+    on one row for each slice and pair of factors, pairs with few common rows counting as unrelated.
     """
     long = signals.select("date", "ticker", F.col(target).alias("y"), F.explode(F.array(*[F.struct(F.lit(f).alias("factor"), F.col(f).alias("x")) for f in factors])).alias("e")).select("date", "y", "e.*")
     sd = F.stddev_samp("x") * F.stddev_samp("y")
@@ -57,19 +84,30 @@ def screen(signals: DataFrame, factors: tuple[str, ...], target: str, spec: Scre
     placed = ic.join(pos, "date").where("ic IS NOT NULL")
     inside = placed.join(plan, (F.col("i") >= F.col("train_from")) & (F.col("i") < F.col("hold_to")))
     cut = F.col("train_to") - F.floor((F.col("train_to") - F.col("train_from")) * spec.oos_share)
-    train, oos, hold = F.col("i") < F.col("train_to"), (F.col("i") < F.col("train_to")) & (F.col("i") >= cut), F.col("i") >= F.col("hold_from")
-    per = inside.groupBy("slice", "factor").agg(
-        F.count(F.when(train, 1)).alias("n"), F.count(F.when(oos, 1)).alias("n_oos"), F.avg(F.when(train, F.col("ic"))).alias("mean"), F.avg(F.when(oos, F.col("ic"))).alias("mean_oos"),
-        F.stddev_samp(F.when(train, F.col("ic"))).alias("sd"), F.avg(F.when(hold, F.col("ic"))).alias("mean_hold"),
+    parts = F.filter(F.array(F.when(F.col("i") < F.col("train_to"), "full"), F.when((F.col("i") < F.col("train_to")) & (F.col("i") >= cut), "oos"), F.when(F.col("i") >= F.col("hold_from"), "hold")), lambda x: x.isNotNull())
+    tested = newey_west_t(inside.select("slice", "factor", "i", "ic", F.explode(parts).alias("part")), ["slice", "factor", "part"], "ic", "i", spec.lags)
+    of = lambda part, c: F.max(F.when(F.col("part") == part, F.col(c)))
+    per = tested.groupBy("slice", "factor").agg(
+        F.coalesce(of("full", "n"), F.lit(0)).alias("n"), F.coalesce(of("oos", "n"), F.lit(0)).alias("n_oos"), of("full", "mean").alias("mean"), of("oos", "mean").alias("mean_oos"),
+        of("full", "t").alias("t"), of("oos", "t").alias("t_oos"), of("hold", "mean").alias("mean_hold"),
     )
-    t = F.col("mean") / F.nullif(F.col("sd") / F.sqrt("n"), F.lit(0.0))
     agree = (F.signum("mean") == F.signum("mean_oos")) | (F.col("mean_oos") == 0)
     passed = (F.col("n") >= spec.least_days) & (F.col("n_oos") >= spec.least_oos) & agree & (F.abs("mean_oos") >= spec.least_abs_mean)
-    scored = per.withColumn("t", t).withColumn("passed", F.coalesce(passed, F.lit(False))).withColumn("score", F.abs(F.coalesce("t", F.lit(0.0))))
+    if spec.stability_window:
+        runs = longest_low_run(inside.where(F.col("i") < F.col("train_to")), ["slice", "factor"], "ic", "i", spec.stability_window, spec.stability_level)
+        per = per.join(runs, ["slice", "factor"], "left")
+        passed = passed & (F.coalesce("longest", F.lit(0)) < spec.stability_run)
+        per = per.withColumn("passed", F.coalesce(passed, F.lit(False))).drop("longest")
+    else:
+        per = per.withColumn("passed", F.coalesce(passed, F.lit(False)))
+    worst = F.lit(-1e9)
+    scored = per.withColumn("score", F.coalesce("t_oos", worst) * 1e6 + F.coalesce(F.abs("mean_oos"), worst) * 1e4 + F.coalesce("t", worst))
     pairs = [(a, b) for i, a in enumerate(factors) for b in factors[i + 1 :]]
     by_slice = signals.join(pos, "date").join(plan, (F.col("i") >= F.col("train_from")) & (F.col("i") < F.col("train_to"))).groupBy("slice")
     spread = lambda a, b: F.stddev_samp(F.when(F.col(b).isNotNull(), F.col(a))) * F.stddev_samp(F.when(F.col(a).isNotNull(), F.col(b)))
-    corr = {r["slice"]: r for r in by_slice.agg(*[(F.covar_samp(a, b) / F.nullif(spread(a, b), F.lit(0.0))).alias(f"{a}|{b}") for a, b in pairs]).collect()} if pairs else {}
+    common = lambda a, b: F.count(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), 1))
+    related = [F.when(common(a, b) >= spec.least_pairs, F.covar_samp(a, b) / F.nullif(spread(a, b), F.lit(0.0))).alias(f"{a}|{b}") for a, b in pairs]
+    corr = {r["slice"]: r for r in by_slice.agg(*related).collect()} if pairs else {}
     order: dict[int, list[str]] = {}
     for r in scored.where("passed").orderBy("slice", F.desc("score"), "factor").select("slice", "factor").collect():
         order.setdefault(r["slice"], []).append(r["factor"])
@@ -117,3 +155,36 @@ def signal_bank(signals: DataFrame, kept: DataFrame, plan: DataFrame) -> DataFra
     day = Window.partitionBy("slice", "date")
     out = held.select("slice", "date", "ticker", mean.alias("signal"))
     return out.withColumn("z", (F.col("signal") - F.avg("signal").over(day)) / F.nullif(F.stddev_samp("signal").over(day), F.lit(0.0)))
+
+
+def walk_forward(signals: DataFrame, factors: tuple[str, ...], target: str, alphas: np.ndarray, spec: ScreenSpec = ScreenSpec(), purge: int = 5) -> tuple[DataFrame, DataFrame]:
+    """One call over all slices: screening, sparse regression on what it keeps, and the bank of holdout signals.
+
+    Returns the choice of each slice (slice, factor, coefficient, alpha, rank_ic, ir) and the bank.  In
+    a slice the penalty of the best rank IC is taken, of equal ones that of the better ratio, then
+    the smaller one; factors with a coefficient enter the bank, all kept ones if none has.
+    Slices are few; each is a job over its own training rows.
+    """
+    spark = signals.sparkSession
+    plan = slices(signals, spec)
+    kept: dict[int, list[str]] = {}
+    for r in screen(signals, factors, target, spec).where("kept").select("slice", "factor").collect():
+        kept.setdefault(r["slice"], []).append(r["factor"])
+    pos = signals.select("date").distinct().withColumn("i", F.row_number().over(Window.orderBy("date")) - 1)
+    placed = signals.join(pos, "date")
+    chosen = []
+    for s in plan.orderBy("slice").collect():
+        names = tuple(sorted(kept.get(s["slice"], [])))
+        if not names:
+            continue
+        rows = placed.where((F.col("i") >= s["train_from"]) & (F.col("i") < s["train_to"])).select("date", "ticker", *names, target).dropna()
+        best = choose(lasso_search(rows, names, target, alphas, gap=purge)).first()
+        used = [(f, c) for f, c in zip(names, best["coefficients"], strict=True) if abs(c) > 1e-12] or [(f, 0.0) for f in names]
+        chosen += [(s["slice"], f, float(c), best["alpha"], best["rank_ic"], best["ir"]) for f, c in used]
+    table = spark.createDataFrame(chosen, "slice int, factor string, coefficient double, alpha double, rank_ic double, ir double")
+    return table, signal_bank(signals.drop(target), table.withColumn("kept", F.lit(True)), plan)
+
+
+def choose(path: DataFrame) -> DataFrame:
+    """The row of a penalty path that is taken: best rank IC, then best ratio, then smallest penalty."""
+    return path.orderBy(F.desc_nulls_last(F.round("rank_ic", 9)), F.desc_nulls_last(F.round("ir", 9)), "alpha").limit(1)

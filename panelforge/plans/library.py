@@ -290,3 +290,60 @@ SELECT book, {rounded('sum(w) / sum(sum(w)) OVER ()')} AS fraction, count(*) AS
 sql_query("split_factor_daily", lambda d: f"""SELECT CAST(o_orderdate AS DATE) AS date, count(*) AS n, {rounded('exp(sum(ln(1 + o_totalprice / 1e7)))')} AS factor, extract(year FROM o_orderdate) AS year
 FROM {{orders}} WHERE o_totalprice > 0 GROUP BY 1, extract(year FROM o_orderdate) HAVING count(*) > 1""")
 sql_query("pivot_report", lambda d: "SELECT extract(year FROM date) AS year, " + ", ".join(f"{rounded(f'avg(CASE WHEN sector = {k} THEN logret END)')} AS sector_{k}" for k in range(5)) + " FROM {month} GROUP BY 1")
+
+
+# ---------------------------------------------------------------- tests of returns, filters of signals, tickers, legacy fills
+
+
+def _both_ics(d: Dialect) -> str:
+    """ic(factor, date, ic) of both kinds, the factors marked p_ (Pearson) and r_ (ranks)."""
+    body = lambda spearman: _ic(d, spearman).removeprefix("ic AS (").removesuffix(")")
+    return f"p AS ({body(False)}), r AS ({body(True)}), ic AS (SELECT concat('p_', factor) AS factor, date, ic FROM p UNION ALL SELECT concat('r_', factor), date, ic FROM r)"
+
+
+sql_query("signal_tests_merged", lambda d: f"""WITH {_both_ics(d)}, {_hac(5)},
+tests AS (SELECT substring(factor, 3) AS factor, substring(factor, 1, 1) AS kind, n, mean, se, abs(mean) / nullif(se, 0) > 1.6449 AS reject FROM hac)
+SELECT a.factor, a.n AS n_ic, b.n AS n_ric, {rounded('a.mean')} AS mean_ic, {rounded('b.mean')} AS mean_ric, {rounded('abs(a.mean)')} AS abs_mean_ic, {rounded('abs(b.mean)')} AS abs_mean_ric,
+       CAST(sign(a.mean) AS BIGINT) AS sign_ic, CAST(sign(b.mean) AS BIGINT) AS sign_ric, a.reject AS reject_ic, b.reject AS reject_ric
+FROM tests a JOIN tests b ON a.factor = b.factor WHERE a.kind = 'p' AND b.kind = 'r'""")
+sql_query("two_sided_filter", lambda d: f"""WITH {_both_ics(d)}, {_hac(5)},
+tests AS (SELECT substring(factor, 3) AS factor, substring(factor, 1, 1) AS kind, mean, se, coalesce(abs(mean) / nullif(se, 0) > 1.6449, FALSE) AS reject,
+          CASE WHEN mean >= 0 THEN mean - 1.6449 * se END AS lower, CASE WHEN mean < 0 THEN mean + 1.6449 * se END AS upper FROM hac),
+paired AS (SELECT a.factor, a.mean AS mean_ic, b.mean AS mean_ric, a.reject AND b.reject AS rejected, a.lower AS lower_ic, b.lower AS lower_ric, a.upper AS upper_ic, b.upper AS upper_ric
+         FROM tests a JOIN tests b ON a.factor = b.factor WHERE a.kind = 'p' AND b.kind = 'r')
+SELECT factor, {rounded('mean_ic')} AS mean_ic, {rounded('mean_ric')} AS mean_ric,
+       coalesce(rejected AND ((mean_ic > 0.001 AND mean_ric > 0.001 AND lower_ic > 0 AND lower_ric > 0) OR (mean_ic < -0.001 AND mean_ric < -0.001 AND upper_ic < 0 AND upper_ric < 0)), FALSE) AS kept FROM paired""")
+#: The upper tail of the normal distribution to seven digits, by the published polynomial (fixed values of Abramowitz and Stegun 26.2.17).
+_TAIL = (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
+
+
+def normal_tail(z: str) -> str:
+    k = f"(1 / (1 + CAST(0.2316419 AS DOUBLE) * abs({z})))"
+    polynomial = " + ".join(f"CAST({c!r} AS DOUBLE) * power({k}, {i + 1})" for i, c in enumerate(_TAIL))
+    upper = f"(exp(-({z}) * ({z}) / 2) / sqrt(2 * pi()) * ({polynomial}))"
+    return f"CASE WHEN ({z}) >= 0 THEN {upper} ELSE 1 - {upper} END"
+
+
+#: H1: the mean return is positive; lags by the rule 4 (n / 100) ^ (2 / 9), at least one.
+sql_query("nw_one_sided", lambda d: f"""WITH {_market}, s AS (SELECT r, row_number() OVER (ORDER BY date) AS i, r - avg(r) OVER () AS u, count(*) OVER () AS n FROM nav),
+k AS (SELECT n, greatest(1, least(CAST(floor(4 * power(n / CAST(100 AS DOUBLE), 2 / CAST(9 AS DOUBLE))) AS INT), CAST(n AS INT) - 1)) AS lags FROM (SELECT max(n) AS n FROM s)),
+c AS (SELECT sum((CASE WHEN a.i = b.i THEN 1 ELSE 2 * (1 - (a.i - b.i) / CAST(k.lags + 1 AS DOUBLE)) END) * a.u * b.u) / max(k.n) AS v FROM s a JOIN s b ON b.i <= a.i JOIN k ON a.i - b.i <= k.lags),
+t AS (SELECT k.n, k.lags, (SELECT avg(r) FROM s) AS mean, (SELECT stddev_samp(r) FROM s) AS sd, CASE WHEN c.v > 0 THEN (SELECT avg(r) FROM s) / sqrt(c.v / k.n) END AS t FROM k CROSS JOIN c)
+SELECT n, lags, {rounded('mean')} AS mean, {rounded('sd')} AS sd, {rounded('CASE WHEN n >= 10 THEN t END')} AS t, {rounded(f'CASE WHEN n >= 10 THEN {normal_tail("t")} END')} AS p_one_sided FROM t""")
+sql_query("pair_corr_min_pairs", lambda d: " UNION ALL ".join(
+    f"SELECT '{a}' AS a, '{b}' AS b, count(*) AS pairs, {rounded(f'CASE WHEN count(*) >= 200 THEN {corr(a, b)} END')} AS corr FROM {{signals}} WHERE {a} IS NOT NULL AND {b} IS NOT NULL"
+    for i, a in enumerate(FACTORS) for b in FACTORS[i + 1 :]))
+sql_query("ticker_formats", lambda d: """WITH s AS (SELECT s_suppkey, concat(CASE WHEN s_suppkey % 2 = 0 THEN 'sh' ELSE 'sz' END, lpad(CAST(s_suppkey * 977 % 1000000 AS VARCHAR(6)), 6, '0')) AS symbol FROM {supplier}),
+f AS (SELECT *, concat(substring(symbol, 3), CASE WHEN substring(symbol, 1, 2) = 'sh' THEN '.SS' ELSE '.SZ' END) AS listed FROM s)
+SELECT s_suppkey, symbol, listed, concat(CASE WHEN upper(substring(listed, 8)) = 'SS' THEN 'sh' ELSE 'sz' END, substring(listed, 1, 6)) AS back FROM f""")
+#: The legacy fill: forward, then backward for what comes before the first value (it looks ahead; off everywhere else).
+sql_query("legacy_fill", lambda d: f"""WITH f AS (SELECT date, ticker, close, {d.last('close', '(PARTITION BY ticker ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)')} AS forward,
+{d.last('close', '(PARTITION BY ticker ORDER BY date DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)')} AS backward FROM {{month}})
+SELECT date, ticker, {rounded('forward')} AS forward, {rounded('coalesce(forward, backward)')} AS filled FROM f""")
+sql_query("universe_by_age_and_dollars", lambda d: f"""WITH a AS (SELECT date, ticker, CASE WHEN volume > 0 THEN vwap * volume END AS dollars, coalesce(volume, 0) > 0 AS active, min(CASE WHEN volume > 0 THEN date END) OVER (PARTITION BY ticker) AS listed FROM {{month}}),
+r AS (SELECT *, CASE WHEN count(dollars) OVER w = 20 THEN avg(dollars) OVER w END AS adv FROM a WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
+SELECT date, ticker, coalesce(active AND date >= listed + INTERVAL 365 DAY AND dollars >= 1e6, FALSE) AS instant, coalesce(active AND date >= listed + INTERVAL 365 DAY AND adv >= 1e6, FALSE) AS rolling FROM r""")
+sql_query("partial_autocorrelation", lambda d: f"""WITH {_ic(d)}, {_newey_west(3)}, a AS (SELECT factor, count(*) AS n, sum(u * u1) / nullif(sum(u * u), 0) AS r1, sum(u * u2) / nullif(sum(u * u), 0) AS r2, sum(u * u3) / nullif(sum(u * u), 0) AS r3 FROM lagged GROUP BY factor),
+p AS (SELECT factor, n, r1 AS p1, (r2 - r1 * r1) / nullif(1 - r1 * r1, 0) AS p2, r1, r2, r3 FROM a)
+SELECT factor, {rounded('p1')} AS pacf1, {rounded('p2')} AS pacf2, {rounded('(r3 - (r1 - p2 * r1) * r2 - p2 * r1) / nullif(1 - (r1 - p2 * r1) * r1 - p2 * r2, 0)')} AS pacf3,
+       greatest(abs(p1), abs(p2)) > 1.96 / sqrt(n) AS dependent FROM p""")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import astuple
 
 import numpy as np
@@ -11,11 +12,11 @@ from pyspark.sql import functions as F
 from ..functions.dag import compute
 from ..functions.ops import col, cs_mean, delay, fwd_sum, rolling_beta
 from ..operators import ledger
-from ..operators.engines import DualLeg, Lots, SingleLeg, simulate
+from ..operators.engines import DualLeg, Lots, SingleLeg, simulate, simulate_trades
 from ..operators.models import EgarchSpec, egarch_forecast, fama_macbeth, hmm_probabilities, lasso_search
 from ..operators.panel import MONTH, NATION_WEEK, load_panel
 from ..operators.search import SearchSpec, evolve
-from ..operators.walkforward import ScreenSpec, neutralize, screen, signal_bank, slices
+from ..operators.walkforward import ScreenSpec, choose, neutralize, screen, signal_bank, slices, walk_forward
 from ..streaming.bars import daily_bars, read_events, run_available
 from .catalog import register
 from .library import GRAM, KEPT, SIGNALS
@@ -31,9 +32,19 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compute(load_panel(spark, sf_dir, NATION_WEEK), SIGNALS, keep=KEPT)
 
 
+def _kept(rows: DataFrame, of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``of`` makes of ``rows``, which are kept meanwhile and then released; the result is a row for each penalty or slice and factor."""
+    rows = rows.persist()
+    try:
+        found = of(rows)
+        return rows.sparkSession.createDataFrame(found.collect(), found.schema)
+    finally:
+        rows.unpersist()
+
+
 def lasso_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = signals(spark, sf_dir).select("date", "ticker", *FACTORS, "y5").dropna().persist()
-    found = lasso_search(rows, FACTORS, "y5", ALPHAS)
+    rows = signals(spark, sf_dir).select("date", "ticker", *FACTORS, "y5").dropna()
+    found = _kept(rows, lambda rows: lasso_search(rows, FACTORS, "y5", ALPHAS))
     return found.select("alpha", F.round("rank_ic", 8).alias("rank_ic"), F.round("ir", 8).alias("ir"), "coefficients")
 
 
@@ -52,8 +63,11 @@ def hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def formula_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load_panel(spark, sf_dir, NATION_WEEK)
-    panel = compute(rows, SIGNALS | {"beta": BETA}, keep=("logret", "mcap", "sector")).withColumn("ln_cap", F.log(F.when(F.col("mcap") > 0, F.col("mcap")))).cache()
-    found = evolve(panel, FACTORS, fwd_sum(col("logret"), 5), SEARCH)
+    panel = compute(rows, SIGNALS | {"beta": BETA}, keep=("logret", "mcap", "sector")).withColumn("ln_cap", F.log(F.when(F.col("mcap") > 0, F.col("mcap")))).persist()
+    try:
+        found = evolve(panel, FACTORS, fwd_sum(col("logret"), 5), SEARCH)
+    finally:
+        panel.unpersist()
     rows = [astuple(f) for f in found]
     return spark.createDataFrame(rows, "formula string, adjusted double, objective double, t double, validation_t double, mean_ic double, complexity int, generations int")
 
@@ -61,11 +75,10 @@ def formula_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Softmax weights of the five best names a week, the lower half by variation as leg 2."""
     found = signals(spark, sf_dir).select("date", "ticker", F.col("close").alias("price"), F.col("s4").alias("s"), F.abs("logret").alias("v"))
-    found.createOrReplaceTempView("panelforge_orders")
     return spark.sql("""
-      WITH r AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY s DESC NULLS LAST, ticker) AS r, percent_rank() OVER (PARTITION BY date ORDER BY v) AS p FROM panelforge_orders),
+      WITH r AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY s DESC NULLS LAST, ticker) AS r, percent_rank() OVER (PARTITION BY date ORDER BY v) AS p FROM {found}),
       e AS (SELECT *, CASE WHEN r <= 5 AND s IS NOT NULL THEN exp(1.4 * (s - max(s) OVER (PARTITION BY date))) END AS e FROM r)
-      SELECT date, ticker, price, coalesce(e / nullif(sum(e) OVER (PARTITION BY date), 0), 0) AS weight, CASE WHEN p <= 0.5 THEN 1.0 ELSE 2.0 END AS leg FROM e""")
+      SELECT date, ticker, price, coalesce(e / nullif(sum(e) OVER (PARTITION BY date), 0), 0) AS weight, CASE WHEN p <= 0.5 THEN 1.0 ELSE 2.0 END AS leg FROM e""", found=found)
 
 
 def engine_single_leg(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +94,7 @@ def engine_lots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_available(daily_bars(read_events(spark, sf_dir)), "panelforge_daily_bars")
+    return run_available(daily_bars(read_events(spark, sf_dir)))
 
 
 STREAM_ORACLE = """SELECT CAST(date_trunc('day', ts) AS DATE) AS date, user_id, arg_min(value, row(ts, event_id)) AS open, max(value) AS high, min(value) AS low,
@@ -99,13 +112,35 @@ register("stream_daily_bars", stream_daily_bars, STREAM_ORACLE)
 
 
 def walk_forward_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = signals(spark, sf_dir).select("date", "ticker", *FACTORS, "y5").persist()
-    return screen(rows, FACTORS, "y5")
+    rows = signals(spark, sf_dir).select("date", "ticker", *FACTORS, "y5")
+    return _kept(rows, lambda rows: screen(rows, FACTORS, "y5", ScreenSpec(stability_window=60, stability_run=60)))
 
 
 def signal_bank_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = signals(spark, sf_dir).select("date", "ticker", *FACTORS, "y5").persist()
-    return signal_bank(rows.drop("y5"), screen(rows, FACTORS, "y5", ScreenSpec(least_abs_mean=0.0)), slices(rows, ScreenSpec()))
+    rows = signals(spark, sf_dir).select("date", "ticker", *FACTORS, "y5")
+    screened = _kept(rows, lambda rows: screen(rows, FACTORS, "y5", ScreenSpec(least_abs_mean=0.0)))
+    return signal_bank(rows.drop("y5"), screened, slices(rows, ScreenSpec()))
+
+
+def walk_forward_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Screening and sparse regression chained over all slices: the penalty and factors taken in each."""
+    rows = signals(spark, sf_dir).select("date", "ticker", *FACTORS, "y5")
+    found = _kept(rows, lambda rows: walk_forward(rows, FACTORS, "y5", ALPHAS, ScreenSpec(every=104, least_abs_mean=0.0))[0])
+    return found.select("slice", "factor", F.round("coefficient", 8).alias("coefficient"), "alpha", F.round("rank_ic", 8).alias("rank_ic"), F.round("ir", 8).alias("ir"))
+
+
+def lasso_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return choose(lasso_path(spark, sf_dir))
+
+
+def regime_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """On how many dates each regime is likelier than not."""
+    found = hmm(spark, sf_dir)
+    return found.agg(*[F.count(F.when(F.col(c) > 0.5, 1)).alias(f"n_{c}") for c in found.columns if c != "date"], F.count("*").alias("n"))
+
+
+def engine_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simulate_trades(_orders(spark, sf_dir), [SingleLeg("hold2", hold=2), DualLeg(), DualLeg("tight", stop=0.03, drawdown=0.05)])
 
 
 def barra_neutral(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,6 +157,10 @@ def blotter_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 register("walk_forward_screen", walk_forward_screen)
 register("signal_bank", signal_bank_query)
+register("walk_forward_choice", walk_forward_choice)
+register("lasso_choice", lasso_choice)
+register("hmm_regime_counts", regime_counts)
+register("engine_trades", engine_trades)
 register("barra_neutral", barra_neutral)
 register("blotter_daily", blotter_daily)
 

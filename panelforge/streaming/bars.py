@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,8 +26,28 @@ def daily_bars(events: DataFrame, late: str = "1 day") -> DataFrame:
     )
 
 
-def run_available(bars: DataFrame, name: str) -> DataFrame:
-    """All that is available now, through a memory sink."""
-    query = bars.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+def shared_folder(spark: SparkSession) -> str:
+    """A fresh folder under the checkpoint folder that the cluster names; on one machine, if none is set, a temporary one."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="panelforge-")
+    return f"{named.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def run_available(bars: DataFrame, keys: tuple[str, ...] = ("date", "user_id")) -> DataFrame:
+    """All that is available now.  Each batch appends the bars that it changed to parquet; of each key the last one counts.
+
+    State is kept only for days that the watermark has not passed, and nothing goes through the driver.
+    """
+    root = shared_folder(bars.sparkSession)
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{root}/bars/_part={number}")
+
+    query = bars.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start()
     query.awaitTermination()
-    return bars.sparkSession.table(name)
+    written = bars.sparkSession.read.schema(bars.schema.add("_batch", "int")).parquet(f"{root}/bars/*")
+    newest = F.max_by(F.struct(*[c for c in bars.columns if c not in keys]), "_batch").alias("_bar")
+    return written.groupBy(*keys).agg(newest).select(*keys, "_bar.*").select(*bars.columns)

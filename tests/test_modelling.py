@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 
 from panelforge.functions.ops import col, fwd_sum
-from panelforge.operators.engines import NAV_SCHEMA, DualLeg, Lots, SingleLeg, dual_leg, lot_engine, simulate, single_leg
+from panelforge.operators.engines import NAV_SCHEMA, DualLeg, Lots, SingleLeg, dual_leg, dual_leg_run, lot_engine, simulate, simulate_trades, single_leg, single_leg_run
 from panelforge.operators.models import (
     egarch_filter, egarch_forecast, fama_macbeth, fit_hmm, fold_grams, greedy_prune, hmm_probabilities, lasso_path, normal_sf, partial_correlations, t_cdf,
 )
@@ -113,7 +113,7 @@ def orders(seed=3, days=25, names=4, gaps=True):
     return pd.DataFrame([(DAY + dt.timedelta(d), t, price[d, t], weight[d, t], 1.0 + t % 2) for d in range(days) for t in range(names)], columns=["date", "ticker", "price", "weight", "leg"])
 
 
-@pytest.mark.parametrize("run,p", [(single_leg, SingleLeg(hold=2)), (dual_leg, DualLeg()), (lot_engine, Lots())])
+@pytest.mark.parametrize("run,p", [(single_leg, SingleLeg(hold=2)), (dual_leg, DualLeg(lot=1)), (lot_engine, Lots())])
 def test_simulators_keep_their_books(run, p):
     out = run(orders(), p)
     assert (out["cash"] >= -1e-6).all() and (out["nav"] >= out["cash"] - 1e-6).all()
@@ -226,7 +226,7 @@ def test_stream_equals_batch(spark, duck):
 
     from .conftest import same_rows
 
-    mine, theirs = same_rows(run_available(daily_bars(read_events(spark, SMALL)), "test_bars"), duck.sql(STREAM_ORACLE))
+    mine, theirs = same_rows(run_available(daily_bars(read_events(spark, SMALL))), duck.sql(STREAM_ORACLE))
     assert mine == theirs and mine
 
 
@@ -255,3 +255,88 @@ def test_screening_keeps_the_factor_and_not_its_copy(spark):
     assert len(bank) and abs(bank.groupby(["slice", "date"])["z"].mean()).max() < 1e-9
     plan = slices(df, spec).collect()
     assert all(p.train_to <= p.hold_from - spec.purge for p in plan)
+
+
+def book(prices, weights, legs=None, **flags):
+    """Rows of a panel from lists by ticker."""
+    names = sorted(prices)
+    days = len(prices[names[0]])
+    rows = [
+        {"date": DAY + dt.timedelta(d), "ticker": t, "price": prices[t][d], "weight": weights[t][d], "leg": (legs or {}).get(t, 2.0), **{k: v[t][d] for k, v in flags.items()}}
+        for d in range(days) for t in names
+    ]
+    return pd.DataFrame(rows)
+
+
+def orders_of(run, ticker):
+    return [((r.date - DAY).days, r.side, r.status, r.filled) for r in run[1].itertuples() if r.ticker == ticker]
+
+
+def test_a_failed_exit_stays_pending():
+    """Bought at 100; the drawdown exit finds no price, the next day is limit-down, and the sale follows on the day after, without a new reason."""
+    nan = float("nan")
+    pdf = book({1: [100.0, 88.0, nan, 79.2, 90.0, 90.0, 90.0]}, {1: [1.0, 0, 1.0, 1.0, 1.0, 0, 0]})
+    run = dual_leg_run(pdf, DualLeg(lot=1, stop=0.5, take=5.0, drawdown=0.10, cooldown=0, limit=0.10))
+    assert orders_of(run, 1)[:4] == [(0, "buy", "filled", 9995), (2, "sell", "no_price", 0), (3, "sell", "limit_down", 0), (4, "sell", "filled", 9995)]
+    # the day after the sale it may be bought again, not before
+    assert all(d > 4 for d, side, status, _ in orders_of(run, 1)[4:] if side == "buy" and status == "filled")
+    assert run[0]["n_failed"].tolist()[:5] == [0, 0, 1, 1, 0]
+
+
+def test_names_that_leave_are_not_bought_and_drawdown_counts_once():
+    pdf = book({1: [10.0] * 8, 2: [100.0, 80.0, 80.0, 80.0, 80.0, 80.0, 80.0, 80.0]}, {1: [0.0] * 8, 2: [0.9] + [0.9] * 7})
+    run = dual_leg_run(pdf, DualLeg(lot=1, stop=0.9, take=5.0, drawdown=0.10, cooldown=2, limit=0.5, max_hold=99))
+    assert [(d, s) for d, side, s, _ in orders_of(run, 2) if side == "sell"] == [(2, "filled")]
+    assert [d for d, side, s, _ in orders_of(run, 2) if side == "buy" and s == "filled"][:3] == [0, 1, 5]
+
+
+def test_sample_and_exit_flags_and_whole_lots():
+    zero = [0.0] * 5
+    pdf = book({1: [10.0] * 5, 2: [10.0] * 5}, {1: [0.5] * 5, 2: [0.5] * 5}, exit={1: [0, 0, 1, 0, 0], 2: zero}, sample={1: [1.0] * 5, 2: zero})
+    run = dual_leg_run(pdf, DualLeg(cash=100_000.0, max_hold=99))
+    assert not orders_of(run, 2) and (2, "sell", "filled", 50) in [(d, s, st, min(n, 50)) for d, s, st, n in orders_of(run, 1)]
+    assert ((run[1]["amount"][run[1]["side"] == "buy"] / (100 * 10 * 1.0005)).round(9) % 1 == 0).all()
+    none = book({1: [10.0] * 5}, {1: [0.5] * 5}, sample={1: zero})
+    assert len(orders_of(dual_leg_run(none, DualLeg(cash=100_000.0)), 1))
+
+
+@pytest.mark.parametrize("run,p", [(single_leg_run, SingleLeg(hold=2)), (dual_leg_run, DualLeg(lot=1))])
+def test_orders_explain_the_cash(run, p):
+    nav, trades = run(orders(), p)
+    moved = trades.assign(signed=np.where(trades["side"] == "sell", trades["amount"], -trades["amount"])).groupby("date")["signed"].sum()
+    np.testing.assert_allclose(nav["cash"], p.cash + nav["date"].map(moved).fillna(0.0).cumsum(), rtol=1e-9)
+    done = trades[trades["status"] == "filled"]
+    assert nav["n_bought"].sum() == (done["side"] == "buy").sum() and nav["n_sold"].sum() == (done["side"] == "sell").sum()
+
+
+def test_orders_of_scenarios(spark):
+    out = simulate_trades(spark.createDataFrame(orders(gaps=False)), [SingleLeg("one"), DualLeg("two", lot=1)])
+    assert {r.scenario for r in out.select("scenario").distinct().collect()} == {"one", "two"}
+
+
+def test_newey_west_and_low_runs(spark):
+    from panelforge.operators.walkforward import longest_low_run, newey_west_t
+
+    draw = np.random.default_rng(3)
+    x = draw.normal(0.1, 1, 60)
+    rows = [("g", i, float(v)) for i, v in enumerate(x)] + [("g", 100, None)]
+    r = newey_west_t(spark.createDataFrame(rows, "k string, i int, x double"), ["k"], "x", "i", 4).first()
+    u = x - x.mean()
+    s = u @ u / 60 + sum(2 * (1 - k / 5) * (u[k:] @ u[:-k]) / 60 for k in range(1, 5))
+    assert r.n == 60 and r.t == pytest.approx(x.mean() / np.sqrt(s / 60))
+    low = [1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 1.0, 0.0, 0.0, 0.0]
+    found = longest_low_run(spark.createDataFrame([("g", i, v) for i, v in enumerate(low)], "k string, i int, x double"), ["k"], "x", "i", 2, 0.5).first()
+    assert found.longest == 3
+
+
+def test_one_call_over_all_slices(spark):
+    from panelforge.operators.walkforward import choose, walk_forward
+
+    df, _ = frame(spark, days=80)
+    spec = ScreenSpec(train=50, least_train=40, every=15, holdout=10, least_days=30, least_oos=5)
+    table, bank = walk_forward(df, ("a", "b"), "y", np.array([1e-4, 1e-2]), spec)
+    rows = table.collect()
+    assert {r.slice for r in rows} == {r.slice for r in slices(df, spec).collect()} and all(any(r.factor == "a" and r.coefficient > 0 for r in rows if r.slice == k) for k in {r.slice for r in rows})
+    assert bank.count() > 0
+    path = spark.createDataFrame([(0.1, 0.2, 1.0), (0.01, 0.2, 1.0), (0.001, 0.2, 0.5), (0.0, None, None)], "alpha double, rank_ic double, ir double")
+    assert choose(path).first().alpha == 0.01

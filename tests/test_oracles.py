@@ -9,7 +9,8 @@ from .conftest import SMALL, same_rows
 NAMES = (
     "panel_month", "adv_ladder", "ts_corr", "ts_decay", "ts_rank", "ts_argmin", "ts_product", "ts_std_frac80", "rolling_beta", "ffill_limit3", "cs_rank", "cs_indneutralize", "cs_winsor_z_clip",
     "features24", "universe_liquid_listed", "formulas_001_010", "formulas_101_101", "ic_spearman", "ic_summary", "nw_tstat", "hac_se", "screen_gates", "softmax_topk", "dual_leg_split", "purged_folds",
-    "median_mad_budget", "upsert_latest", "chunk_by_ts_drop", "asof_classification", "ewma_fold", "logret_ca",
+    "median_mad_budget", "upsert_latest", "chunk_by_ts_drop", "asof_classification", "ewma_fold", "logret_ca", "signal_tests_merged", "two_sided_filter", "nw_one_sided", "pair_corr_min_pairs", "ticker_formats",
+    "legacy_fill", "universe_by_age_and_dollars", "partial_autocorrelation",
 )
 
 
@@ -43,3 +44,23 @@ def test_upsert_keeps_all_orders(spark, duck):
 
 def test_names_match():
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
+
+
+def test_one_sided_test_against_plain_definition(spark, duck):
+    """Lags by the rule, Bartlett weights and the tail of the normal distribution."""
+    import math
+
+    r = catalog.queries()["nw_one_sided"](spark, SMALL).first()
+    body = catalog.oracle_sql()["nw_one_sided"]
+    x = [v[0] for v in duck.sql(body[: body.index(", s AS (SELECT r,")] + " SELECT r FROM nav ORDER BY date").fetchall()]
+    n, mean = len(x), sum(x) / len(x)
+    lags = max(1, min(int(4 * (n / 100) ** (2 / 9)), n - 1))
+    u = [v - mean for v in x]
+    s = sum(a * a for a in u) / n + sum(2 * (1 - k / (lags + 1)) * sum(a * b for a, b in zip(u[k:], u)) / n for k in range(1, lags + 1))
+    t = mean / math.sqrt(s / n)
+    assert (r.n, r.lags) == (n, lags) and abs(r.t - t) < 1e-5 and abs(r.p_one_sided - 0.5 * math.erfc(t / math.sqrt(2))) < 2e-6
+
+
+def test_legacy_fill_looks_ahead_only_before_the_first_value(spark):
+    rows = catalog.queries()["legacy_fill"](spark, SMALL).collect()
+    assert all(r.filled is not None for r in rows) and all(r.forward == r.filled for r in rows if r.forward is not None)
