@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 def read_events(spark: SparkSession, folder: str, pattern: str = "events*.parquet") -> DataFrame:
@@ -44,10 +45,12 @@ def run_available(bars: DataFrame, keys: tuple[str, ...] = ("date", "user_id"))
     root = shared_folder(bars.sparkSession)
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{root}/bars/_part={number}")
+        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{root}/bars/batch-{number}")
 
+    schema = StructType([*bars.schema.fields, StructField("_batch", IntegerType())])
+    bars.sparkSession.createDataFrame([], schema).write.parquet(f"{root}/bars/batch-none")
     query = bars.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start()
     query.awaitTermination()
-    written = bars.sparkSession.read.schema(bars.schema.add("_batch", "int")).parquet(f"{root}/bars/*")
+    written = bars.sparkSession.read.schema(schema).parquet(f"{root}/bars/*")
     newest = F.max_by(F.struct(*[c for c in bars.columns if c not in keys]), "_batch").alias("_bar")
     return written.groupBy(*keys).agg(newest).select(*keys, "_bar.*").select(*bars.columns)
