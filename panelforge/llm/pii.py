@@ -55,6 +55,12 @@ PATTERNS["name"] = PATTERNS["name"].replace("{names}", GIVEN_NAMES.replace(" ",
 #: A cheap test that every match passes, so that most texts skip the pattern.
 NEEDS = {"email": "@", "phone": "+", "ip": ".", "mailwords": "at", "ssn": "-"}
 LABELERS = ("format", "checksum", "gazetteer", "context", "edges")
+#: What the span classifier sees beside the votes and the kind: yes or no.
+TRAITS = ("long", "digits", "capital", "spaced", "ends")
+#: Matches whose places are summed in one go.
+BLOCK = 64
+#: Spans' worth of votes by which a labeler is taken for better than chance before any are counted.
+PRIOR_SPANS = 20.0
 
 
 def _found(text: Column, kind: str) -> Column:
@@ -65,7 +71,6 @@ def _found(text: Column, kind: str) -> Column:
     hits = F.when(test, F.regexp_extract_all(wanted, pattern, F.lit(0)))
     gaps = F.split(wanted, PATTERNS[kind], -1)
     blank = "array<struct<start: int, end: int, kind: string, m: string, before: string, after: string>>"
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(blank).alias("out"))
 
     def step(acc: Column, pair: Column) -> Column:
         start = acc.at + F.length(pair.g)
@@ -76,8 +81,16 @@ def _found(text: Column, kind: str) -> Column:
         )
         return F.struct(end.alias("at"), F.concat(acc.out, F.array(one)).alias("out"))
 
+    # an array grows by copying, so places are summed first over blocks of matches and then inside each
     pairs = F.transform(hits, lambda m, i: F.struct(m.alias("m"), F.get(gaps, i).alias("g"), F.get(gaps, i + 1).alias("n")))
-    placed = F.aggregate(pairs, zero, step, lambda acc: acc.out)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / BLOCK).cast("int")), lambda b: F.slice(pairs, b * BLOCK + 1, BLOCK))
+    width = lambda block: F.aggregate(block, F.lit(0), lambda n, p: n + F.length(p.g) + F.length(p.m))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at: int, block: array<struct<m: string, g: string, n: string>>>>").alias("out"))
+    begun = F.aggregate(
+        blocks, zero, lambda acc, block: F.struct((acc.at + width(block)).alias("at"), F.concat(acc.out, F.array(F.struct(acc.at.alias("at"), block.alias("block")))).alias("out")), lambda acc: acc.out
+    )
+    inside = lambda x: F.aggregate(x.block, F.struct(x.at.alias("at"), F.array().cast(blank).alias("out")), step, lambda acc: acc.out)
+    placed = F.flatten(F.transform(begun, inside))
     return F.when(F.size(F.coalesce(hits, F.array().cast("array<string>"))) > 0, placed).otherwise(F.array().cast(blank))
 
 
@@ -126,8 +139,15 @@ def _votes(c: Column) -> list[Column]:
     return [format_, checksum, gazetteer, context.otherwise(0), edges]
 
 
+def _traits(c: Column) -> list[Column]:
+    """Of a span: 12 characters or more, half digits or more, begins with a capital, has a space, stands before an end or mark."""
+    digits = F.length(F.regexp_replace(c.m, "[^0-9]", ""))
+    tests = [F.length(c.m) >= 12, digits * 2 >= F.length(c.m), c.m.rlike("^[A-Z]"), c.m.contains(" "), (c.after == "") | c.after.rlike(r"[\s.,;:!?)|]")]
+    return [F.coalesce(x, F.lit(False)).cast("int") for x in tests]
+
+
 def find_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, base and loose spans with their votes, of each row; the texts are read once.
+    """doc_id, base and loose spans with their votes and traits, of each row; the texts are read once.
 
     Loose spans that overlap a base span are left out.  A null or empty text has no spans.
     """
@@ -136,7 +156,7 @@ def find_spans(docs: DataFrame) -> DataFrame:
     loose = F.flatten(F.array(*[_found(text, k) for k in LOOSE]))
     order = {k: i for i, k in enumerate(KINDS)}
     number = lambda s: reduce(lambda w, kv: w.when(s.kind == kv[0], kv[1]), order.items(), F.when(F.lit(False), 0))
-    slim = lambda s: F.struct(s.start.alias("start"), number(s).alias("rank"), s.kind.alias("kind"), s.end.alias("end"), F.array(*_votes(s)).alias("votes"))
+    slim = lambda s: F.struct(s.start.alias("start"), number(s).alias("rank"), s.kind.alias("kind"), s.end.alias("end"), F.array(*_votes(s)).alias("votes"), F.array(*_traits(s)).alias("traits"))
     both = docs.select("doc_id", base.alias("base"), loose.alias("loose"))
     both = both.select("doc_id", F.transform("base", slim).alias("base"), F.transform("loose", slim).alias("loose"))
     apart = F.filter("loose", lambda s: ~F.exists("base", lambda b: (b.start < s.end) & (s.start < b.end)))
@@ -167,10 +187,11 @@ def estimate(patterns: list[tuple[str, tuple[int, ...], int]], rounds: int = 50)
             prior = kinds[k][0] / kinds[k][1]
             z = math.log(prior / (1 - prior))
             for j, vote in enumerate(v):
-                # a labeler is taken for better than chance: one vote in ten is added in its favour
-                right = {1: 0.8, 0: 1.0, -1: 0.2}[vote]
-                on = (cast[1].get((j, vote), 0.0) + right * (1 + 0.1 * totals[1])) / (1.1 * totals[1] + 3)
-                off = (cast[0].get((j, vote), 0.0) + (2 - 2 * right if vote == 0 else 1 - right) * (1 + 0.1 * totals[0]) + 1e-9) / (1.1 * totals[0] + 3)
+                # a labeler is taken for better than chance by a fixed number of spans, which fades as spans are seen
+                right = {1: 0.7, 0: 0.2, -1: 0.1}[vote]
+                wrong = {1: 0.1, 0: 0.2, -1: 0.7}[vote]
+                on = (cast[1].get((j, vote), 0.0) + right * PRIOR_SPANS) / (totals[1] + PRIOR_SPANS)
+                off = (cast[0].get((j, vote), 0.0) + wrong * PRIOR_SPANS) / (totals[0] + PRIOR_SPANS)
                 z += math.log(on / off) if vote else 0.0
             fresh[k, v] = 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
         if max(abs(fresh[x] - q[x]) for x in q) < 1e-6:
@@ -179,40 +200,53 @@ def estimate(patterns: list[tuple[str, tuple[int, ...], int]], rounds: int = 50)
     return q
 
 
-def classifier(patterns: list[tuple[str, tuple[int, ...], int]], posterior: dict, rounds: int = 400) -> tuple[dict[str, float], list[float]]:
-    """A logistic span classifier on votes and kind, fitted to the posteriors by gradient steps."""
-    kinds = {k: 0.0 for k, _, _ in patterns}
-    weights = [1.0] * len(LABELERS)
-    total = float(sum(n for _, _, n in patterns)) or 1.0
+Pattern = tuple[str, tuple[int, ...], tuple[int, ...], int]
+
+
+def classifier(patterns: list[Pattern], posterior: dict, rounds: int = 400) -> tuple[dict[str, float], list[float]]:
+    """A logistic span classifier on kind, votes and traits, fitted to the posteriors by gradient steps.
+
+    Two kinds of spans with the same votes can differ in traits; the classifier so learns from the
+    spans themselves what the labelers only stand for.
+    """
+    kinds = {k: 0.0 for k, _, _, _ in patterns}
+    start = [1.0] * len(LABELERS) + [0.0] * len(TRAITS)
+    weights = list(start)
+    total = float(sum(n for _, _, _, n in patterns)) or 1.0
     for _ in range(rounds):
-        by_kind, by_vote = dict.fromkeys(kinds, 0.0), [0.0] * len(weights)
-        for k, v, n in patterns:
-            z = kinds[k] + sum(w * x for w, x in zip(weights, v, strict=True))
+        by_kind, by_input = dict.fromkeys(kinds, 0.0), [0.0] * len(weights)
+        for k, v, t, n in patterns:
+            z = kinds[k] + sum(w * x for w, x in zip(weights, v + t, strict=True))
             miss = (posterior[k, v] - 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))) * n / total
             by_kind[k] += miss
-            for j, x in enumerate(v):
-                by_vote[j] += miss * x
+            for j, x in enumerate(v + t):
+                by_input[j] += miss * x
         kinds = {k: b + by_kind[k] - 0.001 * b for k, b in kinds.items()}
-        weights = [w + g - 0.001 * (w - 1.0) for w, g in zip(weights, by_vote, strict=True)]
+        weights = [w + g - 0.001 * (w - s) for w, g, s in zip(weights, by_input, start, strict=True)]
     return kinds, weights
 
 
 def classify(spans: DataFrame) -> DataFrame:
     """``spans`` (see ``find_spans``; saved, as they are read twice) with ``added``: the loose spans that the classifier takes.
 
-    The driver gets one count for each kind and pattern of votes, at most nine times three to the fifth.
+    The driver gets one count for each kind, pattern of votes and traits: at most nine times three to
+    the fifth times two to the fifth, however many spans there are.
     """
-    every = spans.select(F.explode(F.concat("base", "loose")).alias("s")).groupBy(F.col("s.kind").alias("kind"), F.col("s.votes").alias("votes")).count()
-    patterns = [(r[0], tuple(r[1]), r[2]) for r in every.orderBy("kind", "votes").collect()]
-    kinds, weights = classifier(patterns, estimate(patterns)) if patterns else ({}, [1.0] * len(LABELERS))
+    every = spans.select(F.explode(F.concat("base", "loose")).alias("s")).groupBy(F.col("s.kind").alias("kind"), F.col("s.votes").alias("votes"), F.col("s.traits").alias("traits")).count()
+    patterns = [(r[0], tuple(r[1]), tuple(r[2]), r[3]) for r in every.orderBy("kind", "votes", "traits").collect()]
+    by_votes: dict[tuple[str, tuple[int, ...]], int] = {}
+    for k, v, _, n in patterns:
+        by_votes[k, v] = by_votes.get((k, v), 0) + n
+    kinds, weights = classifier(patterns, estimate([(k, v, n) for (k, v), n in by_votes.items()])) if patterns else ({}, [1.0] * len(LABELERS) + [0.0] * len(TRAITS))
 
     def accept(s: Column) -> Column:
         b = F.when(F.lit(False), F.lit(0.0))
         for k, v in kinds.items():
             b = b.when(s.kind == k, F.lit(float(v)))
         z = b.otherwise(0.0)
+        inputs = F.concat(s.votes, s.traits)
         for j, w in enumerate(weights):
-            z = z + F.lit(float(w)) * F.get(s.votes, F.lit(j))
+            z = z + F.lit(float(w)) * F.get(inputs, F.lit(j))
         return z > 0
 
     return spans.withColumn("added", F.filter("loose", accept))
@@ -223,7 +257,11 @@ def _joined(spans: Column) -> Column:
 
 
 def op2_weak_labels(docs: DataFrame) -> DataFrame:
-    """Counts and digest of the base spans, and all spans, of each document."""
+    """Counts and digest of the base spans, and all spans, of each document.
+
+    Null and empty texts have no spans; repeated rows, also of one doc_id or none, each give a row;
+    columns besides doc_id and text are not looked at; no rows, no rows.
+    """
     found = classify(saved(find_spans(docs)))
 
     def count(kind: str) -> Column:

@@ -67,3 +67,26 @@ def test_reliabilities_follow_the_votes():
     patterns = [("email", (1, 0, 1, 1, 1), 50), ("email", (-1, 0, -1, 0, -1), 50), ("ssn", (1, 0, 0, 1, 1), 10)]
     q = pii.estimate(patterns)
     assert q["email", (1, 0, 1, 1, 1)] > 0.9 > 0.1 > q["email", (-1, 0, -1, 0, -1)]
+
+
+def test_the_prior_of_labelers_fades():
+    """A labeler that votes against what all others say is found out once there are many spans, not with few."""
+    few = [("email", (1, 1, 1, 1, -1), 3), ("email", (-1, -1, -1, -1, 1), 3)]
+    many = [(k, v, n * 10_000) for k, v, n in few]
+    lone = ("ssn", (0, 0, 0, 0, -1), 1)
+    assert pii.estimate([*many, lone])["ssn", lone[1]] > pii.estimate([*few, lone])["ssn", lone[1]]
+
+
+def test_the_classifier_learns_traits():
+    good, none = (1, 0, 0, 0, 0), (0, 0, 0, 0, 0)
+    patterns = [("ssn", good, (1, 1, 0, 0, 1), 500), ("ssn", good, (0, 0, 0, 0, 0), 20), ("ssn", none, (1, 1, 0, 0, 1), 20), ("ssn", none, (0, 0, 0, 0, 0), 500)]
+    _, weights = pii.classifier(patterns, {("ssn", good): 0.95, ("ssn", none): 0.05})
+    assert weights[len(pii.LABELERS)] > 0.3
+
+
+def test_many_matches_have_right_places(docs):
+    """Thousands of spans of a text, over many blocks."""
+    text = " ".join(f"u{i}@h{i}.org, 10.0.{i % 256}.{i % 7}" for i in range(1500))
+    r = pii.op2_weak_labels(docs([text])).first()
+    want = base_spans(text)
+    assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, k, b in want).encode()).hexdigest() and r.n_email == r.n_ip == 1500
