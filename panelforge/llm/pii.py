@@ -81,9 +81,13 @@ def _found(text: Column, kind: str) -> Column:
         )
         return F.struct(end.alias("at"), F.concat(acc.out, F.array(one)).alias("out"))
 
-    # an array grows by copying, so places are summed first over blocks of matches and then inside each
-    pairs = F.transform(hits, lambda m, i: F.struct(m.alias("m"), F.get(gaps, i).alias("g"), F.get(gaps, i + 1).alias("n")))
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / BLOCK).cast("int")), lambda b: F.slice(pairs, b * BLOCK + 1, BLOCK))
+    # what a lambda takes from outside is evaluated for every element, so pairs are zipped and then bound
+    # as the one element of an array; and an array grows by copying, so places are summed first over
+    # blocks of matches and then inside each
+    pairs = F.zip_with(hits, F.slice(gaps, F.lit(1), F.size(hits)), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
+    pairs = F.zip_with(pairs, F.slice(gaps, F.lit(2), F.size(hits)), lambda p, n: F.struct(p.m.alias("m"), p.g.alias("g"), n.alias("n")))
+    cut = lambda whole: F.transform(F.sequence(F.lit(0), F.floor((F.size(whole) - 1) / BLOCK).cast("int")), lambda b: F.slice(whole, b * BLOCK + 1, BLOCK))
+    blocks = F.flatten(F.transform(F.array(pairs), cut))
     width = lambda block: F.aggregate(block, F.lit(0), lambda n, p: n + F.length(p.g) + F.length(p.m))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at: int, block: array<struct<m: string, g: string, n: string>>>>").alias("out"))
     begun = F.aggregate(
