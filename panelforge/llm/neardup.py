@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, small_batches
+from .common import free_name, saved, small_batches
 from .components import connected, merged
 from .shingles import mixed, set_key, shingle_sets
 
@@ -59,7 +59,7 @@ def linked(common: int, n: int, m: int) -> bool:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, key (the class; null for a text without words) of each row, and frequent.
+    """doc_id, row (a hash of the text), n_shingles, key (the class; null for a text without words) of each row, and frequent.
 
     ``frequent`` holds shingles that many sets near this row have, with their number of sets: what
     hot shingles are found by.
@@ -78,12 +78,13 @@ def classes(docs: DataFrame) -> DataFrame:
                     frequent[0] = [{"token": t, "seen": c} for t, c in zip(tokens[often].view(np.int64).tolist(), seen[often].tolist(), strict=True)]
             kind = pa.list_(pa.struct([("token", pa.int64()), ("seen", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), pa.array(frequent, kind)], ["doc_id", "n_shingles", "key", "frequent"]
+                [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), pa.array(frequent, kind)],
+                ["doc_id", "row", "n_shingles", "key", "frequent"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    spec = f"doc_id {kind}, n_shingles bigint, key bigint, frequent array<struct<token: bigint, seen: bigint>>"
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(scan, spec)
+    spec = f"doc_id {kind}, row bigint, n_shingles bigint, key bigint, frequent array<struct<token: bigint, seen: bigint>>"
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("row")).mapInArrow(scan, spec)
 
 
 def _flushes(batches: Iterator[pa.RecordBatch], text: int, most: int) -> Iterator[pa.RecordBatch]:
@@ -479,38 +480,66 @@ def class_components(docs: DataFrame, of_class: DataFrame) -> DataFrame:
     return labels
 
 
-def components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) of each row of ``docs``.
+def _headed(docs: DataFrame) -> DataFrame:
+    """doc_id, row, n_shingles and head (absent, doc_id, row) of each row of ``docs``.
 
-    Texts link at a Jaccard similarity of at least 0.75 of their distinct five-word shingles.  A
-    null, empty or wordless text has no shingles and links with nothing.  Rows that repeat link
-    with each other.  A row whose doc_id is null counts in links but is no smallest id; a
-    component of such rows only has a null id.  Columns besides doc_id and text are not looked at.
+    The head of a component is its row with the least doc_id, then the least hash of the text; one
+    without a doc_id only where all are.  A row without words has no head.
     """
     small_batches(docs.sparkSession)
     of_class = saved(classes(docs))
     labels = class_components(docs, of_class)
-    least = of_class.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("least"))
+    place = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "row")
+    least = of_class.where("key IS NOT NULL").groupBy("key").agg(F.min(place).alias("least"))
     least = least.join(labels.withColumnRenamed("node", "key"), "key", "left").select("key", "least", F.coalesce("comp", "key").alias("comp"))
-    per_comp = least.groupBy("comp").agg(F.min("least").alias("component_id"), F.count("*").alias("n")).withColumn("part", F.explode(F.sequence(F.lit(0), F.when(F.col("n") > 1, PARTS - 1).otherwise(0))))
+    per_comp = least.groupBy("comp").agg(F.min("least").alias("head"), F.count("*").alias("n")).withColumn("part", F.explode(F.sequence(F.lit(0), F.when(F.col("n") > 1, PARTS - 1).otherwise(0))))
     part = F.when(F.col("key") == F.col("comp"), 0).otherwise(F.pmod(F.xxhash64("key"), F.lit(PARTS)).cast("int"))
-    named = least.withColumn("part", part).join(per_comp, ["comp", "part"]).select("key", "component_id")
+    named = least.withColumn("part", part).join(per_comp, ["comp", "part"]).select("key", "head")
     # most classes have one row; the join is by class, with the rows of large classes split
-    joined = of_class.join(named, "key", "left")
-    return joined.select("doc_id", "n_shingles", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return of_class.join(named, "key", "left").select("doc_id", "row", "n_shingles", "head")
+
+
+def components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) of each row of ``docs``.
+
+    Texts link at a Jaccard similarity of at least 0.75 of their distinct five-word shingles.  A
+    null, empty or wordless text has no shingles and links with nothing.  Rows that repeat link
+    with each other.  A row whose doc_id is null counts in links but is no smallest id; a
+    component of such rows only has a null id.  Columns besides doc_id and text are not looked at;
+    no rows, no rows.
+    """
+    component = F.when(F.col("head").isNull(), F.col("doc_id")).otherwise(F.col("head.doc_id"))
+    return _headed(docs).select("doc_id", "n_shingles", component.alias("component_id"))
 
 
 def op6_divide_skip(docs: DataFrame) -> DataFrame:
+    """``components`` of the documents, with its rules on nulls, empty texts, repeated rows and no rows."""
     return components(docs)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` without all but one document of each component: the one with the smallest doc_id.
+    """``docs`` without all but one row of each component: the one with the smallest doc_id.
 
-    Rows without words stay, also where they repeat.
+    A row is known by its doc_id and a hash of its text, so rows that share a doc_id, or have none,
+    are told apart; among equal ids the least hash stays, and a row without an id only where no
+    other has one.  Of rows that repeat in doc_id and text one stays, no matter which.  Rows without
+    words all stay.  All columns are kept; no rows, no rows.
     """
-    found = components(docs).where("n_shingles > 0 AND doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti")
+    found = saved(_headed(docs).where("n_shingles > 0").select("doc_id", "row", F.expr("doc_id <=> head.doc_id AND row = head.row").alias("stays")))
+    gone = found.where("NOT stays").select("doc_id", "row").distinct()
+    twice = found.where("stays").groupBy("doc_id", "row").count().where("count > 1").select("doc_id", "row")
+    name = free_name(docs.columns, "_row")
+    rows = docs.withColumn(name, F.xxhash64("text"))
+
+    def among(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+        other = right.select(F.col("doc_id").alias("_other_id"), F.col("row").alias("_other_row"))
+        return left.join(other, left["doc_id"].eqNullSafe(other["_other_id"]) & (left[name] == other["_other_row"]), how)
+
+    kept = among(rows, gone, "left_anti")
+    if not twice.isEmpty():
+        # map-side aggregation brings a hot repeated row down to one for each partition before the shuffle
+        kept = among(kept, twice, "left_anti").unionByName(among(kept, twice, "left_semi").dropDuplicates(["doc_id", name]))
+    return kept.drop(name)
 
 
 ORACLE = rf"""

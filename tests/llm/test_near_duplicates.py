@@ -126,6 +126,23 @@ def test_no_rows_repeated_rows_nulls_and_clashing_names(spark, docs, prose):
     assert neardup.keep_one(docs([t, t + " ", "", ""])).orderBy("doc_id").select("doc_id").collect() == [(0,), (2,), (3,)]
 
 
+def test_one_row_stays_of_null_and_repeated_ids(spark, prose):
+    a, b, c, d, e = prose(5, 40, 77)
+    rows = [
+        (None, a, "x"), (None, a, "x"), (None, edited(a, [20], "q"), "y"),  # a component without ids
+        (7, b, "x"), (7, b, "y"), (9, b, "x"), (None, b, "x"),  # a repeated head
+        (5, c, "x"), (5, edited(d, [20], "q"), "x"), (3, d, "x"),  # one id, two texts: one of them is a copy
+        (2, None, "x"), (2, None, "x"), (None, "", "x"), (1, e, "x"),
+    ]
+    table = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, source string, _row int, head int, row int")
+    kept = neardup.keep_one(table)
+    assert kept.columns == table.columns
+    got = sorted((r.doc_id or 0, r.text or "") for r in kept.collect())
+    lone = {t for i, t in got if i == 0 and t}
+    assert len(lone) == 1 and lone < {a, edited(a, [20], "q")}
+    assert [x for x in got if x[0] or not x[1]] == sorted([(0, ""), (1, e), (2, ""), (2, ""), (3, d), (5, c), (7, b)])
+
+
 @settings(max_examples=25, deadline=None)
 @given(st.lists(st.sets(st.integers(0, 40), min_size=1, max_size=14), min_size=2, max_size=12))
 def test_divide_skip_spans_the_components(sets):
