@@ -123,50 +123,73 @@ class Stream:
     discontinuities: int = 0
 
 
-def _whole_section(payload: bytes, table_id: int) -> bytes:
-    start = 1 + payload[0]
-    length = int.from_bytes(payload[start + 1 : start + 3], "big") & 0x0FFF
-    section = payload[start : start + 3 + length]
-    if section[0] != table_id or len(section) != 3 + length or crc32_mpeg(section):
-        raise StreamError("damaged program table")
-    return section
+def _sections(held: bytearray, payload: bytes, begins: bool, table_id: int) -> list[bytes]:
+    """The whole sections that ``payload`` completes; what is left of one that goes on waits in ``held``.
+
+    Where sections begin, the first byte says how many bytes still belong to the one before.
+    """
+    if begins:
+        start = 1 + payload[0]
+        pieces = [bytes(held) + payload[1:start] if held else b"", payload[start:]]
+    else:
+        pieces = [bytes(held) + payload if held else b""]
+    found, at, piece = [], 0, b""
+    for piece in pieces:
+        at = 0
+        while at + 3 <= len(piece) and piece[at] != 0xFF:
+            size = 3 + (int.from_bytes(piece[at + 1 : at + 3], "big") & 0x0FFF)
+            if at + size > len(piece):
+                break
+            section = piece[at : at + size]
+            if crc32_mpeg(section):
+                raise StreamError("damaged program table")
+            if section[0] == table_id:
+                found.append(section)
+            at += size
+    held[:] = b"" if piece[at : at + 1] == b"\xff" else piece[at:]
+    return found
 
 
 def parse(media: bytes) -> list[Stream]:
     """The elementary streams of ``media``, in the order of the program tables.
 
-    Raises StreamError where packets, tables or elementary packets are damaged.  A jump of a
-    continuity counter is counted; a repeated packet is skipped.
+    Raises StreamError where packets, tables or elementary packets are damaged.  Tables may run over
+    several packets.  A jump of a continuity counter is counted; a repeated packet is skipped, and so
+    is what comes before the first start of an elementary packet.  No packets, or no program: no streams.
     """
     if len(media) % PACKET:
         raise StreamError("not a whole number of packets")
     streams: dict[int, Stream] = {}
     tables: dict[int, int] = {}
+    held: dict[int, bytearray] = {}
     counters: dict[int, int] = {}
-    parts: dict[int, list[bytes]] = {}
+    units: dict[int, list[list[bytes]]] = {}
     view = memoryview(media)
     for at in range(0, len(media), PACKET):
         if view[at] != SYNC or view[at + 1] & 0x80:
             raise StreamError(f"no packet at {at}")
         pid = (view[at + 1] & 0x1F) << 8 | view[at + 2]
-        begins, control, counter = view[at + 1] & 0x40, view[at + 3] >> 4 & 3, view[at + 3] & 15
+        begins, control, counter = bool(view[at + 1] & 0x40), view[at + 3] >> 4 & 3, view[at + 3] & 15
         body, random_access = at + 4, False
         if control & 2:
             random_access = view[body] > 0 and bool(view[body + 1] & 0x40)
             body += 1 + view[body]
-        if not control & 1:
+            if body > at + PACKET:
+                raise StreamError(f"adaptation field beyond the packet at {at}")
+        if not control & 1 or body == at + PACKET:
             continue
         payload = view[body : at + PACKET]
-        if pid == PAT_PID:
-            section = _whole_section(bytes(payload), 0)
-            tables |= {int.from_bytes(section[i + 2 : i + 4], "big") & 0x1FFF: int.from_bytes(section[i : i + 2], "big") for i in range(8, len(section) - 4, 4)}
-        elif pid in tables:
-            section = _whole_section(bytes(payload), 2)
-            i = 12 + (int.from_bytes(section[10:12], "big") & 0x0FFF)
-            while i < len(section) - 4:
-                own = int.from_bytes(section[i + 1 : i + 3], "big") & 0x1FFF
-                streams.setdefault(own, Stream(own, section[i]))
-                i += 5 + (int.from_bytes(section[i + 3 : i + 5], "big") & 0x0FFF)
+        if pid == PAT_PID or pid in tables:
+            for section in _sections(held.setdefault(pid, bytearray()), bytes(payload), begins, 0 if pid == PAT_PID else 2):
+                if pid == PAT_PID:
+                    entries = [(int.from_bytes(section[i : i + 2], "big"), int.from_bytes(section[i + 2 : i + 4], "big") & 0x1FFF) for i in range(8, len(section) - 4, 4)]
+                    tables |= {place: program for program, place in entries if program}  # program 0 names the network table
+                    continue
+                i = 12 + (int.from_bytes(section[10:12], "big") & 0x0FFF)
+                while i + 5 <= len(section) - 4:
+                    own = int.from_bytes(section[i + 1 : i + 3], "big") & 0x1FFF
+                    streams.setdefault(own, Stream(own, section[i]))
+                    i += 5 + (int.from_bytes(section[i + 3 : i + 5], "big") & 0x0FFF)
         elif (stream := streams.get(pid)) is not None:
             stream.packets += 1
             if pid in counters and counter != counters[pid] + 1 & 15:
@@ -175,29 +198,29 @@ def parse(media: bytes) -> list[Stream]:
                 stream.discontinuities += 1
             counters[pid] = counter
             if begins:
-                parts.setdefault(pid, []).append(b"")
+                units.setdefault(pid, []).append([])
                 stream.random_access.append(random_access)
-                parts[pid].append(payload)
-            elif pid in parts:
-                parts[pid].append(payload)
-    for pid, chunks in parts.items():
-        _reassemble(streams[pid], chunks)
+            if pid in units:
+                units[pid][-1].append(payload)
+    for pid, parts in units.items():
+        _reassemble(streams[pid], parts)
     return list(streams.values())
 
 
-def _reassemble(stream: Stream, chunks: list[bytes]) -> None:
-    units: list[list[bytes]] = []
-    for chunk in chunks:
-        if len(chunk):
-            units[-1].append(chunk)
-        else:
-            units.append([])
+def _reassemble(stream: Stream, units: list[list[bytes]]) -> None:
+    """The elementary packets of ``units``; a length of zero (allowed for video) means up to the next start.
+
+    A packet without a time stamp has that of the packet before.
+    """
     data, length = [], 0
     for unit in units:
         pes = b"".join(unit)
-        if pes[:3] != b"\x00\x00\x01" or int.from_bytes(pes[4:6], "big") != len(pes) - 6 or pes[7] & 0x80 == 0:
+        if pes[:3] != b"\x00\x00\x01" or len(pes) < 9 or int.from_bytes(pes[4:6], "big") not in (0, len(pes) - 6):
             raise StreamError("damaged elementary packet")
-        stream.pts.append(_read_stamp(pes[9:14]))
+        stamped = bool(pes[7] & 0x80)
+        if 9 + pes[8] > len(pes) or stamped and pes[8] < 5 or not (stamped or stream.pts):
+            raise StreamError("damaged elementary packet")
+        stream.pts.append(_read_stamp(pes[9:14]) if stamped else stream.pts[-1])
         stream.offsets.append(length)
         data.append(pes[9 + pes[8] :])
         length += len(data[-1])
@@ -226,37 +249,56 @@ def to_media(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(store, f"doc_id {kind}, n_bytes bigint, media binary")
 
 
+def _first_stream(media: bytes | None) -> tuple[Stream | None, str | None]:
+    """The first elementary stream of ``media``, or why there is none."""
+    if media is None:
+        return None, None
+    try:
+        streams = parse(media)
+    except StreamError as reason:
+        return None, str(reason)
+    return (streams[0], None) if streams else (None, "no program")
+
+
 UNITS = "array<struct<offset: bigint, pts: bigint, random_access: boolean>>"
 
 
 def read_media(media: DataFrame) -> DataFrame:
     """``media`` (doc_id, n_bytes, media) with what its first elementary stream holds.
 
-    Adds payload, pid, packets, discontinuities and units (an entry for each access unit with its
-    offset, time stamp and whether it is a random-access point).  A null stream gives nulls.
+    Adds payload, pid, packets, discontinuities, units (an entry for each access unit with its
+    offset, time stamp and whether it is a random-access point) and error.  A null stream gives
+    nulls; one that is damaged or has no program gives nulls and the reason in ``error``, and the
+    other rows are read all the same.  Repeated rows each give a row; no rows, no rows.
     """
     units = pa.list_(pa.struct([("offset", pa.int64()), ("pts", pa.int64()), ("random_access", pa.bool_())]))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [parse(m)[0] if m is not None else None for m in batch.column(2).to_pylist()]
+            read_ = [_first_stream(m) for m in batch.column(2).to_pylist()]
+            found = [s for s, _ in read_]
             yield pa.RecordBatch.from_arrays(
                 [
                     *batch.columns,
                     pa.array([s and s.data for s in found], pa.binary()),
                     *[pa.array([s and getattr(s, x) for s in found], pa.int64()) for x in ("pid", "packets", "discontinuities")],
                     pa.array([s and [{"offset": o, "pts": p, "random_access": r} for o, p, r in zip(s.offsets, s.pts, s.random_access, strict=True)] for s in found], units),
+                    pa.array([e for _, e in read_], pa.string()),
                 ],
-                ["doc_id", "n_bytes", "media", "payload", "pid", "packets", "discontinuities", "units"],
+                ["doc_id", "n_bytes", "media", "payload", "pid", "packets", "discontinuities", "units", "error"],
             )
 
     kind = media.schema["doc_id"].dataType.simpleString()
-    spec = f"doc_id {kind}, n_bytes bigint, media binary, payload binary, pid bigint, packets bigint, discontinuities bigint, units {UNITS}"
+    spec = f"doc_id {kind}, n_bytes bigint, media binary, payload binary, pid bigint, packets bigint, discontinuities bigint, units {UNITS}, error string"
     return media.select("doc_id", "n_bytes", "media").mapInArrow(read, spec)
 
 
 def op3_transport_stream(docs: DataFrame) -> DataFrame:
-    """Digests of the streams that hold the documents, and of what is read back from them."""
+    """Digests of the streams that hold the documents, and of what is read back from them.
+
+    Null and empty texts are 64 zero bytes; repeated rows, also of one doc_id or none, each give a
+    row; columns besides doc_id and text are not looked at; no rows, no rows.
+    """
     back = read_media(to_media(docs))
     points = F.filter("units", lambda u: u.random_access)
     feature = F.concat_ws(

@@ -178,6 +178,34 @@ def test_damaged_streams():
     assert transport.parse(again)[0].data == b"x" * 9000
 
 
+def test_tables_over_packets_and_open_lengths():
+    """A program table of many streams runs over several packets; an elementary packet may leave its length open."""
+    body = (0xE000 | transport.DATA_PID).to_bytes(2, "big") + b"\xf0\x00"
+    pids = [transport.DATA_PID, *range(0x200, 0x250)]
+    body += b"".join(bytes([6]) + (0xE000 | p).to_bytes(2, "big") + b"\xf0\x00" for p in pids)
+    section = b"\0" + transport._section(2, 1, body)
+    packets = []
+    for n, at in enumerate(range(0, len(section), 184)):
+        head = bytes([0x47]) + ((0x4000 if n == 0 else 0) | transport.PMT_PID).to_bytes(2, "big") + bytes([0x10 | n])
+        packets.append((head + section[at : at + 184]).ljust(188, b"\xff"))
+    assert len(packets) > 1
+    media = transport.mux(b"y" * 5000)
+    found = transport.parse(transport.PAT + b"".join(packets) + media[376:])
+    assert [s.pid for s in found] == pids and found[0].data == b"y" * 5000 and found[1].data == b""
+    start = media.index(b"\0\0\1\xbd")
+    assert transport.parse(media[: start + 4] + b"\0\0" + media[start + 6 :])[0].data == b"y" * 5000
+    bare = bytes([0x47, 0x41, 0, 0x30, 183]) + b"\0" + b"\xff" * 182  # a start without payload begins no unit
+    assert transport.parse(media[:376] + bare + media[376:])[0].data == b"y" * 5000
+
+
+def test_damaged_rows_leave_the_others(spark):
+    good = transport.mux(b"z" * 64)
+    rows = [(1, 64, good), (2, 64, good[:-1]), (3, 0, None), (4, 0, b""), (4, 64, transport.PAT + transport.PMT), (None, 64, good)]
+    got = transport.read_media(spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")).collect()
+    assert sorted((r.doc_id or 0, r.payload, r.error) for r in got if r.payload is not None) == [(0, b"z" * 64, None), (1, b"z" * 64, None), (4, b"", None)]
+    assert {(r.doc_id, r.error) for r in got if r.payload is None} == {(2, "not a whole number of packets"), (3, None), (4, "no program")}
+
+
 def test_licence_scan_equals_brute_force(docs, prose):
     names = sorted(licenses.TEMPLATES)
     texts = [f"{p}\n{licenses.TEMPLATES[n]}\n{p}" for p, n in zip(prose(len(names), 12, 7), names, strict=True)] + ODD
