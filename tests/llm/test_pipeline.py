@@ -29,3 +29,29 @@ def test_stages(spark, tmp_path):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SMALL).count() > 0
+
+
+def through(spark, docs, folder):
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, SMALL).write.parquet(str(folder / str(i)))
+        docs = spark.read.parquet(str(folder / str(i)))
+    return docs
+
+
+def test_odd_rows(spark, prose, tmp_path):
+    texts = prose(3, 40, 91)
+    rows = [
+        (1, texts[0], None, None, None), (1, texts[0], None, None, None), (None, texts[0], "en", "a", 5), (None, texts[1], "en", "a", 5), (None, texts[1], "en", "b", 5),
+        (2, None, None, "a", None), (3, "", "en", None, 0), (None, None, None, None, None), (4, texts[2], "en", "a", 1),
+    ]
+    spec = "doc_id long, text string, lang string, source string, n_chars long, key long, times long, size long, head string"
+    out = through(spark, spark.createDataFrame([(*r, 1, 2, 3, "x") for r in rows], spec), tmp_path)
+    assert {"key", "times", "size", "head", "shard", "slot"} <= set(out.columns)
+    assert {(r.doc_id, r.text) for r in out.collect() if r.text} <= {(1, texts[0]), (None, texts[1]), (4, texts[2])}
+    kept = spark.read.parquet(str(tmp_path / "1"))
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted([(1, texts[0]), (0, texts[1]), (4, texts[2]), (2, ""), (3, ""), (0, "")])
+
+
+def test_no_rows(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    assert through(spark, docs, tmp_path).count() == 0
