@@ -1,6 +1,8 @@
 """The corpus pipeline: toxicity, near duplicates, benchmark passages, source mix, shards.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame over all that its predecessor kept.
+No rows give no rows, and columns besides those of documents go through.  Nulls in any column are
+allowed; of rows that repeat in doc_id and text, and have words, one stays.
 ``run`` writes and rereads the result of each stage under the shared checkpoint folder.
 """
 
@@ -23,7 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest doc_id."""
+    """One row of each group of near copies, the one with the smallest doc_id, also where ids are null or repeat."""
     return neardup.keep_one(docs)
 
 
