@@ -296,6 +296,57 @@ def egarch_forecast(returns: DataFrame, spec: EgarchSpec = EgarchSpec()) -> Data
     return returns.select("ticker", "date", "logret").groupBy("ticker").applyInPandas(one, "ticker long, n long, method string, sigma double")
 
 
+@dataclass(frozen=True)
+class RollingVolatility:
+    window: int = 104
+    every: int = 52
+    beta_below: float = 0.9
+    fit_clip: tuple[float, float] = (math.log(0.5), math.log(2.0))
+    log_variance: tuple[float, float] = (-14.0, -2.0)
+
+
+def rolling_sigma(r: np.ndarray, spec: RollingVolatility) -> np.ndarray:
+    """Volatility of each row given the rows before it, NaN before the first full window and while no fit is usable.
+
+    Parameters are fitted again at row ``window`` and each ``every`` rows after it, on the ``window`` rows
+    before, without missing or extreme returns; between fits the recursion runs on the returns as they are.
+    A row without a return carries the variance on.  A fit that is degenerate is left out until the next.
+    """
+    out = np.full(len(r), np.nan)
+    shift, (low, high) = 2 * math.log(100), spec.log_variance
+    for start in range(spec.window, len(r), spec.every):
+        past = r[start - spec.window : start]
+        past = past[np.isfinite(past)]
+        fitted = 100 * np.clip(past, *spec.fit_clip)
+        if len(past) < spec.window // 2 or fitted.var() <= 1e-10:
+            continue
+        omega, alpha, gamma, beta, nu = params = fit_egarch(fitted)
+        if not np.isfinite(params).all() or abs(alpha) > 1.5 or abs(gamma) > 1.5 or beta >= spec.beta_below:
+            continue
+        h, expected = egarch_filter(100 * past, *params)[-1], mean_abs_t(nu)
+        for i in range(start, min(start + spec.every, len(r))):
+            h = min(max(h, low + shift), high + shift)
+            out[i] = math.exp(h / 2) / 100
+            if np.isfinite(r[i]):
+                z = r[i] / out[i]
+                h = omega + alpha * (abs(z) - expected) + gamma * z + beta * h
+    return out
+
+
+def market_volatility(returns: DataFrame, spec: RollingVolatility = RollingVolatility()) -> DataFrame:
+    """date, sigma, n: mean over tickers of their rolling volatility, and how many have one; dates without any give no row.
+
+    ``returns`` has date, ticker and logret (null where missing); a ticker is one group, as long as its history.
+    """
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("date")
+        return pd.DataFrame({"date": pdf["date"], "sigma": rolling_sigma(pdf["logret"].to_numpy(float, na_value=np.nan), spec)})
+
+    each = returns.select("ticker", "date", "logret").groupBy("ticker").applyInPandas(one, "date date, sigma double")
+    return each.where("sigma IS NOT NULL AND NOT isnan(sigma)").groupBy("date").agg(F.avg("sigma").alias("sigma"), F.count("*").alias("n"))
+
+
 def fit_hmm(x: np.ndarray, states: int = 3, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
     """Means in order and the state probabilities one step ahead, of a Gaussian hidden Markov model by EM."""
     mean = np.quantile(x, (np.arange(states) + 0.5) / states)

@@ -13,7 +13,7 @@ from ..functions.dag import compute
 from ..functions.ops import col, cs_mean, delay, fwd_sum, rolling_beta
 from ..operators import ledger
 from ..operators.engines import DualLeg, Lots, SingleLeg, simulate, simulate_trades
-from ..operators.models import EgarchSpec, egarch_forecast, fama_macbeth, hmm_probabilities, lasso_search
+from ..operators.models import EgarchSpec, egarch_forecast, fama_macbeth, hmm_probabilities, lasso_search, market_volatility
 from ..operators.panel import MONTH, NATION_WEEK, load_panel
 from ..operators.search import SearchSpec, evolve
 from ..operators.walkforward import ScreenSpec, choose, neutralize, screen, signal_bank, slices, walk_forward
@@ -61,6 +61,15 @@ def hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm_probabilities(market, 48, partial=True)
 
 
+def egarch_market(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return market_volatility(load_panel(spark, sf_dir, NATION_WEEK))
+
+
+def hmm_market(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regimes of the rolling market volatility, a row for each date that has one."""
+    return hmm_probabilities(egarch_market(spark, sf_dir).select("date", F.col("sigma").alias("value")), 48, partial=True)
+
+
 def formula_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load_panel(spark, sf_dir, NATION_WEEK)
     panel = compute(rows, SIGNALS | {"beta": BETA}, keep=("logret", "mcap", "sector")).withColumn("ln_cap", F.log(F.when(F.col("mcap") > 0, F.col("mcap")))).persist()
@@ -104,6 +113,8 @@ register("lasso_path", lasso_path)
 register("famamacbeth", fama_macbeth_query)
 register("egarch_sigma", egarch)
 register("hmm_probs", hmm)
+register("egarch_market_volatility", egarch_market)
+register("hmm_market_regimes", hmm_market)
 register("gp_generation", formula_search)
 register("engine_single_leg", engine_single_leg)
 register("engine_dual_leg", engine_dual_leg)

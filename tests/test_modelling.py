@@ -11,7 +11,7 @@ import pytest
 from panelforge.functions.ops import col, fwd_sum
 from panelforge.operators.engines import NAV_SCHEMA, DualLeg, Lots, SingleLeg, dual_leg, dual_leg_run, lot_engine, simulate, simulate_trades, single_leg, single_leg_run
 from panelforge.operators.models import (
-    egarch_filter, egarch_forecast, fama_macbeth, fit_hmm, fold_grams, greedy_prune, hmm_probabilities, lasso_path, normal_sf, partial_correlations, t_cdf,
+    RollingVolatility, egarch_filter, egarch_forecast, fama_macbeth, fit_hmm, fold_grams, greedy_prune, hmm_probabilities, lasso_path, market_volatility, normal_sf, partial_correlations, rolling_sigma, t_cdf,
 )
 from panelforge.operators.search import Candidate, Score, SearchSpec, Tree, evolve, purged_split
 from panelforge.operators.walkforward import ScreenSpec, neutralize, screen, signal_bank, slices
@@ -340,3 +340,27 @@ def test_one_call_over_all_slices(spark):
     assert bank.count() > 0
     path = spark.createDataFrame([(0.1, 0.2, 1.0), (0.01, 0.2, 1.0), (0.001, 0.2, 0.5), (0.0, None, None)], "alpha double, rank_ic double, ir double")
     assert choose(path).first().alpha == 0.01
+
+
+def test_rolling_market_volatility(spark):
+    spec = RollingVolatility(window=60, every=20, beta_below=1.0)
+    rng = np.random.default_rng(4)
+    r = rng.standard_t(8, 130) * np.where(np.arange(130) < 90, 0.01, 0.04)
+    r[100] = np.nan
+    sigma = rolling_sigma(r, spec)
+    assert np.isnan(sigma[:60]).all() and np.isfinite(sigma[60:]).all()
+    later = r.copy()
+    later[110:] = 0.5
+    assert (rolling_sigma(later, spec)[60:111] == sigma[60:111]).all()
+    assert sigma[120:].mean() > 1.5 * sigma[60:90].mean()
+    assert np.isnan(rolling_sigma(np.zeros(130), spec)).all() and len(rolling_sigma(r[:0], spec)) == 0
+
+    rows = [(1, DAY + dt.timedelta(d), None if np.isnan(x) else float(x)) for d, x in enumerate(r)]
+    rows += [(2, d, None if x is None else x / 2) for _, d, x in rows] + [(3, d, None) for _, d, _ in rows]
+    schema = "ticker long, date date, logret double"
+    out = {x.date: x for x in market_volatility(spark.createDataFrame(rows, schema), spec).collect()}
+    assert set(out) == {DAY + dt.timedelta(d) for d in range(60, 130)} and {x.n for x in out.values()} == {2}
+    half = rolling_sigma(r / 2, spec)
+    for d in range(60, 130):
+        assert out[DAY + dt.timedelta(d)].sigma == pytest.approx((sigma[d] + half[d]) / 2)
+    assert market_volatility(spark.createDataFrame([], schema), spec).count() == 0
