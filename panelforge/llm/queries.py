@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, linedups, mixing, neardup, pii, secrets, sharding, toxicity, transport
+from . import decontaminate, licenses, linedups, mixing, neardup, negatives, pii, repair, secrets, sharding, topk, toxicity, transport
 from .common import table
 
 
@@ -35,6 +35,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secret_forest": _docs(secrets.op8_secret_forest),
         "op9_weak_supervision": op9,
         "op10_mix_sources": _docs(mixing.op10_mix_sources),
+        "op11_norm_buckets": lambda spark, sf_dir: topk.op11_norm_buckets(table(spark, sf_dir, "embeddings")),
+        "op12_signatures": lambda spark, sf_dir: repair.op12_signatures(table(spark, sf_dir, "conversations")),
+        "op13_dual_tree": lambda spark, sf_dir: negatives.op13_dual_tree(table(spark, sf_dir, "embeddings")),
     }
 
 
@@ -44,4 +47,7 @@ def oracle_sql() -> dict[str, str]:
         "op6_divide_skip": neardup.ORACLE,
         "op7_repeated_lines": linedups.ORACLE,
         "op10_mix_sources": mixing.ORACLE,
+        "op11_norm_buckets": topk.ORACLE,
+        "op12_signatures": repair.ORACLE,
+        "op13_dual_tree": negatives.ORACLE,
     }
