@@ -51,34 +51,6 @@ def normal_sf(z: float) -> float:
 # ---------------------------------------------------------------- sparse regression on Gram matrices
 
 
-def fold_grams(rows: DataFrame, features: tuple[str, ...], target: str, folds: int = 5, gap: int = 5) -> tuple[DataFrame, list[dict]]:
-    """Sums of products of the rows outside each purged fold, as one aggregate.
-
-    Folds are blocks of dates; the training rows of a fold end ``gap`` dates before it and begin
-    ``gap`` after it.  The driver gets one row of sums for each fold, whatever the number of rows.
-    """
-    names = (*features, target)
-    days = rows.select("date").distinct().withColumn("i", F.row_number().over(Window.orderBy("date")) - 1)
-    n = days.count()
-    size = [n // folds + (k < n % folds) for k in range(folds)]
-    ends = np.cumsum([0, *size])
-    placed = rows.join(days, "date")
-    fold = sum(F.when(F.col("i") >= int(e), 1).otherwise(0) for e in ends[1:-1]) if folds > 1 else F.lit(0)
-    placed = placed.withColumn("fold", fold)
-    exprs = []
-    for k in range(folds + 1):
-        use = (F.col("i") < int(ends[k]) - gap) | (F.col("i") >= int(ends[k + 1]) + gap) if k < folds else F.lit(True)
-        exprs.append(F.count(F.when(use, 1)).alias(f"n{k}"))
-        exprs += [F.sum(F.when(use, F.col(a))).alias(f"s{k}_{a}") for a in names]
-        exprs += [F.sum(F.when(use, F.col(a) * F.col(b))).alias(f"g{k}_{a}_{b}") for i, a in enumerate(names) for b in names[i:]]
-    row = placed.agg(*exprs).first()
-    out = []
-    for k in range(folds + 1):
-        g = np.array([[row[f"g{k}_{min((i, a), (j, b))[1]}_{max((i, a), (j, b))[1]}"] or 0.0 for j, b in enumerate(names)] for i, a in enumerate(names)])
-        out.append({"n": row[f"n{k}"], "sum": np.array([row[f"s{k}_{a}"] or 0.0 for a in names]), "gram": g})
-    return placed, out
-
-
 def lasso_path(gram: dict, alphas: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Coefficients (one row an alpha) on standardised features, with their means and deviations.
 
@@ -106,39 +78,6 @@ def lasso_path(gram: dict, alphas: np.ndarray, rounds: int = 200) -> tuple[np.nd
     return out, mean, sd
 
 
-def lasso_search(rows: DataFrame, features: tuple[str, ...], target: str, alphas: np.ndarray, folds: int = 5, gap: int = 5) -> DataFrame:
-    """alpha, mean daily rank IC of out-of-fold predictions, its ratio to the deviation, and the coefficients.
-
-    Predictions of all alphas are made by one expression each over the rows of the fold and
-    compared with the target date by date.
-    """
-    placed, grams = fold_grams(rows, features, target, folds, gap)
-    fitted = [lasso_path(g, alphas) for g in grams]
-    spark = rows.sparkSession
-
-    def lines(k: int) -> list[list[float]]:
-        """For each alpha the constant and the slopes of the features as they stand."""
-        coef, mean, sd = fitted[k]
-        slopes = coef / sd
-        return [[float(-(mean[: len(features)] * b).sum()), *map(float, b)] for b in slopes]
-
-    by_fold = F.broadcast(spark.createDataFrame([(k, lines(k)) for k in range(folds)], "fold int, lines array<array<double>>"))
-    predicted = F.transform("lines", lambda c: F.round(sum((F.get(c, F.lit(j + 1)) * F.col(f) for j, f in enumerate(features)), F.get(c, F.lit(0))), 12))
-    long = placed.join(by_fold, "fold").select("date", F.col(target).alias("t"), F.posexplode(predicted).alias("a", "p"))
-
-    def ranked(c: str):
-        w = Window.partitionBy("a", "date").orderBy(c)
-        return F.rank().over(w) + (F.count("*").over(w.rangeBetween(Window.currentRow, Window.currentRow)) - 1) / 2
-
-    ic = long.withColumn("rp", ranked("p")).withColumn("rt", ranked("t")).groupBy("a", "date").agg(
-        (F.covar_samp("rp", "rt") / F.nullif(F.stddev_samp("rp") * F.stddev_samp("rt"), F.lit(0.0))).alias("ic")
-    )
-    per = ic.groupBy("a").agg(F.avg(F.coalesce("ic", F.lit(0.0))).alias("rank_ic"), (F.avg("ic") / F.nullif(F.stddev_samp("ic"), F.lit(0.0))).alias("ir"))
-    coef, _, _ = fitted[folds]
-    table = spark.createDataFrame([(a, float(alphas[a]), [float(x) for x in coef[a]]) for a in range(len(alphas))], "a int, alpha double, coefficients array<double>")
-    return table.join(per, "a").select("alpha", "rank_ic", "ir", "coefficients")
-
-
 # ---------------------------------------------------------------- cross-sectional regression
 
 

@@ -23,11 +23,14 @@ class PanelSpec:
     name: str
     unit: str
     by_nation: bool = False
+    #: The last close goes on where nothing traded: such a bar has that one price and no volume.
+    fill: bool = False
 
 
 MONTH = PanelSpec("supplier_month", "month")
 WEEK = PanelSpec("supplier_week", "week")
 NATION_WEEK = PanelSpec("nation_week", "week", by_nation=True)
+FILLED_WEEK = PanelSpec("supplier_week_filled", "week", fill=True)
 
 COLUMNS = ("open", "high", "low", "close", "volume", "amount", "n_trades", "vwap", "logret", "mcap", "sector", "industry", "subindustry")
 
@@ -64,10 +67,21 @@ def panel_ctes(spec: PanelSpec, sf_dir: str | None) -> list[str]:
   SELECT c.date, k.ticker, open, high, low, close, volume, amount, n_trades, amount / nullif(volume, 0) AS vwap, {', '.join(f'CAST({g} AS DOUBLE) AS {g}' for g in ('sector', 'industry', 'subindustry'))},
          CAST(shares AS DOUBLE) * close AS mcap
   FROM calendar c CROSS JOIN tickers k LEFT JOIN bars b ON b.date = c.date AND b.ticker = k.ticker LEFT JOIN classes g ON g.ticker = k.ticker)""",
-        "panel AS (SELECT *, CASE WHEN close > 0 AND lag(close) OVER (PARTITION BY ticker ORDER BY date) > 0 THEN ln(close / lag(close) OVER (PARTITION BY ticker ORDER BY date)) END AS logret FROM dense)",
+        *([filled(d)] if spec.fill else []),
+        f"panel AS (SELECT *, CASE WHEN close > 0 AND lag(close) OVER (PARTITION BY ticker ORDER BY date) > 0 THEN ln(close / lag(close) OVER (PARTITION BY ticker ORDER BY date)) END AS logret FROM {'filled' if spec.fill else 'dense'})",
     ]
 
 
+def filled(d: Dialect) -> str:
+    """The dense panel with closes carried forward."""
+    last = d.last("close", "(PARTITION BY ticker ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+    flat = ", ".join(f"coalesce({c}, last_close) AS {c}" for c in ("open", "high", "low"))
+    return f"""filled AS (
+  SELECT date, ticker, {flat}, last_close AS close, coalesce(volume, 0) AS volume, coalesce(amount, 0) AS amount, coalesce(n_trades, 0) AS n_trades,
+         coalesce(vwap, last_close) AS vwap, sector, industry, subindustry, max(mcap / nullif(close, 0)) OVER (PARTITION BY ticker) * last_close AS mcap
+  FROM (SELECT *, {last} AS last_close FROM dense))"""
+
+
 def load_panel(spark: SparkSession, sf_dir: str, spec: PanelSpec = MONTH) -> DataFrame:
     """The dense panel.  The calendar and the ticker list are small next to the trades they come from."""
     return spark.sql(f"WITH {', '.join(panel_ctes(spec, sf_dir))} SELECT * FROM panel")

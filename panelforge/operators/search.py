@@ -1,8 +1,9 @@
 """Search for formulas by genetic programming over the expression planner.
 
-A population is compiled to expressions, so shared sub-trees are computed once, and scored in one
-job a generation: a row for each formula and date, then one for each formula.  The same job gives the
-ICs of the training dates, which breed, and of the later validation dates, which choose.
+A generation is scored in one job over saved blocks of the panel (:mod:`.evaluation`): a row for each
+formula and date, then one for each formula.  The same job gives the ICs of the training dates, which
+breed, and of the later validation dates, which choose.  :func:`fitness` scores the same formulas as
+expressions of the planner, without blocks and store; the two agree.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql.window import Window
 
 from ..functions.dag import Node, compute
 from ..functions.ops import absolute, col, tanh, sign, ts_mean_frac, ts_std_frac, zscore
+from .evaluation import Evaluator, Wanted, pickled, read_state, unpickled, write_state
 from .walkforward import residuals
 
 BINARY = ("+", "-", "*", "/")
@@ -234,7 +236,7 @@ def _plain_ics(wide: DataFrame, names: dict[str, str]) -> DataFrame:
 
 def fitness(panel: DataFrame, trees: list[Tree], target: Node, spec: SearchSpec, ends: tuple) -> dict[str, Candidate]:
     """Formula -> candidate, of the formulas that hold a column; scored in one job."""
-    unique = {t.key(): t for t in trees if any(not t.get(p).kids and t.get(p).op != "const" for p in t.paths())}
+    unique = {t.key(): t for t in trees if has_column(t)}
     if not unique:
         return {}
     names = {f"g{i}": k for i, k in enumerate(unique)}
@@ -268,49 +270,126 @@ class Found:
     generations: int
 
 
-def evolve(panel: DataFrame, terminals: tuple[str, ...], target: Node, spec: SearchSpec = SearchSpec()) -> list[Found]:
-    """The best formulas found, best first.
+class Search:
+    """One search as a sequence of generations: ``unseen`` formulas are scored somewhere and given to ``learn``.
 
     Training ICs breed the generations.  The best of each generation are looked at on the validation
     dates; the search ends early after ``patience`` generations without a better one.  The result is
     drawn from a pool that favours formulas that stayed over generations; the best one validated leads
-    it into the table.  The same seed gives the same search.  The driver holds one series of daily ICs
-    for each formula.
+    it into the table.  The same seed gives the same search.  The whole state is plain data, so a
+    search can be written down after any generation and go on later.
     """
-    rng = random.Random(spec.seed)
-    people = [grow(rng, terminals, spec, rng.randint(1, spec.depth)) for _ in range(spec.population)]
-    ends = purged_split(panel, spec)
-    seen: dict[str, Candidate] = {}
-    stayed: dict[str, int] = {}
-    best, best_key, idle = float("-inf"), None, 0
-
-    def rank(t: Tree) -> tuple[float, str]:
-        return -seen[t.key()].objective(spec), t.key()
-
-    for _ in range(spec.generations):
-        fresh = {t.key(): t for t in people if t.key() not in seen}
-        scores = fitness(panel, list(fresh.values()), target, spec, ends) if fresh else {}
-        seen |= {k: scores.get(k, Candidate(t, None, None)) for k, t in fresh.items()}
-        distinct = list({t.key(): t for t in sorted(people, key=rank)}.values())
-        for t in distinct:
-            stayed[t.key()] = stayed.get(t.key(), 0) + 1
-        top = max(distinct[: spec.validated], key=lambda t: (seen[t.key()].adjusted(spec), t.key()))
-        if seen[top.key()].adjusted(spec) > best + spec.least_gain:
-            best, best_key, idle = seen[top.key()].adjusted(spec), top.key(), 0
+
+    def __init__(self, terminals: tuple[str, ...], spec: SearchSpec) -> None:
+        self.terminals, self.spec = terminals, spec
+        self.rng = random.Random(spec.seed)
+        self.people = [grow(self.rng, terminals, spec, self.rng.randint(1, spec.depth)) for _ in range(spec.population)]
+        self.seen: dict[str, Candidate] = {}
+        self.stayed: dict[str, int] = {}
+        self.best, self.best_key, self.idle, self.generation = float("-inf"), None, 0, 0
+
+    @property
+    def done(self) -> bool:
+        return self.idle >= self.spec.patience or self.generation >= self.spec.generations
+
+    def unseen(self) -> dict[str, Tree]:
+        """Formulas of this generation that hold a column and were not met before."""
+        return {k: t for k, t in {t.key(): t for t in self.people}.items() if k not in self.seen and has_column(t)}
+
+    def learn(self, scores: dict[str, Candidate]) -> None:
+        spec, rng, seen = self.spec, self.rng, self.seen
+        for t in self.people:
+            k = t.key()
+            if k not in seen:
+                seen[k] = scores.get(k, Candidate(t, None, None))
+        ranks = [(-seen[k].objective(spec), k) for k in (t.key() for t in self.people)]
+        order = sorted(range(len(ranks)), key=ranks.__getitem__)
+        distinct = list({ranks[i][1]: self.people[i] for i in order}.items())
+        for k, _ in distinct:
+            self.stayed[k] = self.stayed.get(k, 0) + 1
+        adjusted, top = max((seen[k].adjusted(spec), k) for k, _ in distinct[: spec.validated])
+        self.generation += 1
+        if adjusted > self.best + spec.least_gain:
+            self.best, self.best_key, self.idle = adjusted, top, 0
         else:
-            idle += 1
-        if idle >= spec.patience:
-            break
-        parents = people
+            self.idle += 1
+        if self.done:
+            return
+        parents = self.people
 
         def pick() -> Tree:
-            return min((rng.choice(parents) for _ in range(spec.tournament)), key=rank)
+            return parents[min((rng.randrange(len(parents)) for _ in range(spec.tournament)), key=ranks.__getitem__)]
 
-        people = distinct[: max(1, int(spec.elites * spec.population))]
+        people = [t for _, t in distinct[: max(1, int(spec.elites * spec.population))]]
         while len(people) < spec.population:
             u = rng.random()
-            people.append(cross(rng, pick(), pick(), spec) if u < spec.cross else mutate(rng, pick(), terminals, spec) if u < spec.cross + spec.mutate else pick())
-    return _table(seen, stayed, best_key, spec)
+            people.append(cross(rng, pick(), pick(), spec) if u < spec.cross else mutate(rng, pick(), self.terminals, spec) if u < spec.cross + spec.mutate else pick())
+        self.people = people
+
+    def table(self) -> list[Found]:
+        return _table(self.seen, self.stayed, self.best_key, self.spec)
+
+    def leaders(self) -> dict[str, Tree]:
+        """The formulas of the table, best first."""
+        return {f.formula: self.seen[f.formula].tree for f in self.table()}
+
+
+def has_column(t: Tree) -> bool:
+    return any(has_column(k) for k in t.kids) if t.kids else t.op != "const"
+
+
+def split_places(n: int, spec: SearchSpec) -> list[tuple[str, int, int]]:
+    """Places of the training and of the validation dates of ``n``; ``purge`` dates on either side of the cut are in neither."""
+    cut = int(n * spec.train_share)
+    return [("train", 0, cut - spec.purge), ("validation", cut + spec.purge, n)]
+
+
+def score_of(found: tuple[int, float, float] | None, least: int) -> Score | None:
+    if found is None or found[0] < max(least, 3):
+        return None
+    n, mean, t = found
+    return Score(t if t is not None else mean * 1e9 * n**0.5, mean, n)
+
+
+def run_searches(searches: dict[int, Search], evaluator: Evaluator, dates: dict[int, int], save: bool = False, stop_after: int | None = None) -> None:
+    """All searches to their ends, one job a generation for all of them; ``searches`` and ``dates`` (number of dates) are by slice.
+
+    With ``save``, the state after each generation is written beside the evaluator's blocks and taken up
+    again from there: after a stop in the middle the same call gives the same searches.  ``stop_after`` is
+    such a stop, after so many generations.
+    """
+    spark, spec = evaluator.spark, evaluator.spec
+    parts = spark.createDataFrame([(s, *p) for s, n in dates.items() for p in split_places(n, spec)], "slice int, part string, low int, high int")
+    step = 0
+    if save and (found := read_state(spark, f"{evaluator.folder}/searches")):
+        step = found[0]
+        searches.update(unpickled(found[1]))
+    while active := {s: x for s, x in searches.items() if not x.done and (stop_after is None or step < stop_after)}:
+        unseen = {s: x.unseen() for s, x in active.items()}
+        scores = evaluator.scores([Wanted(s, k, t) for s, new in unseen.items() for k, t in new.items()], parts)
+        for s, x in active.items():
+            x.learn({
+                k: Candidate(t, score_of(scores.get((s, k, "train")), spec.least_days), score_of(scores.get((s, k, "validation")), spec.least_validation_days)) for k, t in unseen[s].items()
+            })
+        step += 1
+        if save:
+            write_state(spark, f"{evaluator.folder}/searches", step, pickled(searches))
+
+
+def placed(panel: DataFrame) -> tuple[DataFrame, int]:
+    """``panel`` as slice 0 with ``i``, the place of its date, and the number of dates; dates are few beside rows."""
+    days = panel.select("date").distinct().withColumn("i", F.row_number().over(Window.orderBy("date")) - 1)
+    return panel.join(F.broadcast(days), "date").withColumn("slice", F.lit(0)), days.count()
+
+
+def evolve(panel: DataFrame, terminals: tuple[str, ...], target: Node, spec: SearchSpec = SearchSpec(), folder: str | None = None) -> list[Found]:
+    """The best formulas found over the whole panel, best first; with ``folder``, a run that was stopped goes on from there."""
+    keep = tuple(dict.fromkeys((*terminals, *spec.regressors, *([spec.group] if spec.group else []))))
+    rows, dates = placed(compute(panel, {"y": target}, keep=keep))
+    searches = {0: Search(terminals, spec)}
+    if dates:
+        run_searches(searches, Evaluator(rows, terminals, spec, folder), {0: dates}, save=folder is not None)
+    return searches[0].table()
 
 
 def _table(seen: dict[str, Candidate], stayed: dict[str, int], best_key: str | None, spec: SearchSpec) -> list[Found]:

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .models import greedy_prune, lasso_search
+from .grams import correlations, sliced_lasso
+from .models import greedy_prune
 
 
 @dataclass(frozen=True)
@@ -74,7 +75,7 @@ def screen(signals: DataFrame, factors: tuple[str, ...], target: str, spec: Scre
     t and t_oos are Newey-West statistics of the training window and of its last part; the score
     puts t_oos first, then the size of the mean there, then t.  Null ICs are gaps.  All slices are
     scored in one job by a range join of the daily ICs with the slice table; the driver then prunes
-    on one row for each slice and pair of factors, pairs with few common rows counting as unrelated.
+    on the pairs of factors of a slice that are too alike, pairs with few common rows counting as unrelated.
     """
     long = signals.select("date", "ticker", F.col(target).alias("y"), F.explode(F.array(*[F.struct(F.lit(f).alias("factor"), F.col(f).alias("x")) for f in factors])).alias("e")).select("date", "y", "e.*")
     sd = F.stddev_samp("x") * F.stddev_samp("y")
@@ -102,20 +103,25 @@ def screen(signals: DataFrame, factors: tuple[str, ...], target: str, spec: Scre
         per = per.withColumn("passed", F.coalesce(passed, F.lit(False)))
     worst = F.lit(-1e9)
     scored = per.withColumn("score", F.coalesce("t_oos", worst) * 1e6 + F.coalesce(F.abs("mean_oos"), worst) * 1e4 + F.coalesce("t", worst))
-    pairs = [(a, b) for i, a in enumerate(factors) for b in factors[i + 1 :]]
-    by_slice = signals.join(pos, "date").join(plan, (F.col("i") >= F.col("train_from")) & (F.col("i") < F.col("train_to"))).groupBy("slice")
-    spread = lambda a, b: F.stddev_samp(F.when(F.col(b).isNotNull(), F.col(a))) * F.stddev_samp(F.when(F.col(a).isNotNull(), F.col(b)))
-    common = lambda a, b: F.count(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), 1))
-    related = [F.when(common(a, b) >= spec.least_pairs, F.covar_samp(a, b) / F.nullif(spread(a, b), F.lit(0.0))).alias(f"{a}|{b}") for a, b in pairs]
-    corr = {r["slice"]: r for r in by_slice.agg(*related).collect()} if pairs else {}
+    by_slice = in_training(signals, pos, plan)
+    passing = scored.where("passed").orderBy("slice", F.desc("score"), "factor").select("slice", "factor").collect()
     order: dict[int, list[str]] = {}
-    for r in scored.where("passed").orderBy("slice", F.desc("score"), "factor").select("slice", "factor").collect():
+    for r in passing:
         order.setdefault(r["slice"], []).append(r["factor"])
-    kept = [(k, f) for k, names in order.items() for f in greedy_prune(names, {p: corr[k][f"{p[0]}|{p[1]}"] for p in pairs} if k in corr else {}, spec.corr_limit, spec.most)]
+    close = correlations(by_slice, "slice", tuple(factors), spec.least_pairs).where(F.abs("corr") > spec.corr_limit).collect() if len(factors) > 1 and order else []
+    corr: dict[int, dict[tuple[str, str], float]] = {}
+    for r in close:
+        corr.setdefault(r["slice"], {})[r["a"], r["b"]] = r["corr"]
+    kept = [(k, f) for k, names in order.items() for f in greedy_prune(names, corr.get(k, {}), spec.corr_limit, spec.most)]
     chosen = signals.sparkSession.createDataFrame(kept, "slice int, factor string").withColumn("kept", F.lit(True))
     return scored.join(F.broadcast(chosen), ["slice", "factor"], "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
 
 
+def in_training(signals: DataFrame, places: DataFrame, plan: DataFrame) -> DataFrame:
+    """The rows of each slice's training dates, with ``slice``; slices overlap, so a row can be in several."""
+    return signals.join(F.broadcast(places), "date").join(F.broadcast(plan), (F.col("i") >= F.col("train_from")) & (F.col("i") < F.col("train_to"))).drop("i")
+
+
 def residuals(y: np.ndarray, good: pd.DataFrame, regressors: tuple[str, ...], group: str, ridge: float = 1e-4, most_groups: int = 40) -> np.ndarray:
     """``y`` of the rows of one date less its ridge fit on a constant, regressors and dummies of the largest groups but the first."""
     sizes = good[group].dropna().value_counts()
@@ -163,7 +169,6 @@ def walk_forward(signals: DataFrame, factors: tuple[str, ...], target: str, alph
     Returns the choice of each slice (slice, factor, coefficient, alpha, rank_ic, ir) and the bank.  In
     a slice the penalty of the best rank IC is taken, of equal ones that of the better ratio, then
     the smaller one; factors with a coefficient enter the bank, all kept ones if none has.
-    Slices are few; each is a job over its own training rows.
     """
     spark = signals.sparkSession
     plan = slices(signals, spec)
@@ -171,20 +176,23 @@ def walk_forward(signals: DataFrame, factors: tuple[str, ...], target: str, alph
     for r in screen(signals, factors, target, spec).where("kept").select("slice", "factor").collect():
         kept.setdefault(r["slice"], []).append(r["factor"])
     pos = signals.select("date").distinct().withColumn("i", F.row_number().over(Window.orderBy("date")) - 1)
-    placed = signals.join(pos, "date")
     chosen = []
-    for s in plan.orderBy("slice").collect():
-        names = tuple(sorted(kept.get(s["slice"], [])))
-        if not names:
-            continue
-        rows = placed.where((F.col("i") >= s["train_from"]) & (F.col("i") < s["train_to"])).select("date", "ticker", *names, target).dropna()
-        best = choose(lasso_search(rows, names, target, alphas, gap=purge)).first()
+    for best in lasso_choices(in_training(signals, pos, plan), {k: tuple(sorted(v)) for k, v in kept.items()}, target, alphas, purge):
+        names = sorted(kept[best["slice"]])
         used = [(f, c) for f, c in zip(names, best["coefficients"], strict=True) if abs(c) > 1e-12] or [(f, 0.0) for f in names]
-        chosen += [(s["slice"], f, float(c), best["alpha"], best["rank_ic"], best["ir"]) for f, c in used]
+        chosen += [(best["slice"], f, float(c), best["alpha"], best["rank_ic"], best["ir"]) for f, c in used]
     table = spark.createDataFrame(chosen, "slice int, factor string, coefficient double, alpha double, rank_ic double, ir double")
     return table, signal_bank(signals.drop(target), table.withColumn("kept", F.lit(True)), plan)
 
 
+def lasso_choices(rows: DataFrame, chosen: dict[int, tuple[str, ...]], target: str, alphas: np.ndarray, gap: int) -> list:
+    """The row of the penalty taken in each slice, in the order of slices; all slices in one search."""
+    if not chosen:
+        return []
+    best = Window.partitionBy("slice").orderBy(F.desc_nulls_last(F.round("rank_ic", 9)), F.desc_nulls_last(F.round("ir", 9)), "alpha")
+    return sliced_lasso(rows, chosen, target, alphas, gap=gap).withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r").orderBy("slice").collect()
+
+
 def choose(path: DataFrame) -> DataFrame:
     """The row of a penalty path that is taken: best rank IC, then best ratio, then smallest penalty."""
     return path.orderBy(F.desc_nulls_last(F.round("rank_ic", 9)), F.desc_nulls_last(F.round("ir", 9)), "alpha").limit(1)

@@ -59,12 +59,12 @@ _formula_queries()
 
 
 def queries() -> dict[str, Query]:
-    from . import library, modelling  # noqa: F401  they register the rest
+    from . import library, modelling, study  # noqa: F401  they register the rest
 
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import library, modelling  # noqa: F401
+    from . import library, modelling, study  # noqa: F401
 
     return dict(_oracles)

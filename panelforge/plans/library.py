@@ -79,17 +79,22 @@ def sql_query(name: str, text: Callable[[Dialect], str]) -> None:
         frames |= {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if f"{{{t}}}" in body}
         return spark.sql(body, **frames)
 
+    register(name, query, duck_text(text(DUCK), uses))
+
+
+def duck_text(body: str, uses: list[str]) -> str:
+    """``body`` for DuckDB, with the panels that it ``uses`` as common table expressions before its own."""
     ctes: list[str] = []
     for f in uses:
         spec, outputs, keep = _frames[f]
         more, final = duck_sql("panel", outputs, keep=keep)
         ctes += [*panel_ctes(spec, None), *more, f"{f} AS ({final})"]
-    body = text(DUCK)
     for t in (*TABLES, *uses):
         body = body.replace(f"{{{t}}}", t)
-    if ctes:
-        body = f"WITH {', '.join(ctes)}{',' + body.lstrip()[4:] if body.lstrip().upper().startswith('WITH') else ' ' + body}"
-    register(name, query, body)
+    start = next((w for w in ("WITH RECURSIVE", "WITH") if body.lstrip().upper().startswith(w)), "")
+    if not ctes:
+        return body
+    return f"{start or 'WITH'} {', '.join(ctes)}{',' if start else ''} {body.lstrip()[len(start):]}"
 
 
 def corr(x: str, y: str) -> str:
@@ -164,9 +169,6 @@ agg AS (SELECT factor, count(*) AS n_full, count(CASE WHEN i > floor(t * 0.7) TH
         FROM pos GROUP BY factor)
 SELECT factor, n_full, n_oos, {rounded('m_full')} AS m_full, {rounded('m_is')} AS m_is, {rounded('m_oos')} AS m_oos,
        n_full >= 250 AND n_oos >= 100 AND (sign(m_full) = sign(m_oos) OR m_oos = 0) AND abs(m_oos) >= 0.0005 AS passed, {rounded('t_oos * 1e6 + abs(m_oos) * 1e4')} AS score FROM agg""")
-sql_query("alpha_significance", lambda d: f"""WITH {_ic(d)}, {_hac(5)}
-SELECT factor, n, {rounded('mean')} AS mean, {rounded('mean / nullif(se, 0)')} AS t, {rounded('CASE WHEN mean >= 0 THEN mean - 1.6449 * se END')} AS ci_lower,
-       {rounded('CASE WHEN mean < 0 THEN mean + 1.6449 * se END')} AS ci_upper, abs(mean) / nullif(se, 0) > 1.6449 AS reject FROM hac""")
 
 # ---------------------------------------------------------------- standardising, neutralising, weights
 
@@ -226,28 +228,19 @@ SELECT date, {rounded('r')} AS risk, {rounded('(1 / nullif(r, 0)) / sum(1 / null
 
 # ---------------------------------------------------------------- ingest, keys, joins
 
-sql_query("upsert_latest", lambda d: """WITH target AS (SELECT o_orderkey AS k, o_orderdate AS d, o_totalprice AS v, 0 AS fresh FROM {orders} WHERE o_orderkey % 3 <> 0),
-source AS (SELECT o_orderkey AS k, o_orderdate AS d, o_totalprice * 2 AS v, 1 AS fresh FROM {orders} WHERE o_orderkey % 2 = 0),
-latest AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY d DESC, v DESC) AS r FROM source)
-SELECT k, v, fresh FROM latest WHERE r = 1 UNION ALL SELECT t.k, t.v, t.fresh FROM target t LEFT ANTI JOIN source s ON s.k = t.k""".replace("LEFT ANTI" if not d.spark else "@", "ANTI"))
-sql_query("upsert_latest_all", lambda d: """WITH target AS (SELECT o_orderkey AS k, o_orderdate AS d, o_totalprice AS v, 0 AS fresh FROM {orders}),
+for _name in ("upsert_latest", "upsert_latest_all"):
+    sql_query(_name, lambda d: """WITH target AS (SELECT o_orderkey AS k, o_orderdate AS d, o_totalprice AS v, 0 AS fresh FROM {orders}),
 source AS (SELECT o_orderkey AS k, o_orderdate AS d, o_totalprice * 2 AS v, 1 AS fresh FROM {orders} WHERE o_orderkey % 2 = 0),
 latest AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY d DESC, v DESC) AS r FROM source)
 SELECT k, v, fresh FROM latest WHERE r = 1 UNION ALL SELECT t.k, t.v, t.fresh FROM target t LEFT ANTI JOIN source s ON s.k = t.k""".replace("LEFT ANTI" if not d.spark else "@", "ANTI"))
-sql_query("chunk_by_ts_drop", lambda d: """WITH o AS (SELECT event_id, user_id % 7 AS part, ts FROM {events}), s AS (SELECT *, row_number() OVER (ORDER BY part, ts, event_id) AS i FROM o),
-j AS (SELECT i, ts, CASE WHEN ts < lag(ts) OVER (ORDER BY i) THEN 1 ELSE 0 END AS jump FROM s), c AS (SELECT i, ts, sum(jump) OVER (ORDER BY i) AS chunk FROM j)
-SELECT CAST(chunk AS BIGINT) AS chunk, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM c GROUP BY chunk""")
 sql_query("tz_date_dedupe", lambda d: f"""WITH e AS (SELECT user_id, value, ts, event_id, CAST({"from_utc_timestamp(ts, 'America/New_York')" if d.spark else "(ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York'"} AS DATE) AS local_date FROM {{events}}),
 r AS (SELECT *, row_number() OVER (PARTITION BY user_id, local_date ORDER BY ts DESC, event_id DESC) AS r FROM e) SELECT user_id, local_date, value FROM r WHERE r = 1""")
 sql_query("semi_anti_universe", lambda d: """SELECT 'traded' AS kind, count(*) AS n FROM {supplier} WHERE s_suppkey IN (SELECT l_suppkey FROM {lineitem} WHERE l_quantity > 49)
 UNION ALL SELECT 'idle', count(*) FROM {supplier} s WHERE NOT EXISTS (SELECT 1 FROM {lineitem} l WHERE l.l_suppkey = s.s_suppkey AND l_quantity > 49)""")
 sql_query("union_sources", lambda d: "SELECT DISTINCT s_nationkey AS nation FROM {supplier} INTERSECT SELECT DISTINCT c_nationkey FROM {customer} UNION SELECT n_nationkey FROM {nation} WHERE n_regionkey = 1")
 sql_query("first_trade_date", lambda d: "SELECT ticker, min(CASE WHEN close IS NOT NULL THEN date END) AS first_priced, min(CASE WHEN volume > 0 THEN date END) AS first_traded, count(close) AS traded FROM {month} GROUP BY ticker")
-sql_query("asof_classification", lambda d: f"""WITH changes AS (SELECT o_custkey AS k, CAST(o_orderdate AS DATE) AS date, max(o_orderpriority) AS code FROM {{orders}} WHERE o_custkey % 10 = 0 GROUP BY 1, 2),
-cal AS (SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) AS date FROM {{orders}}), keys AS (SELECT DISTINCT k FROM changes),
-merged AS (SELECT k, date, code, 0 AS asked FROM changes UNION ALL SELECT k, date, CAST(NULL AS VARCHAR(20)), 1 FROM keys CROSS JOIN cal)
-SELECT k, date, coalesce(code, 'UNK') AS code FROM (SELECT k, date, asked, {d.last('code', '(PARTITION BY k ORDER BY date, asked ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)')} AS code FROM merged) WHERE asked = 1""")
-sql_query("asof_classification_all", lambda d: f"""WITH changes AS (SELECT o_custkey AS k, CAST(o_orderdate AS DATE) AS date, max(o_orderpriority) AS code FROM {{orders}} GROUP BY 1, 2),
+for _name in ("asof_classification", "asof_classification_all"):
+    sql_query(_name, lambda d: f"""WITH changes AS (SELECT o_custkey AS k, CAST(o_orderdate AS DATE) AS date, max(o_orderpriority) AS code FROM {{orders}} GROUP BY 1, 2),
 cal AS (SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) AS date FROM {{orders}}), keys AS (SELECT DISTINCT k FROM changes),
 merged AS (SELECT k, date, code, 0 AS asked FROM changes UNION ALL SELECT k, date, CAST(NULL AS VARCHAR(20)), 1 FROM keys CROSS JOIN cal)
 SELECT k, date, coalesce(code, 'UNK') AS code FROM (SELECT k, date, asked, {d.last('code', '(PARTITION BY k ORDER BY date, asked ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)')} AS code FROM merged) WHERE asked = 1""")
@@ -272,11 +265,6 @@ w AS (SELECT m.date, logret, CASE WHEN logret IS NOT NULL THEN least(greatest(lo
 z AS (SELECT date, logret, x, (x - avg(x) OVER (PARTITION BY date)) / nullif(stddev_samp(x) OVER (PARTITION BY date), 0) AS z FROM w),
 c AS (SELECT date, count(z) AS n, count(*) AS t, count(CASE WHEN x <> logret THEN 1 END) AS wins, count(CASE WHEN abs(z) > 3 THEN 1 END) AS clips FROM z GROUP BY date)
 SELECT {rounded('avg(n / CAST(t AS DOUBLE))')} AS coverage, {rounded('avg(CAST(n AS DOUBLE))')} AS avg_names, {rounded('avg(wins / CAST(nullif(n, 0) AS DOUBLE))')} AS winsor_rate, {rounded('avg(clips / CAST(nullif(n, 0) AS DOUBLE))')} AS clip_rate FROM c""")
-sql_query("adaptive_significance", lambda d: f"""WITH {_ic(d)}, {_newey_west(5)},
-c AS (SELECT factor, count(*) AS n, avg(ic) AS mean, stddev_samp(ic) AS sd, {', '.join(f'sum(u * u{k}) / nullif(sum(u * u), 0) AS r{k}' for k in range(1, 6))} FROM lagged GROUP BY factor)
-SELECT c.factor, c.n, {rounded('c.mean')} AS mean, greatest({', '.join(f'abs(r{k})' for k in range(1, 6))}) > 1.96 / sqrt(c.n) AS robust,
-       {rounded('CASE WHEN greatest(' + ', '.join(f'abs(r{k})' for k in range(1, 6)) + ') > 1.96 / sqrt(c.n) THEN c.mean / nullif(nw.se, 0) ELSE c.mean / nullif(c.sd / sqrt(c.n), 0) END')} AS t
-FROM c JOIN nw ON nw.factor = c.factor""")
 sql_query("latest_picks", lambda d: f"""WITH last AS (SELECT max(date) AS date FROM {{signals}} WHERE s4 IS NOT NULL),
 r AS (SELECT s.date, ticker, s4, row_number() OVER (ORDER BY round(s4, 9) DESC, ticker) AS r FROM {{signals}} s JOIN last ON last.date = s.date WHERE s4 IS NOT NULL)
 SELECT date, ticker, {rounded('s4')} AS score, r FROM r WHERE r <= 10""")
@@ -313,26 +301,6 @@ paired AS (SELECT a.factor, a.mean AS mean_ic, b.mean AS mean_ric, a.reject AND
          FROM tests a JOIN tests b ON a.factor = b.factor WHERE a.kind = 'p' AND b.kind = 'r')
 SELECT factor, {rounded('mean_ic')} AS mean_ic, {rounded('mean_ric')} AS mean_ric,
        coalesce(rejected AND ((mean_ic > 0.001 AND mean_ric > 0.001 AND lower_ic > 0 AND lower_ric > 0) OR (mean_ic < -0.001 AND mean_ric < -0.001 AND upper_ic < 0 AND upper_ric < 0)), FALSE) AS kept FROM paired""")
-#: The upper tail of the normal distribution to seven digits, by the published polynomial (fixed values of Abramowitz and Stegun 26.2.17).
-_TAIL = (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
-
-
-def normal_tail(z: str) -> str:
-    k = f"(1 / (1 + CAST(0.2316419 AS DOUBLE) * abs({z})))"
-    polynomial = " + ".join(f"CAST({c!r} AS DOUBLE) * power({k}, {i + 1})" for i, c in enumerate(_TAIL))
-    upper = f"(exp(-({z}) * ({z}) / 2) / sqrt(2 * pi()) * ({polynomial}))"
-    return f"CASE WHEN ({z}) >= 0 THEN {upper} ELSE 1 - {upper} END"
-
-
-#: H1: the mean return is positive; lags by the rule 4 (n / 100) ^ (2 / 9), at least one.
-sql_query("nw_one_sided", lambda d: f"""WITH {_market}, s AS (SELECT r, row_number() OVER (ORDER BY date) AS i, r - avg(r) OVER () AS u, count(*) OVER () AS n FROM nav),
-k AS (SELECT n, greatest(1, least(CAST(floor(4 * power(n / CAST(100 AS DOUBLE), 2 / CAST(9 AS DOUBLE))) AS INT), CAST(n AS INT) - 1)) AS lags FROM (SELECT max(n) AS n FROM s)),
-c AS (SELECT sum((CASE WHEN a.i = b.i THEN 1 ELSE 2 * (1 - (a.i - b.i) / CAST(k.lags + 1 AS DOUBLE)) END) * a.u * b.u) / max(k.n) AS v FROM s a JOIN s b ON b.i <= a.i JOIN k ON a.i - b.i <= k.lags),
-t AS (SELECT k.n, k.lags, (SELECT avg(r) FROM s) AS mean, (SELECT stddev_samp(r) FROM s) AS sd, CASE WHEN c.v > 0 THEN (SELECT avg(r) FROM s) / sqrt(c.v / k.n) END AS t FROM k CROSS JOIN c)
-SELECT n, lags, {rounded('mean')} AS mean, {rounded('sd')} AS sd, {rounded('CASE WHEN n >= 10 THEN t END')} AS t, {rounded(f'CASE WHEN n >= 10 THEN {normal_tail("t")} END')} AS p_one_sided FROM t""")
-sql_query("pair_corr_min_pairs", lambda d: " UNION ALL ".join(
-    f"SELECT '{a}' AS a, '{b}' AS b, count(*) AS pairs, {rounded(f'CASE WHEN count(*) >= 200 THEN {corr(a, b)} END')} AS corr FROM {{signals}} WHERE {a} IS NOT NULL AND {b} IS NOT NULL"
-    for i, a in enumerate(FACTORS) for b in FACTORS[i + 1 :]))
 sql_query("ticker_formats", lambda d: """WITH s AS (SELECT s_suppkey, concat(CASE WHEN s_suppkey % 2 = 0 THEN 'sh' ELSE 'sz' END, lpad(CAST(s_suppkey * 977 % 1000000 AS VARCHAR(6)), 6, '0')) AS symbol FROM {supplier}),
 f AS (SELECT *, concat(substring(symbol, 3), CASE WHEN substring(symbol, 1, 2) = 'sh' THEN '.SS' ELSE '.SZ' END) AS listed FROM s)
 SELECT s_suppkey, symbol, listed, concat(CASE WHEN upper(substring(listed, 8)) = 'SS' THEN 'sh' ELSE 'sz' END, substring(listed, 1, 6)) AS back FROM f""")

@@ -10,11 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dag import compute
-from ..functions.ops import col, cs_mean, delay, fwd_sum, rolling_beta
+from ..functions.features import FEATURES
+from ..functions.ops import col, cs_mean, delay, fwd_sum, rolling_beta, zscore
 from ..operators import ledger
+from ..operators.connector import search_slices
 from ..operators.engines import DualLeg, Lots, SingleLeg, simulate, simulate_trades
-from ..operators.models import EgarchSpec, egarch_forecast, fama_macbeth, hmm_probabilities, lasso_search, market_volatility
-from ..operators.panel import MONTH, NATION_WEEK, load_panel
+from ..operators.grams import lasso_search
+from ..operators.models import EgarchSpec, egarch_forecast, fama_macbeth, hmm_probabilities, market_volatility
+from ..operators.panel import FILLED_WEEK, MONTH, NATION_WEEK, load_panel
 from ..operators.search import SearchSpec, evolve
 from ..operators.walkforward import ScreenSpec, choose, neutralize, screen, signal_bank, slices, walk_forward
 from ..streaming.bars import daily_bars, read_events, run_available
@@ -23,9 +26,10 @@ from .library import GRAM, KEPT, SIGNALS
 
 FACTORS = GRAM[:-1]
 ALPHAS = np.logspace(-7, -2, 80)
-#: The whole search of the reference; only its 50 names a date are more than the panel of nations has.
-SEARCH = SearchSpec(population=384, generations=180, least_days=60, regressors=("beta", "ln_cap"), group="sector")
-BETA = rolling_beta(delay(col("logret"), 1), delay(cs_mean(col("logret")), 1), 20)
+#: The whole search of the reference, with 50 names a date.
+SEARCH = SearchSpec(population=384, generations=180, least_names=50, least_days=60, regressors=("beta", "ln_cap"), group="sector")
+BETA = rolling_beta(delay(col("logret"), 1), delay(cs_mean(col("logret")), 1), 60)
+TERMINALS = ("mom_20", "rev_5", "rv_20", "range_1", "gap_rev")
 
 
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,17 +74,26 @@ def hmm_market(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm_probabilities(egarch_market(spark, sf_dir).select("date", F.col("sigma").alias("value")), 48, partial=True)
 
 
+def search_panel(spark: SparkSession, sf_dir: str, features: tuple[str, ...]) -> DataFrame:
+    """Supplier weeks with standardised features of the day before, beta, log cap and sector: what formulas are searched on."""
+    bank = {f: zscore(delay(FEATURES[f], 1), 2) for f in features}
+    rows = compute(load_panel(spark, sf_dir, FILLED_WEEK), bank | {"beta": BETA}, keep=("logret", "mcap", "sector"))
+    return rows.withColumn("ln_cap", F.log(F.when(F.col("mcap") > 0, F.col("mcap")))).drop("mcap")
+
+
 def formula_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = load_panel(spark, sf_dir, NATION_WEEK)
-    panel = compute(rows, SIGNALS | {"beta": BETA}, keep=("logret", "mcap", "sector")).withColumn("ln_cap", F.log(F.when(F.col("mcap") > 0, F.col("mcap")))).persist()
-    try:
-        found = evolve(panel, FACTORS, fwd_sum(col("logret"), 5), SEARCH)
-    finally:
-        panel.unpersist()
+    found = evolve(search_panel(spark, sf_dir, TERMINALS), TERMINALS, fwd_sum(col("logret"), 5), SEARCH)
     rows = [astuple(f) for f in found]
     return spark.createDataFrame(rows, "formula string, adjusted double, objective double, t double, validation_t double, mean_ic double, complexity int, generations int")
 
 
+def slice_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole chain over slices: all 24 features screened, regressed on 80 penalties, the full search budget, holdout scores."""
+    features = tuple(FEATURES)
+    rows = compute(search_panel(spark, sf_dir, features), {"y5": fwd_sum(col("logret"), 5)}, keep=(*features, *SEARCH.regressors, "sector"))
+    return search_slices(rows, features, "y5", ALPHAS, ScreenSpec(train=208, least_train=150, every=104, holdout=52, least_abs_mean=0.0), SEARCH)
+
+
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Softmax weights of the five best names a week, the lower half by variation as leg 2."""
     found = signals(spark, sf_dir).select("date", "ticker", F.col("close").alias("price"), F.col("s4").alias("s"), F.abs("logret").alias("v"))
@@ -116,6 +129,7 @@ register("hmm_probs", hmm)
 register("egarch_market_volatility", egarch_market)
 register("hmm_market_regimes", hmm_market)
 register("gp_generation", formula_search)
+register("walk_forward_search", slice_search)
 register("engine_single_leg", engine_single_leg)
 register("engine_dual_leg", engine_dual_leg)
 register("engine_lots", engine_lots)

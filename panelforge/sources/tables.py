@@ -42,10 +42,3 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str], newest: str) -
 def append(df: DataFrame, path: str, by: str | None = None) -> None:
     writer = df.write.mode("append")
     (writer.partitionBy(by) if by else writer).parquet(path)
-
-
-def split_by_clock(flat: DataFrame, order: str, clock: str) -> DataFrame:
-    """``chunk`` of a flat feed of several tickers: a new one begins where the clock goes back."""
-    w = Window.orderBy(order)
-    jump = F.when(F.col(clock) < F.lag(clock).over(w), 1).otherwise(0)
-    return flat.withColumn("_jump", jump).withColumn("chunk", F.sum("_jump").over(w)).drop("_jump")

@@ -11,11 +11,12 @@ import pytest
 from panelforge.functions.ops import col, fwd_sum
 from panelforge.operators.engines import NAV_SCHEMA, DualLeg, Lots, SingleLeg, dual_leg, dual_leg_run, lot_engine, simulate, simulate_trades, single_leg, single_leg_run
 from panelforge.operators.models import (
-    RollingVolatility, egarch_filter, egarch_forecast, fama_macbeth, fit_hmm, fold_grams, greedy_prune, hmm_probabilities, lasso_path, market_volatility, normal_sf, partial_correlations, rolling_sigma, t_cdf,
+    RollingVolatility, egarch_filter, egarch_forecast, fama_macbeth, fit_hmm, greedy_prune, hmm_probabilities, lasso_path, market_volatility, normal_sf, partial_correlations, rolling_sigma, t_cdf,
 )
 from panelforge.operators.search import Candidate, Score, SearchSpec, Tree, evolve, purged_split
 from panelforge.operators.walkforward import ScreenSpec, neutralize, screen, signal_bank, slices
-from panelforge.sources.tables import append, read_aggregates, read_bars, split_by_clock, upsert
+from panelforge.operators.statistics import split_by_clock
+from panelforge.sources.tables import append, read_aggregates, read_bars, upsert
 from panelforge.streaming.bars import daily_bars, read_events, run_available
 
 from .conftest import SMALL
@@ -44,8 +45,14 @@ def test_partial_correlations_of_a_first_order_process():
 
 
 def test_grams_and_lasso(spark):
+    from pyspark.sql import functions as F
+
+    from panelforge.operators.grams import as_gram, fold_sums, folded
+
     df, pdf = frame(spark)
-    _, grams = fold_grams(df, ("a", "b", "c"), "y", folds=5, gap=3)
+    placed = folded(df.withColumn("slice", F.lit(0)), {0: ("a", "b", "c")}, "y", 5)
+    sums = fold_sums(placed, {0: ("a", "b", "c")}, "y", 5, 3).toPandas()
+    grams = {k: as_gram(g) for k, g in sums.groupby("fold")}
     m = pdf[["a", "b", "c", "y"]].to_numpy()
     np.testing.assert_allclose(grams[5]["gram"], m.T @ m, rtol=1e-9)
     i = pdf["date"].map({d: k for k, d in enumerate(sorted(set(pdf["date"])))})
@@ -218,7 +225,7 @@ def test_sources(spark, tmp_path):
     append(new, str(tmp_path / "t"), "k")
     assert spark.read.parquet(str(tmp_path / "t")).count() == 5
     feed = spark.createDataFrame([(0, 1), (1, 2), (2, 1), (3, 5), (4, 4)], "i int, ts int")
-    assert [r.chunk for r in split_by_clock(feed, "i", "ts").orderBy("i").collect()] == [0, 0, 1, 1, 2]
+    assert [r.chunk for r in split_by_clock(feed, ["i"], "ts").orderBy("i").collect()] == [0, 0, 1, 1, 2]
 
 
 def test_stream_equals_batch(spark, duck):
