@@ -68,7 +68,7 @@ def plan_slices(panel: DataFrame, factors: tuple[str, ...], target: str, alphas:
 
 
 def _rows(panel: DataFrame, plan: list[dict], first: str, last: str, columns: tuple[str, ...]) -> DataFrame:
-    """The rows of the places ``first`` to ``last`` of each slice, with places counted from 0."""
+    """The rows of the places ``first`` to ``last`` of each slice, with places counted from ``first`` on."""
     spark = panel.sparkSession
     days = panel.select("date").distinct().withColumn("_at", F.row_number().over(Window.orderBy("date")) - 1)
     ends = spark.createDataFrame([(p["slice"], p[first], p[last]) for p in plan], "slice int, _first int, _last int")
@@ -76,17 +76,20 @@ def _rows(panel: DataFrame, plan: list[dict], first: str, last: str, columns: tu
     return placed.select("slice", (F.col("_at") - F.col("_first")).cast("int").alias("i"), "ticker", *columns)
 
 
-def search_slices(panel: DataFrame, factors: tuple[str, ...], target: str, alphas: np.ndarray, screening: ScreenSpec, search: SearchSpec, folder: str | None = None, stop_after: int | None = None) -> DataFrame | None:
+def search_slices(panel: DataFrame, factors: tuple[str, ...], target: str, alphas: np.ndarray, screening: ScreenSpec, search: SearchSpec, folder: str | None = None, stop_after: int | None = None, warm: int = 118) -> DataFrame | None:
     """A row for each slice and formula of its best ten, with training, validation and holdout statistics.
 
     ``panel`` has date, ticker, the factors, ``target``, and the regressors and group of ``search``.  Windows
-    inside formulas begin anew at the first date of a slice's training and holdout rows, so neither sees
-    the other.  ``folder`` is where the chain writes its decisions and goes on from, a fresh one if not given;
+    inside formulas begin anew at the first training date of a slice; in the holdout they may read the ``warm``
+    dates before it, which are past by then (0: windows begin anew there too).  ``folder`` is where the chain writes its decisions and goes on from, a fresh one if not given;
     ``stop_after`` ends the call after so many generations, without result.
     """
     spark = panel.sparkSession
     folder = folder or shared_folder(spark, "slices")
     known = read_state(spark, f"{folder}/plan")
+    if known is None:
+        panel.write.mode("overwrite").parquet(f"{folder}/panel")
+    panel = spark.read.parquet(f"{folder}/panel")
     if known is None:
         plan = plan_slices(panel, factors, target, alphas, screening)
         write_state(spark, f"{folder}/plan", 0, json.dumps(plan))
@@ -102,9 +105,10 @@ def search_slices(panel: DataFrame, factors: tuple[str, ...], target: str, alpha
     run_searches(searches, train, {p["slice"]: p["train_to"] - p["train_from"] for p in plan}, save=True, stop_after=stop_after)
     if any(not s.done for s in searches.values()):
         return None
-    held = Evaluator(_rows(named, plan, "hold_from", "hold_to", (*columns, "y")), used, search, f"{folder}/hold")
+    early = [{**p, "warm_from": max(0, p["hold_from"] - warm)} for p in plan]
+    held = Evaluator(_rows(named, early, "warm_from", "hold_to", (*columns, "y")), used, search, f"{folder}/hold")
     length = {p["slice"]: p["hold_to"] - p["hold_from"] for p in plan}
-    parts = spark.createDataFrame([(s, "hold", 0, n) for s, n in length.items()], "slice int, part string, low int, high int")
+    parts = spark.createDataFrame([(p["slice"], "hold", p["hold_from"] - p["warm_from"], p["hold_to"] - p["warm_from"]) for p in early], "slice int, part string, low int, high int")
     scores = held.scores([Wanted(s, k, t) for s, x in searches.items() for k, t in x.leaders().items()], parts)
     out = []
     for p in plan:

@@ -14,7 +14,7 @@ import pickle
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -26,6 +26,8 @@ from .walkforward import newey_west_t
 
 #: Dates of a block; with those before it and all names of a date it is what one task holds.
 BLOCK_DATES = 26
+#: Lengths of the windows that formulas may hold.
+WINDOWS = (5, 10, 20, 60)
 #: Formulas whose values a task holds at once.
 AT_ONCE = 64
 
@@ -150,12 +152,24 @@ class Wanted:
 
 def _windows_inside(tree, root: bool = True) -> Iterator[object]:
     """Rolling nodes below the root; at the root a window is only needed on the block's own rows."""
-    if tree.op in ("ts_mean", "ts_std") and not root:
+    if tree.op in ("ts_mean", "ts_std") and not root and _reads(tree):
         yield tree
     for kid in tree.kids:
         yield from _windows_inside(kid, False)
 
 
+def _siblings(tree) -> list:
+    """A window, and where it reads a column as it stands, all other windows of that column: the search will soon ask for them."""
+    if tree.kids[0].kids:
+        return [tree]
+    return [replace(tree, op=op, window=w) for op in ("ts_mean", "ts_std") for w in WINDOWS]
+
+
+def _reads(tree) -> bool:
+    """Whether the tree holds a column; windows over constants are not worth keeping."""
+    return any(_reads(k) for k in tree.kids) if tree.kids else tree.op != "const"
+
+
 def _unpack(raw: bytes, rows: int, names: int) -> np.ndarray:
     return np.frombuffer(raw, dtype=np.float64).reshape(rows, names)
 
@@ -175,7 +189,7 @@ class Evaluator:
         self.spark, self.spec, self.use_store = panel.sparkSession, spec, use_store
         self.terminals = tuple(terminals)
         self.folder = folder or shared_folder(self.spark, "search")
-        self.halo = max(0, spec.depth - 1) * 59
+        self.halo = max(0, spec.depth - 1) * (max(WINDOWS) - 1)
         self.columns = (*self.terminals, "y", *spec.regressors, *([spec.group] if spec.group else []))
         self.version, self.stored = 0, set()
         places = self._places()
@@ -198,6 +212,7 @@ class Evaluator:
         columns, halo = self.columns, self.halo
         reach = F.sequence(F.floor(F.col("i") / BLOCK_DATES), F.least(F.floor((F.col("i") + halo) / BLOCK_DATES), F.floor(F.col("_last") / BLOCK_DATES)))
         last = panel.groupBy("slice").agg(F.max("i").alias("_last"))
+        blocks = last.agg(F.sum(F.floor(F.col("_last") / BLOCK_DATES) + 1)).first()[0] or 1
         spread = panel.select("slice", "i", "ticker", *[F.col(c).cast("double").alias(c) for c in columns]).join(F.broadcast(last), "slice").withColumn("block", F.explode(reach)).drop("_last")
 
         def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -212,7 +227,8 @@ class Evaluator:
                 data.append(m.tobytes())
             return pd.DataFrame([(key[0], key[1], first, rows - (start - first), rows, len(names), list(columns), data)], columns=[c.split()[0] for c in STORED.split(", ")])
 
-        spread.groupBy("slice", "block").applyInPandas(build, STORED).write.mode("overwrite").parquet(self._path(0))
+        # A fixed number of partitions, twice the blocks: they are many rows' work each, though few bytes, and are not to be merged.
+        spread.repartition(2 * int(blocks), "slice", "block").groupBy("slice", "block").applyInPandas(build, STORED).write.mode("overwrite").parquet(self._path(0))
         self._note()
 
     def _note(self) -> None:
@@ -220,7 +236,8 @@ class Evaluator:
 
     def _remember(self, wanted: list[Wanted]) -> None:
         """Adds the windows that are not stored yet to each block of their slices."""
-        fresh = {(w.slice, t.key()): t for w in wanted for t in _windows_inside(w.tree) if f"{w.slice}:{t.key()}" not in self.stored}
+        met = {(w.slice, t.key()): t for w in wanted for t in _windows_inside(w.tree) if f"{w.slice}:{t.key()}" not in self.stored}
+        fresh = {(s, k.key()): k for (s, _), t in met.items() for k in _siblings(t) if f"{s}:{k.key()}" not in self.stored}
         if not fresh or not self.use_store:
             return
         by_slice: dict[int, list] = {}

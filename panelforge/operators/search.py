@@ -17,15 +17,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.dag import Node, compute
+from ..functions.dag import DIGITS, Node, compute
 from ..functions.ops import absolute, col, tanh, sign, ts_mean_frac, ts_std_frac, zscore
-from .evaluation import Evaluator, Wanted, pickled, read_state, unpickled, write_state
+from .evaluation import WINDOWS, Evaluator, Wanted, pickled, read_state, unpickled, write_state
 from .walkforward import residuals
 
 BINARY = ("+", "-", "*", "/")
 UNARY = ("neg", "abs", "tanh", "sign")
 ROLLING = ("ts_mean", "ts_std")
-WINDOWS = (5, 10, 20, 60)
+#: Generations between two records of the state of a search.
+SAVE_EVERY = 5
 
 
 @dataclass(frozen=True)
@@ -345,16 +346,17 @@ def split_places(n: int, spec: SearchSpec) -> list[tuple[str, int, int]]:
 
 
 def score_of(found: tuple[int, float, float] | None, least: int) -> Score | None:
+    """Rounded, so that the order in which sums were added up decides nothing."""
     if found is None or found[0] < max(least, 3):
         return None
     n, mean, t = found
-    return Score(t if t is not None else mean * 1e9 * n**0.5, mean, n)
+    return Score(round(t if t is not None else mean * 1e9 * n**0.5, DIGITS), round(mean, DIGITS), n)
 
 
 def run_searches(searches: dict[int, Search], evaluator: Evaluator, dates: dict[int, int], save: bool = False, stop_after: int | None = None) -> None:
     """All searches to their ends, one job a generation for all of them; ``searches`` and ``dates`` (number of dates) are by slice.
 
-    With ``save``, the state after each generation is written beside the evaluator's blocks and taken up
+    With ``save``, the state is written every few generations beside the evaluator's blocks and taken up
     again from there: after a stop in the middle the same call gives the same searches.  ``stop_after`` is
     such a stop, after so many generations.
     """
@@ -372,7 +374,7 @@ def run_searches(searches: dict[int, Search], evaluator: Evaluator, dates: dict[
                 k: Candidate(t, score_of(scores.get((s, k, "train")), spec.least_days), score_of(scores.get((s, k, "validation")), spec.least_validation_days)) for k, t in unseen[s].items()
             })
         step += 1
-        if save:
+        if save and (step % SAVE_EVERY == 0 or all(x.done for x in searches.values()) or step == stop_after):
             write_state(spark, f"{evaluator.folder}/searches", step, pickled(searches))
 
 

@@ -91,7 +91,7 @@ def slice_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole chain over slices: all 24 features screened, regressed on 80 penalties, the full search budget, holdout scores."""
     features = tuple(FEATURES)
     rows = compute(search_panel(spark, sf_dir, features), {"y5": fwd_sum(col("logret"), 5)}, keep=(*features, *SEARCH.regressors, "sector"))
-    return search_slices(rows, features, "y5", ALPHAS, ScreenSpec(train=208, least_train=150, every=104, holdout=52, least_abs_mean=0.0), SEARCH)
+    return search_slices(rows, features, "y5", ALPHAS, ScreenSpec(train=208, least_train=170, every=104, holdout=52, least_abs_mean=0.0), SEARCH)
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
