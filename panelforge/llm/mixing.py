@@ -29,7 +29,7 @@ def text_quality(text: Column) -> Column:
 
 
 def unit_draw(key: Column) -> Column:
-    """A number in (0, 1] that depends on the key alone, so reruns agree; a null key draws as an empty one."""
+    """A number in (0, 1] that depends on the key alone, so reruns agree."""
     digits = F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), 1, 13)
     return (F.conv(digits, 16, 10).cast("long").cast("double") + 1.0) / F.lit(float(2**52))
 
@@ -65,33 +65,57 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most:
     )
 
 
+def _bucket() -> Column:
+    """Buckets of about equal rows, in the order of draws."""
+    return F.least(F.lit(BUCKETS - 1), F.floor((F.lit(1.0) - F.exp(-F.col("draw") * F.col("mean_weight"))) * BUCKETS)).cast("int")
+
+
+def _reached(sums: DataFrame, order: list[str]) -> DataFrame:
+    """source, budget and ``end``: the last of the ordered ``order`` of each source that begins within its budget, with what lies ``before`` it.
+
+    ``sums`` has source, budget, ``start`` (what lies before all), the columns of ``order`` and ``part``, a sum of sizes.
+    """
+    upto = Window.partitionBy("source").orderBy(*order)
+    ran = sums.withColumn("before", F.sum("part").over(upto) - F.col("part") + F.col("start"))
+    return ran.where(F.col("before") <= F.col("budget")).groupBy("source").agg(F.first("budget").alias("budget"), F.max(F.struct(*order, "before")).alias("end"))
+
+
 def _thresholds(drawn: DataFrame, targets: DataFrame) -> DataFrame:
-    """For each source: complete epochs, and the last (draw, id) of the fractional selection.
+    """For each source: complete epochs, and the last (draw, id, tie, place) of the fractional selection.
 
-    Draws fall into buckets in order; sums of buckets find the one in which a budget ends, and
-    only the documents of that bucket (one in ``BUCKETS``) are sorted.  So a source with a third
-    of all rows is summed in parts.
+    Draws fall into buckets in order; sums of buckets find the one in which a budget ends.  Rows of that
+    bucket (one in ``BUCKETS``) are summed by draw and id, which finds the rows alike in both among which
+    the budget ends; these are dealt by a draw of their own place, again summed by buckets, and only the
+    rows of the last bucket are sorted.  So neither a source nor an id with a third of all rows is sorted
+    in one task.
     """
-    scaled = drawn.join(_small(drawn.groupBy("source").agg(F.avg("weight").alias("mean_weight"))), _same_source(drawn), "inner").drop("_s")
-    bucket = F.least(F.lit(BUCKETS - 1), F.floor((F.lit(1.0) - F.exp(-F.col("draw") * F.col("mean_weight"))) * BUCKETS)).cast("int")
-    bucketed = scaled.withColumn("bucket", bucket)
-    sums = bucketed.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
+    mean = drawn.groupBy("source").agg(F.avg("weight").alias("mean_weight"))
+    bucketed = drawn.join(_small(mean), _same_source(drawn), "inner").drop("_s").withColumn("bucket", _bucket())
     plan = targets.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")).withColumn(
         "budget", F.col("target") - F.col("epochs") * F.col("source_size")
     )
-    upto = Window.partitionBy("source").orderBy("bucket")
-    ran = sums.withColumn("before", F.sum("bucket_size").over(upto) - F.col("bucket_size"))
-    ends = ran.join(_small(plan.select("source", "budget")), _same_source(ran), "inner").drop("_s")
-    ends = ends.where(F.col("before") <= F.col("budget")).groupBy("source").agg(F.max(F.struct("bucket", "before")).alias("end"), F.first("budget").alias("budget"))
-    last = bucketed.join(_small(ends), _same_source(bucketed), "inner").drop("_s").where(F.col("bucket") == F.col("end.bucket"))
-    peers = Window.partitionBy("source").orderBy("draw", "id").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    same = Window.partitionBy("source", "draw", "id")
-    summed = last.withColumn("cum", F.sum("size").over(peers) + F.col("end.before")).withColumn("peer", F.sum("size").over(same))
-    kept = summed.where(F.col("cum") - F.col("peer") / 2 <= F.col("budget")).groupBy("source").agg(F.max(F.struct("draw", "id")).alias("last"))
-    out = plan.join(_small(ends.select("source", F.col("end.bucket").alias("end_bucket"))), _same_source(plan), "left").drop("_s")
-    out = out.join(_small(kept), _same_source(out), "left").drop("_s")
-    mean = _small(drawn.groupBy("source").agg(F.avg("weight").alias("mean_weight")))
-    return out.join(mean, _same_source(out), "left").drop("_s")
+
+    def with_end(rows: DataFrame, ends: DataFrame) -> DataFrame:
+        return rows.join(_small(ends), _same_source(rows), "inner").drop("_s")
+
+    sums = bucketed.groupBy("source", "bucket").agg(F.sum("size").alias("part"))
+    first = _reached(with_end(sums, plan.select("source", "budget", F.lit(0).alias("start"))), ["bucket"])
+    near = with_end(bucketed, first).where(F.col("bucket") == F.col("end.bucket"))
+    alike = near.groupBy("source", "draw", "id").agg(F.sum("size").alias("part"), F.first("budget").alias("budget"), F.first("end.before").alias("start"))
+    second = saved(_reached(alike, ["draw", "id"]))
+    tied = with_end(bucketed, second).where((F.col("draw") == F.col("end.draw")) & F.col("id").eqNullSafe(F.col("end.id")))
+    tied = tied.withColumn("tie_bucket", F.floor(F.col("tie") * BUCKETS).cast("int"))
+    parts = tied.groupBy("source", "tie_bucket").agg(F.sum("size").alias("part"), F.first("budget").alias("budget"), F.first("end.before").alias("start"))
+    third = _reached(parts, ["tie_bucket"])
+    left = with_end(tied.drop("budget", "end"), third).where(F.col("tie_bucket") == F.col("end.tie_bucket"))
+    upto = Window.partitionBy("source").orderBy("tie", "place")
+    summed = left.withColumn("cum", F.sum("size").over(upto) + F.col("end.before"))
+    kept = summed.where(F.col("cum") - F.col("size") / 2 <= F.col("budget")).groupBy("source").agg(F.max(F.struct("tie", "place")).alias("last"))
+    before = third.select("source", F.col("end.tie_bucket").alias("tie_end"))
+    out = plan
+    for more in (mean, first.select("source", F.col("end.bucket").alias("end_bucket")), second.select("source", F.struct("end.draw", "end.id").alias("block")), before, kept):
+        out = out.join(_small(more), _same_source(out), "left").drop("_s")
+    return out
 
 
 def _small(per_source: DataFrame) -> DataFrame:
@@ -106,14 +130,19 @@ def mix(docs: DataFrame, *, size: Column, quality: Column, weights: tuple[int, .
     """Documents (doc_id, source and any others) under ``doc``, with size, source_size, target and times.
 
     ``times`` is how often the mix takes the document.  A null size counts 0, a quality that is
-    null or not positive as 1e-6; a null source is a source.  Rows that repeat in doc_id are
-    selected together.  The document at the end of a budget is taken if that comes nearer to it.
-    An empty table gives no rows.  Columns of ``docs`` stay inside ``doc``, so no names clash.
+    null or not positive as 1e-6; a null source is a source.  Rows without doc_id draw by their place in the
+    table; rows that repeat in doc_id draw alike, and where the budget ends among them, as many of them are
+    taken as come nearest to it, by a draw of their places.  Places are those of the rows as Spark reads
+    ``docs``, so it should be a table (read or saved) and not the result of a shuffle.  The document at the
+    end of a budget is taken if that comes nearer to it.  An empty table gives no rows.  Columns of ``docs``
+    stay inside ``doc``, so no names clash.
     """
     drawn = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("source"), F.col("doc_id").cast("string").alias("id"),
-        F.coalesce(size, F.lit(0)).cast("long").alias("size"), F.greatest(F.coalesce(quality, F.lit(0.0)), F.lit(1e-6)).alias("weight"),
-    ).withColumn("draw", -F.log(unit_draw(F.col("id"))) / F.col("weight"))
+        F.coalesce(size, F.lit(0)).cast("long").alias("size"), F.greatest(F.coalesce(quality, F.lit(0.0)), F.lit(1e-6)).alias("weight"), F.monotonically_increasing_id().alias("place"),
+    )
+    named = F.coalesce("id", F.concat(F.lit("row "), F.col("place").cast("string")))
+    drawn = drawn.withColumn("tie", unit_draw(F.concat(F.lit("place "), F.col("place").cast("string")))).withColumn("draw", -F.log(unit_draw(named)) / F.col("weight"))
     return _take(drawn, drawn.drop("doc"), weights, most)
 
 
@@ -123,16 +152,23 @@ def _take(drawn: DataFrame, narrow: DataFrame, weights: tuple[int, ...], most: i
     plan = _small(plan)
     if plan.count() <= MAX_BROADCAST_SOURCES:
         plan = F.broadcast(plan)
-    bucket = F.least(F.lit(BUCKETS - 1), F.floor((F.lit(1.0) - F.exp(-F.col("draw") * F.col("mean_weight"))) * BUCKETS)).cast("int")
-    inside = (F.col("draw") < F.col("last.draw")) | ((F.col("draw") == F.col("last.draw")) & (F.coalesce("id", F.lit("")) <= F.coalesce("last.id", F.lit(""))))
-    extra = (bucket < F.col("end_bucket")) | ((bucket == F.col("end_bucket")) & F.coalesce(inside, F.lit(False)))
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    same = (F.col("draw") == F.col("block.draw")) & F.col("id").eqNullSafe(F.col("block.id"))
+    earlier = (F.col("draw") < F.col("block.draw")) | ((F.col("draw") == F.col("block.draw")) & (text("id") < text("block.id")))
+    tie_bucket = F.floor(F.col("tie") * BUCKETS).cast("int")
+    within = (tie_bucket < F.col("tie_end")) | (F.col("tie") < F.col("last.tie")) | ((F.col("tie") == F.col("last.tie")) & (F.col("place") <= F.col("last.place")))
+    inside = earlier | (same & F.coalesce(within, F.lit(False)))
+    extra = (_bucket() < F.col("end_bucket")) | ((_bucket() == F.col("end_bucket")) & F.coalesce(inside, F.lit(False)))
     return drawn.join(plan, _same_source(drawn), "inner").withColumn("times", F.col("epochs") + F.coalesce(extra.cast("long"), F.lit(0))).drop(
-        "_s", "last", "end_bucket", "mean_weight", "epochs", "budget", "draw", "weight"
+        "_s", "last", "end_bucket", "block", "tie_end", "mean_weight", "epochs", "budget", "draw", "weight", "tie", "place"
     )
 
 
 def op10_mix_sources(docs: DataFrame) -> DataFrame:
-    """Words that the mix takes of each document; texts are read once and not shuffled."""
+    """Words that the mix takes of each document; texts are read once and not shuffled.
+
+    Null texts have no words; rows without doc_id, repeated rows and no rows are as in :func:`mix`.
+    """
     narrow = docs.select("doc_id", "source", words(F.col("text")).alias("n_words"), text_quality(F.col("text")).alias("quality"))
     mixed = mix(saved(narrow), size=F.col("n_words"), quality=F.col("quality"))
     return mixed.select(F.col("doc.doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
