@@ -21,7 +21,12 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 #: Runs that could be secrets: known prefixes and long tokens.
-CANDIDATE = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]*|(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])")
+#: Runs are taken whole (possessive), and a JSON web token begins where a run does, so a text takes time in proportion to its length.
+#: An equals sign before a run, as in ``?sig=`` and ``CRED=``, is no part of it.
+CANDIDATE = re.compile(
+    r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]*+"
+    r"|(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}(?![A-Za-z0-9+/_=-])"
+)
 
 # Words that stand beside secrets, beside harmless tokens, and in place of secrets.
 KEYS = "key secret token password passwd pwd apikey api_key auth credential bearer private access".split()
