@@ -163,8 +163,30 @@ def find_spans(docs: DataFrame) -> DataFrame:
     slim = lambda s: F.struct(s.start.alias("start"), number(s).alias("rank"), s.kind.alias("kind"), s.end.alias("end"), F.array(*_votes(s)).alias("votes"), F.array(*_traits(s)).alias("traits"))
     both = docs.select("doc_id", base.alias("base"), loose.alias("loose"))
     both = both.select("doc_id", F.transform("base", slim).alias("base"), F.transform("loose", slim).alias("loose"))
-    apart = F.filter("loose", lambda s: ~F.exists("base", lambda b: (b.start < s.end) & (s.start < b.end)))
-    return both.select("doc_id", F.array_sort("base").alias("base"), F.array_distinct(apart).alias("loose"))
+    return both.select("doc_id", F.array_sort("base").alias("base"), _apart(F.col("base"), F.col("loose")).alias("loose"))
+
+
+def _apart(base: Column, loose: Column) -> Column:
+    """The loose spans that overlap no base span.
+
+    Stretches of the text, about as many as the root of the number of spans, first gather their own loose
+    and base spans; a loose span is then compared with those of its stretch only.
+    """
+    zero = F.lit(0)
+    last = F.array_max(F.transform(loose, lambda s: s.start))
+    longest = F.array_max(F.transform(loose, lambda s: s.end - s.start))
+    stretches = F.ceil(F.sqrt((F.size(base) + F.size(loose)).cast("double"))).cast("int")
+    bounds = F.struct(last.alias("last"), longest.alias("longest"), stretches.alias("n"), (F.floor(last / stretches) + 1).cast("int").alias("width"))
+
+    def gather(x: Column, r: Column) -> Column:
+        low, high = r * x.width, (r + 1) * x.width
+        own = F.filter(loose, lambda s: (s.start >= low) & (s.start < high))
+        near = F.filter(base, lambda b: (b.end > low) & (b.start < high + x.longest))
+        return F.struct(own.alias("own"), near.alias("near"))
+
+    gathered = F.flatten(F.transform(F.array(bounds), lambda x: F.transform(F.sequence(zero, x.n - 1), lambda r: gather(x, r))))
+    kept = F.transform(gathered, lambda g: F.filter(g.own, lambda s: ~F.exists(g.near, lambda b: (b.start < s.end) & (s.start < b.end))))
+    return F.when((F.size(base) > 0) & (F.size(loose) > 0), F.flatten(kept)).otherwise(loose)
 
 
 def estimate(patterns: list[tuple[str, tuple[int, ...], int]], rounds: int = 50) -> dict[tuple[str, tuple[int, ...]], float]:

@@ -90,3 +90,26 @@ def test_many_matches_have_right_places(docs):
     r = pii.op2_weak_labels(docs([text])).first()
     want = base_spans(text)
     assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, k, b in want).encode()).hexdigest() and r.n_email == r.n_ip == 1500
+
+
+def loose_by_hand(text, base):
+    """Matches of the loose patterns that overlap no base span, kind by kind."""
+    import regex
+
+    found = [(m.start(), m.end(), k) for k in pii.LOOSE for m in regex.finditer(pii.PATTERNS[k], text)]
+    return sorted(s for s in found if not any(b.start < s[1] and s[0] < b.end for b in base))
+
+
+def test_loose_spans_are_those_apart_from_base_ones(spark):
+    import random
+
+    draw = random.Random(4)
+    bits = [
+        "a@b.com", "123-45-6789", "DE12ABCDEFGHIJK34567", "(212) 555-0199", "me at home", "joe [at] site.org", "Dr. Anna Smith", "Mary Jones", "10.0.0.1", "4111 1111 1111 1111", "+49 (0) 30 123-45-6789",
+        "é\U0001f600", "word",
+    ]
+    texts = [" ".join(draw.choice(bits) for _ in range(n)) for n in (1, 3, 10, 60, 400)] + ["".join(f"a{i}@b.com {100 + i % 800}-45-6789 " for i in range(600)), "no spans", ""]
+    rows = pii.find_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert sorted((s.start, s.end, s.kind) for s in r.loose) == loose_by_hand(texts[r.doc_id], r.base), r.doc_id
