@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import regex
 from pyspark.sql import functions as F
 
 from panelforge.llm import pii
@@ -94,15 +95,11 @@ def test_many_matches_have_right_places(docs):
 
 def loose_by_hand(text, base):
     """Matches of the loose patterns that overlap no base span, kind by kind."""
-    import regex
-
     found = [(m.start(), m.end(), k) for k in pii.LOOSE for m in regex.finditer(pii.PATTERNS[k], text)]
     return sorted(s for s in found if not any(b.start < s[1] and s[0] < b.end for b in base))
 
 
 def test_loose_spans_are_those_apart_from_base_ones(spark):
-    import random
-
     draw = random.Random(4)
     bits = [
         "a@b.com", "123-45-6789", "DE12ABCDEFGHIJK34567", "(212) 555-0199", "me at home", "joe [at] site.org", "Dr. Anna Smith", "Mary Jones", "10.0.0.1", "4111 1111 1111 1111", "+49 (0) 30 123-45-6789",

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 import zlib
 
 import pyarrow as pa
@@ -421,3 +422,26 @@ def test_toxicity_without_labels(spark, docs):
     out = {r.doc_id: r.predicted for r in toxicity.op9_weak_supervision(docs(["you idiot moron", "hello there", *ODD]), empty).collect()}
     assert out[0] == 1 and sum(out.values()) == 1
     assert toxicity.op9_weak_supervision(docs([]), empty).count() == 0
+
+
+@pytest.mark.parametrize("share", [0.0, 0.3, 0.6, 1.0])
+def test_mix_meets_targets_with_null_and_repeated_ids(spark, share):
+    """Sources come within one document of their targets whatever share of the rows has no doc_id, or one and the same."""
+    draw = random.Random(1)
+    rows = [(None if draw.random() < share else (7 if draw.random() < share else i), draw.randint(0, 9), "abc"[min(2, int(draw.random() * 4))], i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, n int, source string, row int")
+    found = mixing.mix(df, size=F.col("n"), quality=F.lit(1.0)).selectExpr("doc.row", "doc.source", "size", "source_size", "target", "times").collect()
+    assert sorted(r.row for r in found) == list(range(3000)) and all(0 <= r.times <= 3 for r in found)
+    for s in "abc":
+        own = [r for r in found if r.source == s]
+        assert abs(sum(r.size * r.times for r in own) - own[0].target) <= 9
+    again = mixing.mix(df, size=F.col("n"), quality=F.lit(1.0)).selectExpr("doc.row", "times").collect()
+    assert {r.row: r.times for r in again} == {r.row: r.times for r in found}
+
+
+def test_tokens_after_an_equals_sign_and_runs_of_token_starts():
+    token = "Zm9vYmFyYmF6cXV4Zm9vYmFyYmF6"
+    for text in (f"x=https://h/x?sig={token}", f"AWS_CRED={token} next", f"{token}=="):
+        assert [text[a:b].rstrip("=") for a, b in secrets.candidates(text)] == [token]
+    began = time.perf_counter()
+    assert secrets.candidates("x=" + "eyJ" * 333_333) and time.perf_counter() - began < 1
