@@ -1,4 +1,4 @@
-"""Student's t and partial autocorrelations as column expressions, in the text of either engine."""
+"""Tails of distributions and partial autocorrelations as column expressions, in the text of either engine."""
 
 from __future__ import annotations
 
@@ -13,6 +13,18 @@ Z95 = 1.6448536269514722
 GAMMA_RATIO = (-1 / 8, 1 / 192, -1 / 640, 17 / 14336)
 
 
+#: The upper tail of the normal distribution to seven digits, by the published polynomial (fixed values of Abramowitz and Stegun 26.2.17).
+_TAIL = (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
+
+
+def normal_tail(z: str) -> str:
+    """P(Z > z) of the normal distribution."""
+    k = f"(1 / (1 + CAST(0.2316419 AS DOUBLE) * abs({z})))"
+    polynomial = " + ".join(f"CAST({c!r} AS DOUBLE) * power({k}, {i + 1})" for i, c in enumerate(_TAIL))
+    upper = f"(exp(-({z}) * ({z}) / 2) / sqrt(2 * pi()) * ({polynomial}))"
+    return f"CASE WHEN ({z}) >= 0 THEN {upper} ELSE 1 - {upper} END"
+
+
 def _double(x: float) -> str:
     return f"CAST({x!r} AS DOUBLE)"
 
@@ -66,4 +78,5 @@ def partial_autocorrelations(r: str) -> str:
     dot = lambda x, y: f"aggregate(zip_with({x}, {y}, (a, b) -> a * b), CAST(0 AS DOUBLE), (a, b) -> a + b)"
     newest = f"((element_at({r}, k) - {dot('s.phi', f'reverse(slice({r}, 1, k - 1))')}) / nullif(1 - {dot('s.phi', f'slice({r}, 1, k - 1)')}, 0))"
     after = f"transform(array({newest}), p -> named_struct('phi', concat(zip_with(s.phi, reverse(s.phi), (a, b) -> a - p * b), array(p)), 'out', concat(s.out, array(p))))[0]"
-    return f"aggregate(sequence(1, size({r})), named_struct('phi', CAST(array() AS array<double>), 'out', CAST(array() AS array<double>)), (s, k) -> {after}, s -> s.out)"
+    orders = f"CASE WHEN size({r}) > 0 THEN sequence(1, size({r})) ELSE array() END"
+    return f"aggregate({orders}, named_struct('phi', CAST(array() AS array<double>), 'out', CAST(array() AS array<double>)), (s, k) -> {after}, s -> s.out)"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -55,7 +56,7 @@ def lasso_path(gram: dict, alphas: np.ndarray, rounds: int = 200) -> tuple[np.nd
     """Coefficients (one row an alpha) on standardised features, with their means and deviations.
 
     Minimises (1 / 2n) |y - Xb|^2 + alpha |b|_1 by coordinate descent on the sums of products, from
-    the largest alpha on, each started from the one before.
+    the largest alpha on, each started from the one before.  A column without spread keeps a zero.
     """
     n = max(gram["n"], 1)
     mean = gram["sum"] / n
@@ -63,16 +64,23 @@ def lasso_path(gram: dict, alphas: np.ndarray, rounds: int = 200) -> tuple[np.nd
     k = len(mean) - 1
     sd = np.sqrt(np.maximum(np.diag(cov)[:k], 1e-24))
     q = cov[:k, :k] / np.outer(sd, sd)
-    c = cov[:k, k] / sd
+    flat = np.diag(cov)[:k] <= 1e-24
+    c = np.where(flat, 0.0, cov[:k, k] / sd)
+    q[flat] = q[:, flat] = 0.0
     out = np.zeros((len(alphas), k))
-    b = np.zeros(k)
+    b, left, own = np.zeros(k), c.copy(), np.maximum(np.diag(q), 1e-12)
     for i in np.argsort(-alphas):
         for _ in range(rounds):
-            before = b.copy()
-            for j in range(k):
-                r = c[j] - q[j] @ b + q[j, j] * b[j]
-                b[j] = math.copysign(max(abs(r) - alphas[i], 0.0), r) / max(q[j, j], 1e-12)
-            if np.abs(b - before).max() < 1e-10:
+            moved = 0.0
+            # Only coefficients that are not zero, or whose correlation with what is left passes the penalty, can move.
+            for j in np.flatnonzero((b != 0) | (np.abs(left) > alphas[i])):
+                r = left[j] + own[j] * b[j]
+                step = math.copysign(max(abs(r) - alphas[i], 0.0), r) / own[j] - b[j]
+                if step:
+                    b[j] += step
+                    left -= q[:, j] * step
+                    moved = max(moved, abs(step))
+            if moved < 1e-10:
                 break
         out[i] = b
     return out, mean, sd
@@ -215,7 +223,7 @@ def egarch_forecast(returns: DataFrame, spec: EgarchSpec = EgarchSpec()) -> Data
         ticker, method, sigma = pdf["ticker"].iloc[0], "egarch", None
         if len(r) >= spec.least and r.var() > 1e-10:
             omega, alpha, gamma, beta, nu = fit_egarch(r)
-            rng = np.random.default_rng(spec.seed + int(ticker))
+            rng = np.random.default_rng(spec.seed + (int(ticker) if isinstance(ticker, (int, np.integer)) else zlib.crc32(str(ticker).encode())))
             h = np.full(spec.paths, egarch_filter(r, omega, alpha, gamma, beta, nu)[-1])
             total = 0.0
             low, high = 2 * math.log(100 * spec.floor), 2 * math.log(100 * spec.cap)
@@ -239,7 +247,9 @@ def egarch_forecast(returns: DataFrame, spec: EgarchSpec = EgarchSpec()) -> Data
 class RollingVolatility:
     window: int = 104
     every: int = 52
+    # Limits of usable fits and of returns and variances (fixed values of the strategy).
     beta_below: float = 0.9
+    size_most: float = 1.5
     fit_clip: tuple[float, float] = (math.log(0.5), math.log(2.0))
     log_variance: tuple[float, float] = (-14.0, -2.0)
 
@@ -249,20 +259,25 @@ def rolling_sigma(r: np.ndarray, spec: RollingVolatility) -> np.ndarray:
 
     Parameters are fitted again at row ``window`` and each ``every`` rows after it, on the ``window`` rows
     before, without missing or extreme returns; between fits the recursion runs on the returns as they are.
-    A row without a return carries the variance on.  A fit that is degenerate is left out until the next.
+    A row without a return carries the variance on.  Where a fit is degenerate, the last usable one goes on,
+    and the variance runs through all refits; a ticker begins with its first usable fit.
     """
     out = np.full(len(r), np.nan)
     shift, (low, high) = 2 * math.log(100), spec.log_variance
+    params = h = None
     for start in range(spec.window, len(r), spec.every):
         past = r[start - spec.window : start]
         past = past[np.isfinite(past)]
         fitted = 100 * np.clip(past, *spec.fit_clip)
-        if len(past) < spec.window // 2 or fitted.var() <= 1e-10:
+        if len(past) >= spec.window // 2 and fitted.var() > 1e-10:
+            fresh = fit_egarch(fitted)
+            if np.isfinite(fresh).all() and abs(fresh[1]) <= spec.size_most and abs(fresh[2]) <= spec.size_most and fresh[3] < spec.beta_below:
+                params = fresh
+                h = egarch_filter(100 * past, *params)[-1] if h is None else h
+        if params is None:
             continue
-        omega, alpha, gamma, beta, nu = params = fit_egarch(fitted)
-        if not np.isfinite(params).all() or abs(alpha) > 1.5 or abs(gamma) > 1.5 or beta >= spec.beta_below:
-            continue
-        h, expected = egarch_filter(100 * past, *params)[-1], mean_abs_t(nu)
+        omega, alpha, gamma, beta, nu = params
+        expected = mean_abs_t(nu)
         for i in range(start, min(start + spec.every, len(r))):
             h = min(max(h, low + shift), high + shift)
             out[i] = math.exp(h / 2) / 100

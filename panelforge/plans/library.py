@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.dag import DUCK, SPARK, Dialect, Node, compute, duck_sql
+from ..functions.distributions import t_tail
 from ..functions.features import FEATURES
 from ..functions.ops import (
     absolute, clip, coalesce, col, correlation, covariance, cs_mean, cum_count, decay_linear, delay, delta, ffill, flag, fwd_sum, indneutralize, known, null, product, rank,
@@ -219,8 +220,9 @@ sql_query("nav_metrics", lambda d: f"""WITH {_market}, dd AS (SELECT *, nav / ma
 SELECT count(*) AS n, {rounded('avg(r) * 12')} AS ann_return, {rounded('stddev_samp(r) * sqrt(12)')} AS ann_vol, {rounded('avg(r) / nullif(stddev_samp(r), 0) * sqrt(12)')} AS sharpe, {rounded('min(drawdown)')} AS max_drawdown FROM dd""")
 sql_query("hday_roll_stats", lambda d: f"""WITH {_market}, h AS (SELECT date, CASE WHEN count(r) OVER (ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) = 5 THEN sum(r) OVER (ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) END AS h FROM nav)
 SELECT count(h) AS n, {rounded('avg(h)')} AS mean, {rounded('stddev_samp(h)')} AS vol, {rounded(quantile(d, 'h', 0.05))} AS var5 FROM h""")
-sql_query("stage_ttest", lambda d: f"""WITH {_market}, st AS (SELECT extract(year FROM date) AS stage, sum(r) AS r FROM nav GROUP BY 1)
-SELECT count(*) AS n, {rounded('avg(r)')} AS mean, {rounded('avg(r) / nullif(stddev_samp(r) / sqrt(count(*)), 0)')} AS t, CAST(min_by(stage, r) AS BIGINT) AS worst, CAST(max_by(stage, r) AS BIGINT) AS best FROM st""")
+sql_query("stage_ttest", lambda d: f"""WITH {_market}, st AS (SELECT extract(year FROM date) AS stage, sum(r) AS r FROM nav GROUP BY 1),
+a AS (SELECT count(*) AS n, avg(r) AS mean, avg(r) / nullif(stddev_samp(r) / sqrt(count(*)), 0) AS t, CAST(min_by(stage, r) AS BIGINT) AS worst, CAST(max_by(stage, r) AS BIGINT) AS best FROM st)
+SELECT n, {rounded('mean')} AS mean, {rounded('t')} AS t, {rounded(t_tail(d, 't', 'CAST(n - 1 AS DOUBLE)'))} AS p_one_sided, worst, best FROM a""")
 sql_query("median_mad_budget", lambda d: f"""WITH med AS (SELECT date, {quantile(d, 'abs(logret)', 0.5)} AS m FROM {{month}} WHERE logret IS NOT NULL GROUP BY date),
 dev AS (SELECT s.date, m, {quantile(d, 'abs(abs(logret) - m)', 0.5)} AS mad FROM {{month}} s JOIN med ON med.date = s.date WHERE logret IS NOT NULL GROUP BY s.date, m),
 risk AS (SELECT date, m * (1 + 0.35 * 1.4826 * mad / nullif(m, 0)) AS r FROM dev)

@@ -4,16 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.dag import DUCK, SPARK, Dialect, compute
-from ..functions.distributions import partial_autocorrelations, t_quantile95, t_tail
+from ..functions.distributions import normal_tail, partial_autocorrelations, t_quantile95, t_tail
+from ..functions.features import FEATURES
+from ..functions.ops import col, fwd_sum
 from ..operators.engines import DualLeg, simulate, simulate_trades
-from ..operators.panel import load_panel
+from ..operators.evaluation import shared_folder
+from ..operators.panel import NATION_WEEK, load_panel
 from ..operators.statistics import holdout_returns, regime_legs, spearman_pairs, split_by_clock
-from ..operators.walkforward import ScreenSpec, slices
-from .catalog import register, rounded
+from ..operators.walkforward import ScreenSpec, in_training, lasso_choices, screen, slices
+from ..sources.loading import create_table, insert_by_symbol, read_table
+from .catalog import _formula_output, register, rounded
+from .formulas import FORMULAS
 from .library import FACTORS, _frames, _hac, _ic, _newey_west, corr, duck_text, sql_query
 
 # ---------------------------------------------------------------- tests of means by Student's t
@@ -79,7 +86,7 @@ l AS (SELECT *, greatest(1, least(CAST(floor(4 * power(n / CAST(100 AS DOUBLE),
 c AS (SELECT count(*) AS n, max(lags) AS lags, avg(r) AS mean, stddev_samp(r) AS sd,
       (sum(u * u) + {' + '.join(f'coalesce(sum(CASE WHEN lags >= {k} THEN 2 * (1 - {k} / CAST(lags + 1 AS DOUBLE)) * u * u{k} END), 0)' for k in _LAGS)}) / count(*) AS spread FROM l),
 t AS (SELECT *, CASE WHEN n >= 10 AND spread > 0 THEN mean / sqrt(spread / n) END AS t FROM c)
-SELECT n, lags, {rounded('mean')} AS mean, {rounded('sd')} AS sd, {rounded('t')} AS t, {rounded(t_tail(d, 't', 'CAST(n - 1 AS DOUBLE)'))} AS p_one_sided FROM t""")
+SELECT n, lags, {rounded('mean')} AS mean, {rounded('sd')} AS sd, {rounded('t')} AS t, {rounded(normal_tail('t'))} AS p_one_sided FROM t""")
 
 
 # ---------------------------------------------------------------- pairs of signals
@@ -164,6 +171,7 @@ register("engine_trades_regimes", lambda spark, sf_dir: simulate_trades(_regime_
 
 # ---------------------------------------------------------------- backtests of overlapping holdouts
 
+ALPHAS = np.logspace(-7, -2, 80)
 #: Holdouts of 26 dates every 13, so that two slices cover most dates.
 OVERLAP = ScreenSpec(every=13, holdout=26)
 _KEPT = """SELECT slice, factor FROM {ic} ic JOIN {days} days ON days.date = ic.date JOIN {plan} plan ON days.i >= train_from AND days.i < train_to
@@ -220,3 +228,55 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 register("chunk_by_ts_drop", chunks, """WITH o AS (SELECT event_id, user_id % 7 AS part, ts FROM events), s AS (SELECT *, row_number() OVER (ORDER BY part, ts, event_id) AS i FROM o),
 j AS (SELECT i, ts, CASE WHEN ts < lag(ts) OVER (ORDER BY i) THEN 1 ELSE 0 END AS jump FROM s), c AS (SELECT i, ts, sum(jump) OVER (ORDER BY i) AS chunk FROM j)
 SELECT CAST(chunk AS BIGINT) AS chunk, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM c GROUP BY chunk""")
+
+# ---------------------------------------------------------------- loads by symbol
+
+_MONTHS = "SELECT CAST(l_suppkey AS VARCHAR(20)) AS symbol, CAST(date_trunc('month', l_shipdate) AS DATE) AS trade_date, CAST(sum(l_quantity) AS DOUBLE) AS volume, count(*) AS n FROM {lineitem} WHERE l_suppkey IS NOT NULL AND l_shipdate IS NOT NULL GROUP BY 1, 2"
+
+
+def symbol_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two loads of the months of each supplier; in the second one, those in debt bring a month that the table has, and stay as they were."""
+    path = f"{shared_folder(spark, 'load')}/bars"
+    create_table(spark, path, "symbol string, trade_date date, volume double, n long")
+    months = spark.sql(_MONTHS, lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+    debt = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("string").alias("symbol"), (F.col("s_acctbal") < 0).alias("debt"))
+    keys = ("symbol", "trade_date")
+    insert_by_symbol(spark, path, months.where("trade_date < DATE'1998-01-01'"), keys, ("volume",))
+    later = months.join(debt, "symbol", "left").where("trade_date >= DATE'1998-01-01' OR (debt AND trade_date = DATE'1997-12-01')").drop("debt")
+    insert_by_symbol(spark, path, later, keys, ("volume",))
+    return read_table(spark, path).select("symbol", "trade_date", "volume", "n")
+
+
+register("symbol_load", symbol_load, f"""WITH m AS ({_MONTHS.replace('{lineitem}', 'lineitem')}), debt AS (SELECT CAST(s_suppkey AS VARCHAR) AS symbol FROM supplier WHERE s_acctbal < 0)
+SELECT symbol, trade_date, volume, n FROM m WHERE trade_date < DATE '1998-01-01' OR symbol NOT IN (SELECT m.symbol FROM m JOIN debt ON debt.symbol = m.symbol WHERE trade_date = DATE '1997-12-01')""")
+
+# ---------------------------------------------------------------- all signals at once
+
+EVERY = dict(_formula_output(n) for n in sorted(FORMULAS)) | FEATURES
+
+
+def every_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """date, ticker, the 101 formulas and the 24 features, and the return over the next five weeks; written once."""
+    path = shared_folder(spark, "signals")
+    compute(load_panel(spark, sf_dir, NATION_WEEK), EVERY | {"y5": fwd_sum(col("logret"), 5)}).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def screen_every_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Screening, pruning and sparse regression over all 125 signals in every slice: a row for each slice and signal."""
+    rows = every_signal(spark, sf_dir)
+    spec = ScreenSpec(train=150, every=52, least_abs_mean=0.0)
+    screened = screen(rows, tuple(EVERY), "y5", spec)
+    kept: dict[int, list[str]] = {}
+    for r in screened.where("kept").select("slice", "factor").collect():
+        kept.setdefault(r["slice"], []).append(r["factor"])
+    days = rows.select("date").distinct().withColumn("i", F.row_number().over(Window.orderBy("date")) - 1)
+    chosen = {k: tuple(sorted(v)) for k, v in kept.items()}
+    best = lasso_choices(in_training(rows, days, slices(rows, spec)), chosen, "y5", ALPHAS, spec.purge)
+    lines = [(b["slice"], f, float(c), b["alpha"]) for b in best for f, c in zip(chosen[b["slice"]], b["coefficients"], strict=True)]
+    taken = spark.createDataFrame(lines, "slice int, factor string, coefficient double, alpha double")
+    found = screened.join(F.broadcast(taken), ["slice", "factor"], "left")
+    return found.select("slice", "factor", "n", *[F.round(c, 6).alias(c) for c in ("mean", "mean_oos", "t", "t_oos", "mean_hold")], "passed", "kept", F.round("coefficient", 8).alias("coefficient"), "alpha")
+
+
+register("screen_every_signal", screen_every_signal)

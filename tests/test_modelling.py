@@ -362,6 +362,12 @@ def test_rolling_market_volatility(spark):
     assert sigma[120:].mean() > 1.5 * sigma[60:90].mean()
     assert np.isnan(rolling_sigma(np.zeros(130), spec)).all() and len(rolling_sigma(r[:0], spec)) == 0
 
+    flat = r.copy()
+    flat[60:80] = 0.0
+    still = RollingVolatility(window=20, every=20, beta_below=1.0)
+    carried = rolling_sigma(flat, still)
+    assert np.isfinite(carried[80:100]).all(), "the refit at 80, on rows without variance, goes on with the last usable fit"
+
     rows = [(1, DAY + dt.timedelta(d), None if np.isnan(x) else float(x)) for d, x in enumerate(r)]
     rows += [(2, d, None if x is None else x / 2) for _, d, x in rows] + [(3, d, None) for _, d, _ in rows]
     schema = "ticker long, date date, logret double"

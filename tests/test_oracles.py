@@ -10,7 +10,8 @@ NAMES = (
     "panel_month", "adv_ladder", "ts_corr", "ts_decay", "ts_rank", "ts_argmin", "ts_product", "ts_std_frac80", "rolling_beta", "ffill_limit3", "cs_rank", "cs_indneutralize", "cs_winsor_z_clip",
     "features24", "universe_liquid_listed", "formulas_001_010", "formulas_101_101", "ic_spearman", "ic_summary", "nw_tstat", "hac_se", "screen_gates", "softmax_topk", "dual_leg_split", "purged_folds",
     "median_mad_budget", "upsert_latest", "chunk_by_ts_drop", "asof_classification", "ewma_fold", "logret_ca", "signal_tests_merged", "two_sided_filter", "nw_one_sided", "pair_corr_min_pairs", "ticker_formats",
-    "legacy_fill", "universe_by_age_and_dollars", "partial_autocorrelation",
+    "legacy_fill", "universe_by_age_and_dollars", "partial_autocorrelation", "pacf_lags", "alpha_significance", "adaptive_significance", "spearman_matrix", "dual_leg_regimes", "slice_backtest",
+    "slice_backtest_returns", "symbol_load", "stage_ttest",
 )
 
 
@@ -52,7 +53,7 @@ def test_one_sided_test_against_plain_definition(spark, duck):
 
     r = catalog.queries()["nw_one_sided"](spark, SMALL).first()
     body = catalog.oracle_sql()["nw_one_sided"]
-    x = [v[0] for v in duck.sql(body[: body.index(", s AS (SELECT r,")] + " SELECT r FROM nav ORDER BY date").fetchall()]
+    x = [v[0] for v in duck.sql(body[: body.index("\ns AS (SELECT date, r,")].rstrip().rstrip(",") + " SELECT r FROM mkt ORDER BY date").fetchall()]
     n, mean = len(x), sum(x) / len(x)
     lags = max(1, min(int(4 * (n / 100) ** (2 / 9)), n - 1))
     u = [v - mean for v in x]
