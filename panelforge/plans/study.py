@@ -160,7 +160,8 @@ def _regime_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .modelling import hmm_market, signals
 
     rows = signals(spark, sf_dir)
-    found = regime_legs(scored(spark, rows), hmm_market(spark, sf_dir))
+    regimes = hmm_market(spark, sf_dir).withColumnsRenamed({"p0": "prob_low", "p1": "prob_mid", "p2": "prob_high"})
+    found = regime_legs(scored(spark, rows), regimes)
     prices = rows.select("date", "ticker", F.col("close").alias("price"))
     whole = prices.join(found, ["date", "ticker"], "left")
     return whole.select("date", "ticker", "price", F.coalesce("weight", F.lit(0.0)).alias("weight"), F.coalesce("leg", F.lit(2)).cast("double").alias("leg"), F.coalesce("exit", F.lit(False)).alias("exit"))
