@@ -1,14 +1,16 @@
-"""Scores of many formulas over blocks of dates, with a store of the windows that formulas share.
-
-A panel is cut once into blocks of consecutive dates, each with the dates before it that nested
-windows reach back to, and saved with one row a block.  From then on a generation of formulas is
-one pass over the blocks without a shuffle of the panel: a block computes its formulas and their
-daily ICs, and only the ICs are shuffled, to Newey-West statistics.  Rolling windows inside formulas
-are kept in the store: a window that an earlier generation met is read and not computed again.
+"""Scores of many formulas over blocks of names, with a store of the windows that formulas share.
+
+A panel is cut once into blocks of names with all their dates, so that a block holds a bounded number of
+cells whatever the number of names, and is saved with one row a block.  From then on a generation of
+formulas is one pass over the blocks without a shuffle of the panel: a block computes its formulas and adds
+what the daily regressions and ICs need, sums of products over its names.  Only these sums are shuffled, a
+row for each task and date, then the ICs, to Newey-West statistics.  Rolling windows inside formulas are kept
+in a store of bounded size: a window that it holds is read and not computed again.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import pickle
 import tempfile
@@ -24,12 +26,18 @@ from pyspark.sql import functions as F
 
 from .walkforward import newey_west_t
 
-#: Dates of a block; with those before it and all names of a date it is what one task holds.
+#: Dates whose products with the regressors a task holds at once.
 BLOCK_DATES = 26
+#: Cells (dates by names) of a block: at most, and at least where there are more blocks than cores.
+MOST_CELLS, LEAST_CELLS = 1 << 15, 1 << 13
 #: Lengths of the windows that formulas may hold.
 WINDOWS = (5, 10, 20, 60)
 #: Formulas whose values a task holds at once.
 AT_ONCE = 64
+#: Bytes of sums that a task holds at once; more formulas or dates take more passes.
+SUMS_BYTES = 200_000_000
+#: Bytes of stored windows: in a block, and of all blocks.  Windows beyond are computed whenever they are met.
+BLOCK_STORE, WHOLE_STORE = 50_000_000, 250_000_000
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
@@ -42,56 +50,80 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{named.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def rolling(x: np.ndarray, kind: str, window: int, first: int) -> np.ndarray:
+def rolling(x: np.ndarray, kind: str, window: int) -> np.ndarray:
     """Mean or sample deviation of the last ``window`` rows (axis 0), as the operators ``ts_mean_frac`` and ``ts_std_frac``.
 
-    ``first`` is the place in the panel of the first row; at least 80 % of a window must be known, and
-    the panel must have begun ``window`` rows before.
+    At least 80 % of a window must be known, and the panel must have begun ``window`` rows before.  Windows
+    are put together from ones of 1, 2, 4, ... rows, so no value outside a window touches its result.
     """
-    padded = np.concatenate([np.full((window - 1, x.shape[1]), np.nan), x])
-    seen = np.lib.stride_tricks.sliding_window_view(padded, window, axis=0)
-    known = np.isfinite(seen)
-    n = known.sum(axis=2)
-    mean = np.where(known, seen, 0.0).sum(axis=2) / np.maximum(n, 1)
-    if kind == "ts_mean":
-        found, least = mean, -(-window * 4 // 5)
-    else:
-        away = np.where(known, seen - mean[:, :, None], 0.0)
-        found, least = np.sqrt((away * away).sum(axis=2) / np.maximum(n - 1, 1)), max(-(-window * 4 // 5), 3)
-    started = np.arange(first, first + len(x)) >= window - 1
-    return np.where((n >= least) & started[:, None], found, np.nan)
+    known = np.isfinite(x)
+    one = (known.astype(float), np.where(known, x, 0.0), np.zeros_like(x))
+    spread = kind == "ts_std"
+    found, covered, size = None, 0, 1
+    while True:
+        if window & size:
+            found = one if found is None else _joined(found, one, covered, spread)
+            covered += size
+        if covered == window:
+            break
+        one = _joined(one, one, size, spread)
+        size *= 2
+    n, middle, away = found
+    least = -(-window * 4 // 5)
+    if spread:
+        least, middle = max(least, 3), np.sqrt(away / np.maximum(n - 1, 1))
+    enough = n >= least
+    enough[: window - 1] = False
+    return np.where(enough, middle, np.nan)
+
+
+def _joined(late: tuple, early: tuple, back: int, spread: bool) -> tuple:
+    """Count, mean and squared deviations of windows ``late`` with the windows ``early`` that end ``back`` rows before; rows before the first hold nothing."""
+    if back >= len(late[0]):
+        return late
+    n1, mean1, away1 = (a[back:] for a in late)
+    n2, mean2, away2 = (a[:-back] for a in early)
+    n = n1 + n2
+    share = n2 / np.maximum(n, 1)
+    step = mean2 - mean1
+    out = tuple(a.copy() for a in late)
+    out[0][back:] = n
+    out[1][back:] = mean1 + step * share
+    if spread:
+        out[2][back:] = away1 + away2 + step * step * n1 * share
+    return out
 
 
 class Block:
-    """The matrices of one block, rows by date and columns by name; formulas are computed on its last rows."""
-
-    def __init__(self, first: int, own: int, columns: dict[str, np.ndarray], store: dict[str, np.ndarray]) -> None:
-        self.first, self.own, self.columns, self.store = first, own, columns, store
-        self.known: dict[str, tuple[int, np.ndarray]] = {}
-        self.rows, self.names = next(iter(columns.values())).shape
-
-    def value(self, tree, start: int) -> np.ndarray:
-        """Values of ``tree`` from row ``start`` on."""
-        key = tree.key()
-        if key in self.known and self.known[key][0] <= start:
-            return self.known[key][1][start - self.known[key][0] :]
+    """The matrices of one block, rows by date and columns by name."""
+
+    def __init__(self, columns: dict[str, np.ndarray]) -> None:
+        self.columns = columns
+        #: Windows met so far; other parts of formulas cost less than their room.
+        self.known: dict[str, np.ndarray] = {}
+        self.shape = next(iter(columns.values())).shape
+
+    def value(self, tree) -> np.ndarray:
         with np.errstate(all="ignore"):
-            found = self._value(tree, key, start)
-        found = np.where(np.isfinite(found), found, np.nan)
-        self.known[key] = (start, found)
-        return found
+            found = self._value(tree)
+        return np.where(np.isfinite(found), found, np.nan)
 
-    def _value(self, tree, key: str, start: int) -> np.ndarray:
+    def _value(self, tree) -> np.ndarray:
         if tree.op == "const":
-            return np.full((self.rows - start, self.names), tree.value)
+            return np.full(self.shape, tree.value)
         if not tree.kids:
-            return self.columns[tree.op][start:]
+            return self.columns[tree.op]
         if tree.op in ("ts_mean", "ts_std"):
-            if key in self.store:
-                return self.store[key][start:]
-            back = max(0, start - tree.window + 1)
-            return rolling(self.value(tree.kids[0], back), tree.op, tree.window, self.first + back)[start - back :]
-        a = [self.value(k, start) for k in tree.kids]
+            key = tree.key()
+            if key in self.columns:
+                return self.columns[key]
+            if key not in self.known:
+                found = rolling(self.value(tree.kids[0]), tree.op, tree.window)
+                if len(self.known) * found.nbytes >= BLOCK_STORE:
+                    return found
+                self.known[key] = found
+            return self.known[key]
+        a = [self.value(k) for k in tree.kids]
         match tree.op:
             case "+": return a[0] + a[1]
             case "-": return a[0] - a[1]
@@ -103,42 +135,191 @@ class Block:
         return np.sign(np.round(a[0], 9))
 
 
-def daily_ics(x: np.ndarray, y: np.ndarray, risks: np.ndarray, groups: np.ndarray | None, least: int, ridge: float = 1e-4, most_groups: int = 40) -> tuple[np.ndarray, np.ndarray]:
-    """Number of names and correlation with ``y`` of each row of ``x`` (formulas by names) on one date; nan where too few.
+class Sums:
+    """Sums over names, date by date, of what the regressions and ICs of formulas need; parts of the names add up.
 
-    Formulas are standardised; given ``groups``, they are then replaced by what a ridge fit on a constant,
-    ``risks`` (names by regressors) and dummies of the largest groups but the first leaves.  Formulas known
-    for the same names share one fit.
+    Of a formula x, less a value near its mean on the date (``pivot``): its products with a constant, each
+    group, each regressor, y and itself, over the names where x and all regressors are known.  Those without
+    y among them are summed apart.  Products without x only depend on the set of names, which many formulas
+    share: they are kept for each set that differs on some date (``of`` a formula), not for each formula.
     """
-    n, ic = np.zeros(len(x), dtype=np.int64), np.full(len(x), np.nan)
-    good = np.isfinite(x) & np.isfinite(risks).all(axis=1)[None, :]
-    masks: dict[bytes, list[int]] = {}
-    for k in np.flatnonzero(good.sum(axis=1) >= least):
-        masks.setdefault(good[k].tobytes(), []).append(k)
-    for members in masks.values():
-        use = good[members[0]]
-        values = x[np.ix_(members, np.flatnonzero(use))]
-        sd = values.std(axis=1)
-        live = sd > 1e-12
-        of, values = np.array(members)[live], ((values - values.mean(axis=1)[:, None]) / np.where(live, sd, 1.0)[:, None])[live]
-        if groups is not None and len(of):
-            codes, sizes = np.unique(groups[use][np.isfinite(groups[use])], return_counts=True)
-            top = sorted(codes[np.lexsort((codes, -sizes))][:most_groups])[1:]
-            design = np.column_stack([np.ones(use.sum()), risks[use], *[(groups[use] == g).astype(float) for g in top]])
-            penalty = ridge * np.eye(design.shape[1])
+
+    def __init__(self, formulas: int, dates: int, regressors: int, codes: np.ndarray) -> None:
+        self.codes, self.wide = codes, 1 + len(codes) + regressors
+        self.pivot = np.full((formulas, dates), np.nan)
+        self.mine = np.zeros((dates, formulas, self.wide + 2))
+        self.apart = np.zeros((dates, formulas, self.wide + 1))
+        self.of = np.zeros(formulas, dtype=np.int32)
+        self.sets: list[np.ndarray] = [np.zeros((dates, 2 * self.products(regressors, len(codes)) + self.wide + 1))]
+        self.any_apart = np.zeros(dates, dtype=bool)
+
+    @staticmethod
+    def products(regressors: int, codes: int) -> int:
+        """Products of a constant, regressors and groups among each other that are not zero or the same."""
+        return (1 + regressors) * (1 + codes) + regressors * (regressors + 1) // 2
+
+    @staticmethod
+    def bytes_of(regressors: int, codes: int) -> int:
+        """Of one formula and date, if no formulas share a set of names."""
+        wide = 1 + codes + regressors
+        return 8 * (1 + 2 * wide + 3 + 2 * Sums.products(regressors, codes) + wide + 1)
+
+    def add(self, block: Block, trees: list, regressors: tuple[str, ...], group: str | None) -> None:
+        dates, names = block.shape
+        y = block.columns["y"]
+        has_y = np.isfinite(y)
+        risks = [block.columns[c] for c in regressors]
+        usable = np.ones((dates, names), dtype=bool)
+        for r in risks:
+            usable &= np.isfinite(r)
+        lacking = usable & ~has_y
+        self.any_apart |= lacking.any(axis=1)
+        seen: dict[bytes, np.ndarray] = {}
+        marks: list[bytes] = []
+        for at in range(0, len(trees), AT_ONCE):
+            part = slice(at, min(at + AT_ONCE, len(trees)))
+            x = np.empty((part.stop - at, dates, names))
+            for k, t in enumerate(trees[part]):
+                x[k] = block.value(t)
+            good = np.isfinite(x) & usable
+            new: dict[bytes, np.ndarray] = {}
+            for g in good:
+                mark = hashlib.blake2b(np.packbits(g).tobytes(), digest_size=16).digest()
+                marks.append(mark)
+                if mark not in seen:
+                    seen[mark] = new[mark] = np.zeros(self.sets[0].shape)
+            with np.errstate(all="ignore"):
+                x = np.where(good, x, 0.0)
+                n = good.sum(axis=2)
+                fresh = np.isnan(self.pivot[part]) & (n > 0)
+                self.pivot[part][fresh] = x.sum(axis=2)[fresh] / n[fresh]
+                x = np.where(good, x - self.pivot[part][:, :, None], 0.0)
+            fresh_sets = np.stack([good[marks.index(m, at) - at] for m in new]) if new else np.zeros((0, dates, names), dtype=bool)
+            for low in range(0, dates, BLOCK_DATES):
+                self._add_dates(slice(low, min(low + BLOCK_DATES, dates)), part, x, fresh_sets, list(new.values()), y, has_y, lacking, risks, usable, block.columns[group] if group else None)
+        self._refine(marks, seen)
+
+    def _add_dates(self, days: slice, part: slice, x: np.ndarray, sets: np.ndarray, into: list[np.ndarray], y: np.ndarray, has_y: np.ndarray, lacking: np.ndarray, risks: list[np.ndarray], usable: np.ndarray, group: np.ndarray | None) -> None:
+        use = usable[days]
+        own = [np.ones(use.shape)] + [(group[days] == c).astype(float) for c in self.codes]
+        risk = [np.where(use, r[days], 0.0) for r in risks]
+        target = np.where(has_y[days], y[days], 0.0)
+        base = np.stack([*own, *risk], axis=2)
+        both = np.concatenate([base, target[:, :, None]], axis=2)
+        apart = np.flatnonzero(lacking[days].any(axis=1))
+        with np.errstate(all="ignore"):
+            v = x[:, days].transpose(1, 0, 2)
+            self.mine[days, part, :-1] += v @ both
+            self.mine[days, part, -1] += np.einsum("dfk,dfk->df", v, v)
+            if len(apart):
+                u = v[apart] * lacking[days][apart][:, None, :]
+                self.apart[days][apart, part, :-1] += u @ base[apart]
+                self.apart[days][apart, part, -1] += np.einsum("dfk,dfk->df", u, u)
+        if into:
+            pairs = [a * b for i, a in enumerate(risk) for b in risk[i:]]
+            design = np.stack([*own, *[r * e for r in risk for e in own], *pairs], axis=2)
+            full = np.concatenate([design, design * lacking[days][:, :, None], base * target[:, :, None], (target * target)[:, :, None]], axis=2)
+            found = sets[:, days].transpose(1, 0, 2).astype(float) @ full
+            for k, total in enumerate(into):
+                total[days] = found[:, k]
+
+    def _refine(self, marks: list[bytes], seen: dict[bytes, np.ndarray]) -> None:
+        """Formulas that shared their names so far and no longer do part here."""
+        old, first = self.sets, {}
+        place: dict[tuple[int, bytes], int] = {}
+        for f, mark in enumerate(marks):
+            key = (int(self.of[f]), mark)
+            if key not in place:
+                place[key] = len(place)
+                first[place[key]] = key
+            self.of[f] = place[key]
+        self.sets = [old[was] + seen[mark] for was, mark in first.values()]
+
+    def rows(self) -> Iterator[tuple]:
+        """For each date: place, and the bytes of pivots, sums, those without y (None: there are none), sets and the set of each formula."""
+        for d in range(len(self.mine)):
+            sets = np.stack([s[d] for s in self.sets])
+            yield d, self.pivot[:, d].tobytes(), self.mine[d].tobytes(), self.apart[d].tobytes() if self.any_apart[d] else None, sets.tobytes(), self.of.tobytes()
+
+
+def _symmetric(products: np.ndarray, regressors: int, codes: int) -> np.ndarray:
+    """The matrix of a constant, groups and regressors from the products of each formula."""
+    wide, g = 1 + codes + regressors, 1 + codes
+    out = np.zeros((len(products), wide, wide))
+    for k in range(regressors + 1):
+        row = products[:, k * g : (k + 1) * g]
+        if k == 0:
+            out[:, 0, :g] = out[:, :g, 0] = row
+            out[:, np.arange(1, g), np.arange(1, g)] = row[:, 1:]
+        else:
+            out[:, g + k - 1, :g] = out[:, :g, g + k - 1] = row
+    at = (regressors + 1) * g
+    for i in range(regressors):
+        for j in range(i, regressors):
+            out[:, g + i, g + j] = out[:, g + j, g + i] = products[:, at]
+            at += 1
+    return out
+
+
+def ics_of_sums(parts: list[tuple], formulas: int, regressors: int, codes: int, fit: bool, least: int, ridge: float = 1e-4, most_groups: int = 40) -> tuple[np.ndarray, np.ndarray]:
+    """Number of names and correlation with y of each formula on one date, from the sums of all parts of its names; nan where too few.
+
+    With ``fit``, formulas are replaced by what a ridge fit on a constant, the regressors and dummies of the
+    largest groups but the first leaves.  A spread in the last digits of the sums counts as none.
+    """
+    wide, products = 1 + codes + regressors, Sums.products(regressors, codes)
+    loaded = []
+    for pivot, mine, apart, sets, of in parts:
+        sets = np.frombuffer(sets).reshape(-1, 2 * products + wide + 1)[np.frombuffer(of, dtype=np.int32)]
+        apart = np.zeros((formulas, wide + 1)) if apart is None else np.frombuffer(apart).reshape(formulas, wide + 1)
+        loaded.append((np.nan_to_num(np.frombuffer(pivot)), np.frombuffer(mine).reshape(formulas, wide + 2), apart, sets))
+    with np.errstate(all="ignore"):
+        sets = sum(s for *_, s in loaded)
+        n = sets[:, 0]
+        # The pivots of the parts that have names are near each other; so are their distances from the first of these.
+        origin = np.full(formulas, np.nan)
+        for pivot, _, _, s in loaded:
+            origin = np.where(np.isnan(origin) & (s[:, 0] > 0), pivot, origin)
+        mean = origin + sum(np.where(s[:, 0] > 0, (pivot - origin) * s[:, 0] + mine[:, 0], 0.0) for pivot, mine, _, s in loaded) / np.maximum(n, 1)
+        xv, xu = np.zeros((formulas, wide)), np.zeros((formulas, wide))
+        vv, uu, vy = np.zeros(formulas), np.zeros(formulas), np.zeros(formulas)
+        for pivot, mine, apart, s in loaded:
+            shift = np.where(s[:, 0] > 0, pivot - mean, 0.0)
+            ones = lambda at: np.column_stack([s[:, at : at + 1 + codes], *[s[:, at + (1 + codes) * (k + 1)] for k in range(regressors)]])  # noqa: E731, B023
+            xv += mine[:, :wide] + shift[:, None] * ones(0)
+            vv += mine[:, wide + 1] + 2 * shift * mine[:, 0] + shift * shift * s[:, 0]
+            vy += mine[:, wide] + shift * s[:, 2 * products]
+            xu += apart[:, :wide] + shift[:, None] * ones(products)
+            uu += apart[:, wide] + 2 * shift * apart[:, 0] + shift * shift * s[:, products]
+        sd = np.sqrt(np.maximum(vv, 0.0) / np.maximum(n, 1))
+        live = (n >= least) & (sd > 1e-12) & np.isfinite(sd)
+        xy, yy = sets[:, 2 * products : 2 * products + wide], sets[:, -1]
+        count = n - sets[:, products]
+        first, square, cross = xv[:, 0] - xu[:, 0], vv - uu, vy
+        if fit and live.any():
+            whole, without = _symmetric(sets[:, :products], regressors, codes), _symmetric(sets[:, products : 2 * products], regressors, codes)
+            sizes = sets[:, 1 : 1 + codes]
+            rank = np.argsort(np.argsort(-sizes, axis=1, kind="stable"), axis=1)
+            used = (sizes > 0) & (rank < most_groups)
+            if codes:
+                used[np.arange(formulas), used.argmax(axis=1)] = False
+            used = np.column_stack([np.ones(formulas, dtype=bool), used, np.ones((formulas, regressors), dtype=bool)])
+            whole, without = (m * used[:, :, None] * used[:, None, :] for m in (whole, without))
+            penalty = ridge * np.eye(wide)
             penalty[0, 0] = 0
-            beta = np.linalg.solve(design.T @ design + penalty + 1e-10 * np.eye(design.shape[1]), design.T @ values.T)
-            values = values - (design @ beta).T
-        both = np.isfinite(y[use])
-        n[of] = both.sum()
-        if both.sum() < max(least, 2):
-            continue
-        a, b = values[:, both], y[use][both]
-        a, b = a - a.mean(axis=1)[:, None], b - b.mean()
-        spread = np.sqrt((a * a).sum(axis=1) * (b * b).sum())
-        live = (a.std(axis=1) > 1e-9) & (b.std() > 1e-12)
-        ic[of] = np.where(live, (a @ b) / np.where(spread > 0, spread, 1.0), np.nan)
-    return n, ic
+            b = np.zeros((formulas, wide))
+            ok = live & np.isfinite(xv).all(axis=1)
+            b[ok] = np.linalg.solve(whole[ok] + penalty + 1e-10 * np.eye(wide), (xv * used)[ok][:, :, None])[:, :, 0]
+            own = whole - without
+            first = first - np.einsum("fp,fp->f", b, own[:, 0])
+            square = square - 2 * np.einsum("fp,fp->f", b, (xv - xu) * used) + np.einsum("fp,fpq,fq->f", b, own, b)
+            cross = cross - np.einsum("fp,fp->f", b, xy)
+        spread = square - first * first / np.maximum(count, 1)
+        spread_y = yy - xy[:, 0] ** 2 / np.maximum(count, 1)
+        moves = (spread > count * (1e-9 * sd) ** 2) & (spread > 1e-14 * vv) & (spread_y > count * 1e-24) & (spread_y > 1e-14 * yy)
+        known = live & (count >= max(least, 2))
+        ic = np.where(known & moves, (cross - first * xy[:, 0] / np.maximum(count, 1)) / np.sqrt(np.where(moves, spread * spread_y, 1.0)), np.nan)
+    return np.where(live, count, 0).astype(np.int64), ic
 
 
 @dataclass(frozen=True)
@@ -150,12 +331,11 @@ class Wanted:
     tree: object
 
 
-def _windows_inside(tree, root: bool = True) -> Iterator[object]:
-    """Rolling nodes below the root; at the root a window is only needed on the block's own rows."""
-    if tree.op in ("ts_mean", "ts_std") and not root and _reads(tree):
+def _windows_inside(tree) -> Iterator[object]:
+    if tree.op in ("ts_mean", "ts_std") and _reads(tree):
         yield tree
     for kid in tree.kids:
-        yield from _windows_inside(kid, False)
+        yield from _windows_inside(kid)
 
 
 def _siblings(tree) -> list:
@@ -170,11 +350,8 @@ def _reads(tree) -> bool:
     return any(_reads(k) for k in tree.kids) if tree.kids else tree.op != "const"
 
 
-def _unpack(raw: bytes, rows: int, names: int) -> np.ndarray:
-    return np.frombuffer(raw, dtype=np.float64).reshape(rows, names)
-
-
-STORED = "slice int, block int, first int, own int, rows int, names int, keys array<string>, data array<binary>"
+STORED = "slice int, block int, dates int, names int, keys array<string>, data array<binary>"
+SUMS = "slice int, i int, part int, first int, pivot binary, mine binary, apart binary, sets binary, of binary"
 
 
 class Evaluator:
@@ -189,14 +366,16 @@ class Evaluator:
         self.spark, self.spec, self.use_store = panel.sparkSession, spec, use_store
         self.terminals = tuple(terminals)
         self.folder = folder or shared_folder(self.spark, "search")
-        self.halo = max(0, spec.depth - 1) * (max(WINDOWS) - 1)
         self.columns = (*self.terminals, "y", *spec.regressors, *([spec.group] if spec.group else []))
         self.version, self.stored = 0, set()
+        #: Of each slice the number of dates, of names and of blocks, and its group codes.
+        self.shapes: dict[int, dict] = {}
         places = self._places()
         if places is None:
             self._cut(panel)
         else:
             self.version, self.stored = places["version"], set(places["stored"])
+            self.shapes = {int(s): shape for s, shape in places["shapes"].items()}
 
     # ---- the store
 
@@ -209,33 +388,44 @@ class Evaluator:
         return None if found is None else json.loads(found[1])
 
     def _cut(self, panel: DataFrame) -> None:
-        columns, halo = self.columns, self.halo
-        reach = F.sequence(F.floor(F.col("i") / BLOCK_DATES), F.least(F.floor((F.col("i") + halo) / BLOCK_DATES), F.floor(F.col("_last") / BLOCK_DATES)))
-        last = panel.groupBy("slice").agg(F.max("i").alias("_last"))
-        blocks = last.agg(F.sum(F.floor(F.col("_last") / BLOCK_DATES) + 1)).first()[0] or 1
-        spread = panel.select("slice", "i", "ticker", *[F.col(c).cast("double").alias(c) for c in columns]).join(F.broadcast(last), "slice").withColumn("block", F.explode(reach)).drop("_last")
+        columns, group, cores = self.columns, self.spec.group, self.spark.sparkContext.defaultParallelism
+        codes = F.collect_set(F.col(group).cast("double")) if group else F.array().cast("array<double>")
+        found = panel.groupBy("slice").agg((F.max("i") + 1).alias("dates"), F.approx_count_distinct("ticker").alias("names"), codes.alias("codes")).collect()
+        for r in found:
+            cells = r["dates"] * r["names"]
+            blocks = max(1, -(-cells // MOST_CELLS), min(2 * cores, cells // LEAST_CELLS))
+            self.shapes[r["slice"]] = {"dates": r["dates"], "names": r["names"], "blocks": min(blocks, max(1, r["names"])), "codes": sorted(c for c in r["codes"] if np.isfinite(c))}
+        sizes = self.spark.createDataFrame([(s, x["dates"], x["blocks"]) for s, x in self.shapes.items()], "slice int, _dates int, _blocks int")
+        rows = panel.select("slice", "i", "ticker", *[F.col(c).cast("double").alias(c) for c in columns]).join(F.broadcast(sizes), "slice")
+        rows = rows.withColumn("block", F.pmod(F.xxhash64("ticker"), F.col("_blocks")).cast("int"))
 
         def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            dates, names = np.unique(pdf["i"]), np.unique(pdf["ticker"])
-            first, start = int(dates.min()), int(key[1]) * BLOCK_DATES
-            rows = int(dates.max()) - first + 1
-            at = (pdf["i"].to_numpy() - first, np.searchsorted(names, pdf["ticker"].to_numpy()))
+            names, dates = np.unique(pdf["ticker"]), int(pdf["_dates"].iloc[0])
+            at = (pdf["i"].to_numpy(), np.searchsorted(names, pdf["ticker"].to_numpy()))
             data = []
             for c in columns:
-                m = np.full((rows, len(names)), np.nan)
+                m = np.full((dates, len(names)), np.nan)
                 m[at] = pdf[c].to_numpy(float)
                 data.append(m.tobytes())
-            return pd.DataFrame([(key[0], key[1], first, rows - (start - first), rows, len(names), list(columns), data)], columns=[c.split()[0] for c in STORED.split(", ")])
+            return pd.DataFrame([(key[0], key[1], dates, len(names), list(columns), data)], columns=[c.split()[0] for c in STORED.split(", ")])
 
-        # A fixed number of partitions, twice the blocks: they are many rows' work each, though few bytes, and are not to be merged.
-        spread.repartition(2 * int(blocks), "slice", "block").groupBy("slice", "block").applyInPandas(build, STORED).write.mode("overwrite").parquet(self._path(0))
+        # A fixed number of partitions: blocks are many rows' work each, though few bytes, and are not to be merged.
+        blocks = sum(x["blocks"] for x in self.shapes.values())
+        rows.repartition(max(1, min(2 * blocks, 4 * cores), blocks // 16), "slice", "block").groupBy("slice", "block").applyInPandas(build, STORED).write.mode("overwrite").parquet(self._path(0))
         self._note()
 
     def _note(self) -> None:
-        write_state(self.spark, f"{self.folder}/store", self.version, json.dumps({"version": self.version, "stored": sorted(self.stored)}))
+        write_state(self.spark, f"{self.folder}/store", self.version, json.dumps({"version": self.version, "stored": sorted(self.stored), "shapes": self.shapes}))
+
+    def _room(self, slice: int) -> int:
+        """Windows that the store may still take of a slice."""
+        x = self.shapes[slice]
+        column, whole = 8 * x["dates"] * -(-x["names"] // x["blocks"]), 8 * x["dates"] * x["names"]
+        mine = sum(k.startswith(f"{slice}:") for k in self.stored)
+        return min(BLOCK_STORE // column, WHOLE_STORE // len(self.shapes) // whole) - mine
 
     def _remember(self, wanted: list[Wanted]) -> None:
-        """Adds the windows that are not stored yet to each block of their slices."""
+        """Adds the windows that are not stored yet to each block of their slices, as long as there is room."""
         met = {(w.slice, t.key()): t for w in wanted for t in _windows_inside(w.tree) if f"{w.slice}:{t.key()}" not in self.stored}
         fresh = {(s, k.key()): k for (s, _), t in met.items() for k in _siblings(t) if f"{s}:{k.key()}" not in self.stored}
         if not fresh or not self.use_store:
@@ -243,21 +433,20 @@ class Evaluator:
         by_slice: dict[int, list] = {}
         for (s, _), t in fresh.items():
             by_slice.setdefault(s, []).append(t)
+        by_slice = {s: trees[: self._room(s)] for s, trees in by_slice.items() if s in self.shapes and self._room(s) > 0}
+        if not by_slice:
+            return
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows = []
-                for r in batch.to_pylist():
-                    block = _block(r)
-                    more = by_slice.get(r["slice"], [])
-                    r["keys"] = [*r["keys"], *[t.key() for t in more]]
-                    r["data"] = [*r["data"], *[np.ascontiguousarray(block.value(t, 0)).tobytes() for t in more]]
-                    rows.append(r)
-                yield pa.RecordBatch.from_pylist(rows, schema=batch.schema)
+            for batch, r in _each(batches):
+                block, more = _block(r), by_slice.get(r["slice"], [])
+                r["keys"] = [*r["keys"], *[t.key() for t in more]]
+                r["data"] = [*map(bytes, r["data"]), *[np.ascontiguousarray(block.value(t)).tobytes() for t in more]]
+                yield pa.RecordBatch.from_pylist([r], schema=batch.schema)
 
         self.spark.read.schema(STORED).parquet(self._path(self.version)).mapInArrow(add, STORED).write.mode("overwrite").parquet(self._path(self.version + 1))
         self.version += 1
-        self.stored |= {f"{s}:{k}" for s, k in fresh}
+        self.stored |= {f"{s}:{t.key()}" for s, trees in by_slice.items() for t in trees}
         self._note()
 
     # ---- scores
@@ -267,34 +456,58 @@ class Evaluator:
         self._remember(wanted)
         by_slice: dict[int, list[Wanted]] = {}
         for w in wanted:
-            by_slice.setdefault(w.slice, []).append(w)
-        spec = self.spec
-
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for r in batch.to_pylist():
-                    mine = by_slice.get(r["slice"], [])
-                    if not mine:
-                        continue
-                    block = _block(r)
-                    start = block.rows - block.own
-                    y = block.columns["y"][start:]
-                    risks = np.stack([block.columns[c][start:] for c in spec.regressors], axis=2) if spec.regressors else np.zeros((*y.shape, 0))
-                    groups = block.columns[spec.group][start:] if spec.group else None
-                    for at in range(0, len(mine), AT_ONCE):
-                        part = mine[at : at + AT_ONCE]
-                        x = np.array([block.value(w.tree, start) for w in part])
-                        block.known.clear()
-                        out = [daily_ics(x[:, d, :], y[d], risks[d], None if groups is None else groups[d], spec.least_names) for d in range(block.own)]
-                        n, ic = np.array([o[0] for o in out]), np.array([o[1] for o in out])
-                        d, k = np.nonzero((n >= spec.least_names) & np.isfinite(ic))
-                        names = pa.array([w.name for w in part], pa.string()).take(pa.array(k))
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(d), r["slice"]), pa.int32()), names, pa.array(block.first + start + d, pa.int32()), pa.array(n[d, k], pa.int32()), pa.array(ic[d, k])],
-                            names=["slice", "name", "i", "n", "ic"],
-                        )
-
-        return self.spark.read.schema(STORED).parquet(self._path(self.version)).mapInArrow(score, "slice int, name string, i int, n int, ic double")
+            if w.slice in self.shapes:
+                by_slice.setdefault(w.slice, []).append(w)
+        passes: list[dict[int, list[Wanted]]] = [{}]
+        for s, mine in by_slice.items():
+            x = self.shapes[s]
+            most = max(1, SUMS_BYTES // (x["dates"] * Sums.bytes_of(len(self.spec.regressors), len(x["codes"]))))
+            for k, at in enumerate(range(0, len(mine), most)):
+                if k == len(passes):
+                    passes.append({})
+                passes[k][s] = mine[at : at + most]
+        found = self._pass(passes[0])
+        for more in passes[1:]:
+            found = found.unionAll(self._pass(more))
+        return found
+
+    def _pass(self, by_slice: dict[int, list[Wanted]]) -> DataFrame:
+        spec, shapes, cores = self.spec, self.shapes, self.spark.sparkContext.defaultParallelism
+        regressors = len(spec.regressors)
+        schema = pa.schema([("slice", pa.int32()), ("i", pa.int32()), ("part", pa.int32()), ("first", pa.int32()), *[(c, pa.binary()) for c in ("pivot", "mine", "apart", "sets", "of")]])
+
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, total, part, first = None, None, 0, 0
+
+            def out() -> Iterator[pa.RecordBatch]:
+                for d, *data in total.rows():
+                    yield pa.RecordBatch.from_pydict({k: [v] for k, v in zip(schema.names, (now, d, part, first, *data), strict=True)}, schema=schema)
+
+            for _, r in _each(batches):
+                mine = by_slice.get(r["slice"], [])
+                if not mine:
+                    continue
+                if r["slice"] != now:
+                    if total is not None:
+                        yield from out()
+                        part += 1
+                    now, first = r["slice"], r["block"]
+                    total = Sums(len(mine), r["dates"], regressors, np.array(shapes[now]["codes"]))
+                total.add(_block(r), [w.tree for w in mine], spec.regressors, spec.group)
+            if total is not None:
+                yield from out()
+
+        def scored(key: tuple, rows: pa.Table) -> pa.Table:
+            s, i = (k.as_py() for k in key)
+            mine, codes = by_slice[s], len(shapes[s]["codes"])
+            rows = sorted(rows.to_pylist(), key=lambda r: (r["first"], r["part"]))
+            n, ic = ics_of_sums([tuple(r[c] for c in ("pivot", "mine", "apart", "sets", "of")) for r in rows], len(mine), regressors, codes, spec.group is not None, spec.least_names)
+            k = np.flatnonzero((n >= spec.least_names) & np.isfinite(ic))
+            arrays = [pa.array([s] * len(k), pa.int32()), pa.array([mine[j].name for j in k], pa.string()), pa.array([i] * len(k), pa.int32()), pa.array(n[k], pa.int32()), pa.array(ic[k], pa.float64())]
+            return pa.table(arrays, names=["slice", "name", "i", "n", "ic"])
+
+        parts = self.spark.read.schema(STORED).parquet(self._path(self.version)).coalesce(cores).mapInArrow(sums, SUMS)
+        return parts.repartition(cores, "slice", "i").groupBy("slice", "i").applyInArrow(scored, "slice int, name string, i int, n int, ic double")
 
     def scores(self, wanted: list[Wanted], parts: DataFrame) -> dict[tuple[int, str, str], tuple[int, float, float]]:
         """(slice, name, part) -> days, mean IC and Newey-West t; ``parts`` has slice, part, low and high place (exclusive).
@@ -308,9 +521,16 @@ class Evaluator:
         return {(r["slice"], r["name"], r["part"]): (r["n"], r["mean"], r["t"]) for r in found.collect()}
 
 
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, dict]]:
+    """Row by row, as a batch can hold hundreds of blocks; the matrices stay where Arrow has them."""
+    for batch in batches:
+        names = batch.schema.names
+        for k in range(batch.num_rows):
+            yield batch, {c: [x.as_buffer() for x in batch.column(c)[k].values] if c == "data" else batch.column(c)[k].as_py() for c in names}
+
+
 def _block(r: dict) -> Block:
-    data = {k: _unpack(raw, r["rows"], r["names"]) for k, raw in zip(r["keys"], r["data"], strict=True)}
-    return Block(r["first"], r["own"], data, data)
+    return Block({k: np.frombuffer(raw, dtype=np.float64).reshape(r["dates"], r["names"]) for k, raw in zip(r["keys"], r["data"], strict=True)})
 
 
 def write_state(spark: SparkSession, path: str, step: int, state: str) -> None:

@@ -104,3 +104,21 @@ def test_no_rows(spark, panel):
     from panelforge.operators.search import evolve
 
     assert evolve(panel.limit(0), ("a", "b"), col("y"), SPEC) == []
+
+
+def test_blocks_are_bounded_whatever_the_names(spark, panel, monkeypatch):
+    """Many blocks of names give the ICs of a single one; a row of the saved blocks stays small, with its stored windows."""
+    found = {}
+    for most, store in ((130 * 40, 10**8), (130 * 3, 40_000)):
+        for name, v in (("MOST_CELLS", most), ("LEAST_CELLS", most), ("BLOCK_STORE", store)):
+            monkeypatch.setattr(evaluation, name, v, raising=False)
+        rows, _ = placed(panel)
+        wanted = [Wanted(0, t.key(), t) for t in (*trees(25, 4), *[Tree("ts_std", (Tree("*", (Tree(c), Tree(c))),), window=w) for c in "ab" for w in (5, 10, 20, 60)])]
+        evaluator = Evaluator(rows, ("a", "b"), SPEC)
+        ics = {(r.name, r.i): (r.n, r.ic) for r in evaluator.ics(wanted).collect()}
+        saved = [(len(r.data), sum(map(len, r.data))) for r in spark.read.parquet(evaluator._path(evaluator.version)).collect()]
+        found[most] = ics, saved
+    (one, few), (many, parts) = found.values()
+    assert len(few) == 1 and len(parts) > 3 and max(b for _, b in parts) < sum(b for _, b in few) / 3
+    assert all(n <= 5 + 40_000 // (8 * 130) for n, _ in parts) and one.keys() == many.keys() and len(one) > 1000
+    assert all(one[k][0] == many[k][0] and one[k][1] == pytest.approx(many[k][1], abs=1e-11) for k in one)
