@@ -1,8 +1,10 @@
 """Tables that are loaded symbol by symbol: created if missing, loaded or left alone as a whole for each symbol, and re-typed.
 
-A table is a folder of parquet partitioned by symbol.  New rows are fetched and checked in parallel, written
-to a staging folder once, and then put in place by a dynamic overwrite of the partitions of those symbols
-that passed; a symbol that failed keeps its old rows, and the others do not wait for it.
+A table is a folder with a folder of parquet for each load, its rows clustered by symbol, so the number of files
+follows the size of the data and not the number of symbols.  New rows are fetched and checked in parallel and
+written to a staging folder; those of the symbols that passed are written beside it and then put in place as one
+folder by a rename.  Rows that the table has are never written again; a symbol that failed keeps its old ones,
+and the others do not wait for it.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ def create_table(spark: SparkSession, path: str, schema: str, symbol: str = "sym
         if not replace:
             return False
         drop_table(spark, path)
-    # An empty table has no partition folder, so its columns are kept in a file of no rows under a name that reads skip.
+    # An empty table has no load, so its columns are kept in a file of no rows under a name that reads skip.
     spark.createDataFrame([], schema).write.parquet(f"{path}/_schema")
     return True
 
@@ -46,11 +48,9 @@ def create_table(spark: SparkSession, path: str, schema: str, symbol: str = "sym
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """The table; its types are those it was created or last re-typed with."""
     schema = spark.read.parquet(f"{path}/_schema").schema
-    _, files = _folder(spark, path)
-    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not any(not s.getPath().getName().startswith("_") for s in files.listStatus(root)):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
+    root, files = _folder(spark, path)
+    loads = [s.getPath().toString() for s in files.listStatus(root) if not s.getPath().getName().startswith("_")]
+    return spark.read.schema(schema).parquet(*sorted(loads)) if loads else spark.createDataFrame([], schema)
 
 
 def change_types(spark: SparkSession, path: str, changes: dict[str, str], symbol: str = "symbol") -> None:
@@ -59,12 +59,17 @@ def change_types(spark: SparkSession, path: str, changes: dict[str, str], symbol
     new = old.select(*[F.col(c).cast(changes[c]).alias(c) if c in changes else F.col(c) for c in old.columns])
     staged = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
     spark.createDataFrame([], new.schema).write.parquet(f"{staged}/_schema")
-    new.write.mode("append").partitionBy(symbol).parquet(staged)
+    _clustered(new, symbol).write.parquet(f"{staged}/load-{uuid.uuid4().hex}")
     root, files = _folder(spark, path)
     files.delete(root, True)
     files.rename(_folder(spark, staged)[0], root)
 
 
+def _clustered(rows: DataFrame, symbol: str) -> DataFrame:
+    """The rows of a symbol side by side, so that reads of a symbol skip most of the table."""
+    return rows.repartition(symbol).sortWithinPartitions(symbol)
+
+
 def fetch_symbols(symbols: DataFrame, fetch: Callable[[str], pd.DataFrame], schema: str, attempts: int = 3, wait: float = 0.0, symbol: str = "symbol") -> DataFrame:
     """Rows of ``schema`` and ``error`` that ``fetch`` gives for each symbol, called in parallel on the executors.
 
@@ -124,12 +129,12 @@ def insert_by_symbol(spark: SparkSession, path: str, incoming: DataFrame, keys:
     verdict.write.parquet(f"{staged}/verdict")
     verdict = spark.read.parquet(f"{staged}/verdict")
     good = verdict.where("reason IS NULL").select(symbol)
-    merged = table.join(good, symbol, "left_semi").unionByName(new.drop("error").join(good, symbol, "left_semi"))
-    # The merged partitions are written beside the table before any of its own files go.
-    merged.select(*table.columns).repartition(symbol).write.partitionBy(symbol).parquet(f"{staged}/merged")
-    if not verdict.where("reason IS NULL").isEmpty():
-        ready = spark.read.schema(table.schema).parquet(f"{staged}/merged")
-        ready.repartition(symbol).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(symbol).parquet(path)
-    for part in ("new", "merged"):
-        drop_table(spark, f"{staged}/{part}")
+    taken = new.drop("error").join(good, symbol, "left_semi").select(*table.columns)
+    if not good.isEmpty():
+        _clustered(taken, symbol).write.parquet(f"{staged}/taken")
+        root, files = _folder(spark, f"{staged}/taken")
+        # The whole load appears in the table at once.
+        if not files.rename(root, _folder(spark, f"{path.rstrip('/')}/load-{uuid.uuid4().hex}")[0]):
+            raise OSError(f"{staged}/taken could not be put into {path}")
+    drop_table(spark, f"{staged}/new")
     return verdict.select(F.col(symbol).alias("symbol"), F.when(F.col("reason").isNull(), "loaded").otherwise("rolled back").alias("status"), "rows", "reason")

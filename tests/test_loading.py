@@ -69,3 +69,20 @@ def test_precision_changes(spark, path):
     loading.change_types(spark, path, {"pe": "decimal(20,3)", "total": "double"})
     found = loading.read_table(spark, path)
     assert dict(found.dtypes) == {"symbol": "string", "trade_date": "date", "pe": "decimal(20,3)", "total": "double"} and found.first().pe == decimal.Decimal("1.123")
+
+
+def test_files_follow_rows_and_not_symbols(spark, path):
+    """300 symbols make few files, and a second load leaves those of the first as they are."""
+    keys = ("symbol", "trade_date")
+    loading.insert_by_symbol(spark, path, frame(spark, [(f"s{k}", D(2020, 1, d), 1.0) for k in range(300) for d in (1, 2)]), keys)
+    first = files_of(path)
+    loading.insert_by_symbol(spark, path, frame(spark, [(f"s{k}", D(2020, 1, 2 + k % 2), 2.0) for k in range(300)]), keys)
+    assert len(first) < 20 and first < files_of(path) and len(files_of(path)) < 40
+    found = loading.read_table(spark, path)
+    assert found.count() == 750 and found.where("pe = 2").count() == 150 and found.distinct().count() == 750
+
+
+def files_of(path):
+    import pathlib
+
+    return {(str(p), p.stat().st_mtime_ns) for p in pathlib.Path(path).rglob("*.parquet")}
