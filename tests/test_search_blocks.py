@@ -122,3 +122,55 @@ def test_blocks_are_bounded_whatever_the_names(spark, panel, monkeypatch):
     assert len(few) == 1 and len(parts) > 3 and max(b for _, b in parts) < sum(b for _, b in few) / 3
     assert all(n <= 5 + 40_000 // (8 * 130) for n, _ in parts) and one.keys() == many.keys() and len(one) > 1000
     assert all(one[k][0] == many[k][0] and one[k][1] == pytest.approx(many[k][1], abs=1e-11) for k in one)
+
+
+def test_scoring_holds_one_block_at_a_time(spark, panel, tmp_path, monkeypatch):
+    """Saved blocks, many to a file, reach writers, readers and workers one by one; the session's batches are as before afterwards."""
+    import glob
+    import uuid
+
+    import pyarrow.parquet as pq
+
+    each = evaluation._each
+
+    def watched(batches):
+        for b in batches:
+            with open(f"{tmp_path}/batch-{uuid.uuid4().hex}", "w") as f:
+                f.write(str(b.num_rows))
+            yield from each([b])
+
+    for name in ("MOST_CELLS", "LEAST_CELLS"):
+        monkeypatch.setattr(evaluation, name, 130)
+    monkeypatch.setattr(evaluation, "_each", watched)
+    rows, dates = placed(panel)
+    rows = rows.unionAll(rows.withColumn("ticker", rows.ticker + 100)).unionAll(rows.withColumn("ticker", rows.ticker + 200))
+    evaluator = Evaluator(rows, ("a", "b"), SPEC, f"{tmp_path}/search")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    parts = spark.createDataFrame([(0, "train", 0, dates)], "slice int, part string, low int, high int")
+    assert evaluator.scores([Wanted(0, t.key(), t) for t in (Tree("a"), Tree("ts_mean", (Tree("b"),), window=5))], parts)
+    seen = [open(f).read() for f in glob.glob(f"{tmp_path}/batch-*")]
+    assert evaluator.version == 1 and len(seen) > 40 and set(seen) == {"1"}
+    for version in (0, 1):
+        files = [pq.ParquetFile(f).metadata for f in glob.glob(f"{evaluator._path(version)}/*.parquet")]
+        assert max(m.num_rows for m in files) > 1 and all(m.row_group(k).num_rows == 1 for m in files for k in range(m.num_row_groups))
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_ranks_of_many_names_are_bounded():
+    """A date of many names ranks its predictions some penalties at a time, with the same correlations."""
+    import tracemalloc
+
+    import pandas as pd
+
+    from panelforge.operators.grams import rank_ics
+
+    rng = np.random.default_rng(5)
+    x, y = np.column_stack([np.ones(60_000), rng.normal(size=(60_000, 3))]), pd.Series(rng.normal(size=60_000))
+    lines = np.vstack([rng.normal(size=(79, 4)), [[1.0, 0, 0, 0]]])
+    tracemalloc.start()
+    found = rank_ics(x, lines, y)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60_000 * 80 * 8
+    whole = pd.DataFrame(np.round(x @ lines.T, 12)).rank().corrwith(y.rank()).to_numpy()
+    assert np.isnan(found[-1]) and found[:-1] == pytest.approx(whole[:-1], abs=1e-12)
