@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .walkforward import newey_west_t
 
 #: Dates whose products with the regressors a task holds at once.
-BLOCK_DATES = 26
+BLOCK_DATES = 128
 #: Cells (dates by names) of a block: at most, and at least where there are more blocks than cores.
 MOST_CELLS, LEAST_CELLS = 1 << 14, 1 << 13
 #: Lengths of the windows that formulas may hold.
@@ -74,6 +74,49 @@ def rolling(x: np.ndarray, kind: str, window: int) -> np.ndarray:
     are put together from ones of 1, 2, 4, ... rows, so no value outside a window touches its result.
     """
     known = np.isfinite(x)
+    holes = np.flatnonzero(~known.all(axis=1))
+    whole = (holes[-1] + 1 if len(holes) else 0) + window - 1
+    if whole < len(x) and window > 1:
+        # From here on windows have no missing value; those before are few.
+        return np.concatenate([_rolling_known(x[:whole], known[:whole], kind, window) if whole else x[:0], _rolling_whole(x[whole - window + 1 :], kind, window)])
+    return _rolling_known(x, known, kind, window)
+
+
+def _rolling_whole(x: np.ndarray, kind: str, window: int) -> np.ndarray:
+    """As :func:`_rolling_known` at the rows from ``window`` - 1 on, for a matrix without missing values."""
+    spread = kind == "ts_std"
+    one, found, covered, size = (x, None), None, 0, 1
+
+    def joined(late: tuple, early: tuple, n1: int, n2: int) -> tuple:
+        """Windows of ``n1`` rows with those of ``n2`` rows before; row k of either is of the window that begins at row k."""
+        mean1, mean2 = late[0][n2:], early[0][: len(late[0]) - n2]
+        step = mean2 - mean1
+        if not spread:
+            step *= n2 / (n1 + n2)
+            step += mean1
+            return step, None
+        mean = step * (n2 / (n1 + n2))
+        mean += mean1
+        step *= step
+        step *= n1 * (n2 / (n1 + n2))
+        if late[1] is not None:
+            step += late[1][n2:]
+        if early[1] is not None:
+            step += early[1][: len(step)]
+        return mean, step
+
+    while True:
+        if window & size:
+            found = one if found is None else joined(found, one, covered, size)
+            covered += size
+        if covered == window:
+            break
+        one = joined(one, one, size, size)
+        size *= 2
+    return np.sqrt(found[1] / (window - 1)) if spread else found[0]
+
+
+def _rolling_known(x: np.ndarray, known: np.ndarray, kind: str, window: int) -> np.ndarray:
     one = (known.astype(float), np.where(known, x, 0.0), np.zeros_like(x))
     spread = kind == "ts_std"
     found, covered, size = None, 0, 1
@@ -123,7 +166,7 @@ class Block:
     def value(self, tree) -> np.ndarray:
         with np.errstate(all="ignore"):
             found = self._value(tree)
-        return np.where(np.isfinite(found), found, np.nan)
+        return np.where(np.isfinite(found), found, np.nan) if np.isinf(found).any() else found
 
     def _value(self, tree) -> np.ndarray:
         if tree.op == "const":
@@ -145,11 +188,15 @@ class Block:
             case "+": return a[0] + a[1]
             case "-": return a[0] - a[1]
             case "*": return a[0] * a[1]
-            case "/": return np.where(np.abs(np.round(a[1], 9)) > 1e-9, a[0] / a[1], np.nan)
+            case "/":
+                found = a[0] / a[1]
+                # The divisor passes 1e-9 after rounding to nine decimals.
+                np.copyto(found, np.nan, where=~(np.abs(a[1] * 1e9) >= 1.5))
+                return found
             case "neg": return -a[0]
             case "abs": return np.abs(a[0])
             case "tanh": return np.tanh(a[0])
-        return np.sign(np.round(a[0], 9))
+        return np.sign(np.rint(a[0] * 1e9))
 
 
 class Sums:
@@ -193,50 +240,64 @@ class Sums:
         self.any_apart |= lacking.any(axis=1)
         seen: dict[bytes, np.ndarray] = {}
         marks: list[bytes] = []
+        # Windows read all dates; sums only those on which the regressors of some name are known.
+        live = np.flatnonzero(usable.any(axis=1))
+        low, high = (live[0], live[-1] + 1) if len(live) else (0, 0)
+        days = self._days(low, high, y, has_y, lacking, risks, usable, block.columns[group] if group else None)
         for at in range(0, len(trees), AT_ONCE):
             part = slice(at, min(at + AT_ONCE, len(trees)))
-            x = np.empty((part.stop - at, dates, names))
+            # Dates outside: what is multiplied lies together.
+            x = np.empty((high - low, part.stop - at, names))
+            fresh_sets: list[np.ndarray] = []
+            into: list[np.ndarray] = []
             for k, t in enumerate(trees[part]):
-                x[k] = block.value(t)
-            good = np.isfinite(x) & usable
-            new: dict[bytes, np.ndarray] = {}
-            for g in good:
-                mark = hashlib.blake2b(np.packbits(g).tobytes(), digest_size=16).digest()
+                found = block.value(t)
+                good = np.isfinite(found)
+                good &= usable
+                mark = hashlib.blake2b(np.packbits(good).tobytes(), digest_size=16).digest()
                 marks.append(mark)
                 if mark not in seen:
-                    seen[mark] = new[mark] = np.zeros(self.sets[0].shape)
-            with np.errstate(all="ignore"):
-                x = np.where(good, x, 0.0)
-                n = good.sum(axis=2)
-                fresh = np.isnan(self.pivot[part]) & (n > 0)
-                self.pivot[part][fresh] = x.sum(axis=2)[fresh] / n[fresh]
-                x = np.where(good, x - self.pivot[part][:, :, None], 0.0)
-            fresh_sets = np.stack([good[marks.index(m, at) - at] for m in new]) if new else np.zeros((0, dates, names), dtype=bool)
-            for low in range(0, dates, BLOCK_DATES):
-                self._add_dates(slice(low, min(low + BLOCK_DATES, dates)), part, x, fresh_sets, list(new.values()), y, has_y, lacking, risks, usable, block.columns[group] if group else None)
+                    seen[mark] = np.zeros(self.sets[0].shape)
+                    into.append(seen[mark])
+                    fresh_sets.append(good)
+                pivot = self.pivot[at + k]
+                if np.isnan(pivot).any():
+                    n = good.sum(axis=1)
+                    fresh = np.isnan(pivot) & (n > 0)
+                    pivot[fresh] = np.where(good[fresh], found[fresh], 0.0).sum(axis=1) / n[fresh]
+                np.subtract(found[low:high], pivot[low:high, None], out=x[:, k])
+                np.copyto(x[:, k], 0.0, where=~good[low:high])
+            for at_once, own in days:
+                self._add_dates(at_once, part, x[at_once.start - low : at_once.stop - low], fresh_sets, into, *own)
         self._refine(marks, seen)
 
-    def _add_dates(self, days: slice, part: slice, x: np.ndarray, sets: np.ndarray, into: list[np.ndarray], y: np.ndarray, has_y: np.ndarray, lacking: np.ndarray, risks: list[np.ndarray], usable: np.ndarray, group: np.ndarray | None) -> None:
-        use = usable[days]
-        own = [np.ones(use.shape)] + [(group[days] == c).astype(float) for c in self.codes]
-        risk = [np.where(use, r[days], 0.0) for r in risks]
-        target = np.where(has_y[days], y[days], 0.0)
-        base = np.stack([*own, *risk], axis=2)
-        both = np.concatenate([base, target[:, :, None]], axis=2)
-        apart = np.flatnonzero(lacking[days].any(axis=1))
+    def _days(self, first: int, last: int, y: np.ndarray, has_y: np.ndarray, lacking: np.ndarray, risks: list[np.ndarray], usable: np.ndarray, group: np.ndarray | None) -> list[tuple[slice, tuple]]:
+        """What all formulas of a block are multiplied with, some dates at a time."""
+        out = []
+        for low in range(first, last, BLOCK_DATES):
+            days = slice(low, min(low + BLOCK_DATES, last))
+            use = usable[days]
+            own = [np.ones(use.shape)] + [(group[days] == c).astype(float) for c in self.codes]
+            risk = [np.where(use, r[days], 0.0) for r in risks]
+            target = np.where(has_y[days], y[days], 0.0)
+            base = np.stack([*own, *risk], axis=2)
+            out.append((days, (own, risk, target, base, np.concatenate([base, target[:, :, None]], axis=2), lacking[days])))
+        return out
+
+    def _add_dates(self, days: slice, part: slice, x: np.ndarray, sets: list[np.ndarray], into: list[np.ndarray], own: list[np.ndarray], risk: list[np.ndarray], target: np.ndarray, base: np.ndarray, both: np.ndarray, lacking: np.ndarray) -> None:
+        apart = np.flatnonzero(lacking.any(axis=1))
         with np.errstate(all="ignore"):
-            v = x[:, days].transpose(1, 0, 2)
-            self.mine[days, part, :-1] += v @ both
-            self.mine[days, part, -1] += np.einsum("dfk,dfk->df", v, v)
+            self.mine[days, part, :-1] += x @ both
+            self.mine[days, part, -1] += np.einsum("dfk,dfk->df", x, x)
             if len(apart):
-                u = v[apart] * lacking[days][apart][:, None, :]
+                u = x[apart] * lacking[apart][:, None, :]
                 self.apart[days][apart, part, :-1] += u @ base[apart]
                 self.apart[days][apart, part, -1] += np.einsum("dfk,dfk->df", u, u)
         if into:
             pairs = [a * b for i, a in enumerate(risk) for b in risk[i:]]
             design = np.stack([*own, *[r * e for r in risk for e in own], *pairs], axis=2)
-            full = np.concatenate([design, design * lacking[days][:, :, None], base * target[:, :, None], (target * target)[:, :, None]], axis=2)
-            found = sets[:, days].transpose(1, 0, 2).astype(float) @ full
+            full = np.concatenate([design, design * lacking[:, :, None], base * target[:, :, None], (target * target)[:, :, None]], axis=2)
+            found = np.stack([g[days] for g in sets], axis=1).astype(float) @ full
             for k, total in enumerate(into):
                 total[days] = found[:, k]
 

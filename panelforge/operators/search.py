@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import random
 from dataclasses import dataclass, replace
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -286,6 +287,8 @@ class Search:
         self.rng = random.Random(spec.seed)
         self.people = [grow(self.rng, terminals, spec, self.rng.randint(1, spec.depth)) for _ in range(spec.population)]
         self.seen: dict[str, Candidate] = {}
+        #: Training and validation scores of each kin met so far.
+        self.kin: dict[str, tuple[Score | None, Score | None]] = {}
         self.stayed: dict[str, int] = {}
         self.best, self.best_key, self.idle, self.generation = float("-inf"), None, 0, 0
 
@@ -339,6 +342,61 @@ def has_column(t: Tree) -> bool:
     return any(has_column(k) for k in t.kids) if t.kids else t.op != "const"
 
 
+def kin(tree: Tree) -> tuple[str, int]:
+    """What formulas of the same ICs have in common, and 1, or -1 where this one has them with the other sign.
+
+    An IC does not change with a formula's scale and offset, and its sign goes with the formula's.  So sums are put
+    in order, and factors and constants move out of sums, products, quotients and windows as far as they decide
+    neither what is missing nor a threshold; sums in which a term cancels stay as they are.
+    """
+    text, scale = _scaled(*_linear(tree), offset=False)
+    return text, -1 if scale < 0 else 1
+
+
+def _scaled(terms: dict[str, Fraction], constant: Fraction, offset: bool) -> tuple[str, Fraction]:
+    """The text of a sum over its first factor, and that factor; with ``offset``, the constant is part of it."""
+    first = terms[min(terms)] if terms else constant or Fraction(1)
+    return " ".join([*[f"{c / first}*{a}" for a, c in sorted(terms.items())], *([str(constant / first)] if offset else [])]), first
+
+
+def _linear(t: Tree) -> tuple[dict[str, Fraction], Fraction]:
+    """A formula as factors of parts, none of them 0, and a constant."""
+    if t.op == "const":
+        return {}, Fraction(repr(t.value))
+    if not t.kids:
+        return {t.op: Fraction(1)}, Fraction(0)
+    kids = [_linear(k) for k in t.kids]
+    if not all(terms for terms, _ in kids) and t.op not in "+-*":
+        return {t.key(): Fraction(1)}, Fraction(0)
+    terms, constant = kids[0]
+    match t.op:
+        case "+" | "-":
+            sign = 1 if t.op == "+" else -1
+            terms = dict(terms)
+            for a, c in kids[1][0].items():
+                terms[a] = terms.get(a, 0) + sign * c
+            return (terms, constant + sign * kids[1][1]) if all(terms.values()) else ({t.key(): Fraction(1)}, Fraction(0))
+        case "*":
+            for one, other in (kids, kids[::-1]):
+                if not one[0]:
+                    return ({a: one[1] * c for a, c in other[0].items()}, one[1] * other[1]) if one[1] else ({t.key(): Fraction(1)}, Fraction(0))
+            (a, s), (b, r) = (_scaled(*k, offset=True) for k in kids)
+            return {f"({min(a, b)}) * ({max(a, b)})": s * r}, Fraction(0)
+        case "neg":
+            return {a: -c for a, c in terms.items()}, -constant
+        case "/":
+            (a, s), (b, r) = (_scaled(*k, offset=True) for k in kids)
+            return {f"({a}) / {abs(r)}({b})": s if r > 0 else -s}, Fraction(0)
+        case "abs":
+            a, s = _scaled(terms, constant, offset=True)
+            return {f"abs({a})": abs(s)}, Fraction(0)
+        case "ts_mean" | "ts_std":
+            a, s = _scaled(terms, constant, offset=False)
+            return {f"{t.op}{t.window}({a})": s if t.op == "ts_mean" else abs(s)}, constant if t.op == "ts_mean" else Fraction(0)
+    a, s = _scaled(terms, constant, offset=True)
+    return {f"{t.op}({abs(s)}({a}))": Fraction(1 if s > 0 else -1)}, Fraction(0)
+
+
 def split_places(n: int, spec: SearchSpec) -> list[tuple[str, int, int]]:
     """Places of the training and of the validation dates of ``n``; ``purge`` dates on either side of the cut are in neither."""
     cut = int(n * spec.train_share)
@@ -353,6 +411,10 @@ def score_of(found: tuple[int, float, float] | None, least: int) -> Score | None
     return Score(round(t if t is not None else mean * 1e9 * n**0.5, DIGITS), round(mean, DIGITS), n)
 
 
+def signed(score: Score | None, sign: int) -> Score | None:
+    return score if score is None or sign > 0 else Score(0.0 - score.t, 0.0 - score.mean_ic, score.days)
+
+
 def run_searches(searches: dict[int, Search], evaluator: Evaluator, dates: dict[int, int], save: bool = False, stop_after: int | None = None) -> None:
     """All searches to their ends, one job a generation for all of them; ``searches`` and ``dates`` (number of dates) are by slice.
 
@@ -367,12 +429,15 @@ def run_searches(searches: dict[int, Search], evaluator: Evaluator, dates: dict[
         step = found[0]
         searches.update(unpickled(found[1]))
     while active := {s: x for s, x in searches.items() if not x.done and (stop_after is None or step < stop_after)}:
-        unseen = {s: x.unseen() for s, x in active.items()}
-        scores = evaluator.scores([Wanted(s, k, t) for s, new in unseen.items() for k, t in new.items()], parts)
+        unseen = {s: {k: (t, *kin(t)) for k, t in x.unseen().items()} for s, x in active.items()}
+        # Of formulas with the same ICs one is scored, once.
+        asked = {s: {of: (t, sign) for t, of, sign in reversed(new.values()) if of not in active[s].kin} for s, new in unseen.items()}
+        scores = evaluator.scores([Wanted(s, of, t) for s, new in asked.items() for of, (t, _) in new.items()], parts)
         for s, x in active.items():
-            x.learn({
-                k: Candidate(t, score_of(scores.get((s, k, "train")), spec.least_days), score_of(scores.get((s, k, "validation")), spec.least_validation_days)) for k, t in unseen[s].items()
-            })
+            for of, (_, sign) in asked[s].items():
+                found = score_of(scores.get((s, of, "train")), spec.least_days), score_of(scores.get((s, of, "validation")), spec.least_validation_days)
+                x.kin[of] = tuple(signed(f, sign) for f in found)
+            x.learn({k: Candidate(t, *[signed(f, sign) for f in x.kin[of]]) for k, (t, of, sign) in unseen[s].items()})
         step += 1
         if save and (step % SAVE_EVERY == 0 or all(x.done for x in searches.values()) or step == stop_after):
             write_state(spark, f"{evaluator.folder}/searches", step, pickled(searches))

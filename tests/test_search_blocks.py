@@ -174,3 +174,53 @@ def test_ranks_of_many_names_are_bounded():
     assert peak < 60_000 * 80 * 8
     whole = pd.DataFrame(np.round(x @ lines.T, 12)).rank().corrwith(y.rank()).to_numpy()
     assert np.isnan(found[-1]) and found[:-1] == pytest.approx(whole[:-1], abs=1e-12)
+
+
+def test_formulas_of_a_kin_have_the_same_ics(spark, panel):
+    """What counts as kin agrees on every date but for the sign, with holes, quotients and windows."""
+    import random
+
+    from panelforge.operators.search import kin
+
+    rng, wanted = random.Random(8), {}
+    for t in (grow(rng, ("a", "b"), SPEC, 3) for _ in range(900)):
+        wanted[t.key()] = t
+    groups = {}
+    for t in wanted.values():
+        groups.setdefault(kin(t)[0], []).append(t)
+    groups = {of: g[:4] for of, g in groups.items() if len(g) > 1}
+    a, b, c = Tree("a"), Tree("b"), Tree("const", value=-0.5)
+    pairs = [(Tree("/", (a, Tree("neg", (b,)))), Tree("/", (Tree("*", (c, a)), b)), 1), (Tree("-", (a, b)), Tree("-", (b, a)), -1), (Tree("ts_std", (Tree("*", (c, a)),), window=5), Tree("ts_std", (Tree("+", (a, c)),), window=5), 1), (Tree("tanh", (Tree("neg", (a,)),)), Tree("tanh", (a,)), -1)]
+    apart = [(a, Tree("-", (Tree("+", (a, b)), b))), (Tree("tanh", (a,)), Tree("tanh", (Tree("+", (a, a)),))), (Tree("abs", (a,)), Tree("abs", (Tree("+", (a, c)),))), (Tree("/", (a, b)), Tree("/", (a, Tree("+", (b, c))))), (Tree("ts_mean", (a,), window=5), Tree("ts_mean", (a,), window=10))]
+    assert all(kin(x)[0] == kin(y)[0] and kin(x)[1] * kin(y)[1] == sign for x, y, sign in pairs) and all(kin(x)[0] != kin(y)[0] for x, y in apart)
+    groups |= {f"pair {k}": list(p[:2]) for k, p in enumerate(pairs)}
+    rows, _ = placed(panel)
+    ask = {t.key(): t for g in groups.values() for t in g}
+    ics = {}
+    for r in Evaluator(rows, ("a", "b"), SPEC, use_store=False).ics([Wanted(0, k, t) for k, t in ask.items()]).collect():
+        ics.setdefault(r.name, {})[r.i] = r.ic
+    assert len(groups) > 20 and len(ics) > 40
+    for of, (first, *others) in groups.items():
+        for t in others:
+            x, y = ics.get(first.key(), {}), ics.get(t.key(), {})
+            assert x.keys() == y.keys() and all(kin(first)[1] * x[i] == pytest.approx(kin(t)[1] * y[i], abs=1e-9) for i in x), (of, first.key(), t.key())
+
+
+def test_a_search_scores_one_formula_of_a_kin(panel):
+    import dataclasses
+
+    from panelforge.operators.search import kin
+
+    rows, dates = placed(panel)
+    spec = dataclasses.replace(SPEC, population=50, generations=3)
+    searches, asked = {0: Search(("a", "b"), spec)}, []
+    evaluator = Evaluator(rows, ("a", "b"), spec)
+    scores = evaluator.scores
+    evaluator.scores = lambda wanted, parts: asked.extend(kin(w.tree)[0] for w in wanted) or scores(wanted, parts)
+    run_searches(searches, evaluator, {0: dates})
+    met = {k: c for k, c in searches[0].seen.items() if c.train}
+    assert len(asked) == len(set(asked)) < len(searches[0].seen) and len(met) > 20
+    by_kin = {}
+    for k, c in met.items():
+        of, sign = kin(c.tree)
+        assert by_kin.setdefault(of, sign * c.train.t) == sign * c.train.t, k
